@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablepact.operators.catalog import component_references, port_references
 from tablepact.sources.scratch import scratch_path
@@ -46,7 +47,7 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     frontier, found = _stored(roots.select("product", "root", F.col("root").alias("component")), _round(folder, 0))
     done = 0
     while found:
-        reached = _rounds(spark, folder, done)
+        reached = _rounds(spark, frontier.schema, folder, done)
         following = (
             frontier.join(steps, ["product", "component"])
             .select("product", "root", F.col("next").alias("component"))
@@ -55,15 +56,14 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
         )
         done += 1
         frontier, found = _stored(following, _round(folder, done))
-    return _rounds(spark, folder, done)
+    return _rounds(spark, frontier.schema, folder, done)
 
 
 def _round(folder: str, number: int) -> str:
     return f"{folder}/round-{number}"
 
 
-def _rounds(spark: SparkSession, folder: str, last: int) -> DataFrame:
-    schema = "product string, root string, component string"
+def _rounds(spark: SparkSession, schema: StructType, folder: str, last: int) -> DataFrame:
     return spark.read.schema(schema).parquet(*[_round(folder, n) for n in range(last + 1)])
 
 

@@ -7,6 +7,7 @@ connections, its ports (published datasets) and shared component schemas.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
@@ -29,6 +30,9 @@ except ImportError:
 # has to be installed on the workers.
 cloudpickle.register_pickle_by_value(sys.modules["tablepact"])
 
+# How YAML 1.2 spells booleans.
+BOOLEAN = re.compile("^(true|True|TRUE|false|False|FALSE)$")
+
 CONNECTION_PREFIX = "#/connections/"
 COMPONENT_PREFIX = "#/components/schemas/"
 
@@ -81,8 +85,8 @@ class Catalog:
 def parse_catalog(specs: DataFrame, product: str = "product", spec: str = "spec", fmt: str = "json") -> Catalog:
     """Turn a corpus into catalog tables.
 
-    ``fmt`` is ``json``, ``yaml``, or ``auto`` to tell by each text's first character. JSON
-    is parsed by Spark; YAML is first rewritten as JSON on the executors.
+    ``fmt`` is ``json`` or ``yaml``. JSON is parsed by Spark; YAML is first rewritten as JSON
+    on the executors, and JSON texts among it are left as they are.
     """
     texts = specs.select(F.col(product).alias("product"), _as_json(F.col(spec), fmt).alias("text"))
     docs = texts.select("product", F.from_json("text", SPEC_TYPE).alias("doc"))
@@ -119,15 +123,11 @@ def _target(reference: Column, prefix: str) -> Column:
 def _as_json(text: Column, fmt: str) -> Column:
     if fmt == "json":
         return text
-    if fmt not in ("yaml", "auto"):
-        raise ContractError(f"spec format {fmt!r} is not json, yaml or auto")
+    if fmt != "yaml":
+        raise ContractError(f"spec format {fmt!r} is not json or yaml")
     if yaml is None:
         raise ContractError("reading YAML specs needs the yaml package")
-    converted = F.pandas_udf(yaml_as_json, "string")
-    if fmt == "yaml":
-        return converted(text)
-    # JSON is YAML too, so one conversion serves both; JSON texts pass through it untouched.
-    return converted(text)
+    return F.pandas_udf(yaml_as_json, "string")(text)
 
 
 def yaml_as_json(texts: pd.Series) -> pd.Series:
@@ -135,7 +135,7 @@ def yaml_as_json(texts: pd.Series) -> pd.Series:
     loader = _yaml_loader()
 
     def convert(text: str | None) -> str | None:
-        if text is None or text.lstrip().startswith("{"):
+        if text is None or _is_json(text):
             return text
         try:
             return json.dumps(yaml.load(text, Loader=loader))
@@ -145,25 +145,28 @@ def yaml_as_json(texts: pd.Series) -> pd.Series:
     return texts.map(convert)
 
 
+def _is_json(text: str) -> bool:
+    if not text.lstrip().startswith("{"):
+        return False
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 def _yaml_loader():
     """A safe loader in which only true and false are booleans and dates stay text."""
-    loader = type("SpecLoader", (yaml.SafeLoader,), {})
+    loader = type("SpecLoader", (getattr(yaml, "CSafeLoader", yaml.SafeLoader),), {})
     dropped = ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")
     loader.yaml_implicit_resolvers = {
         first: [(tag, pattern) for tag, pattern in resolvers if tag not in dropped]
         for first, resolvers in yaml.SafeLoader.yaml_implicit_resolvers.items()
     }
-    for word in ("true", "True", "TRUE", "false", "False", "FALSE"):
-        loader.add_implicit_resolver(dropped[0], _exact(word), [word[0]])
+    loader.add_implicit_resolver(dropped[0], BOOLEAN, list("tTfF"))
     return loader
 
 
-def _exact(word: str):
-    import re
-
-    return re.compile(f"^{word}$")
-
-
 FIELD_CATALOG_TYPE = (
     "product string, port string, path string, type string, required boolean, "
     "description string, constraints string, error string"
