@@ -6,7 +6,7 @@ from tablepact.operators.apply import apply_contract, parse_payload, snake_case_
 from tablepact.operators.enforce import enforce
 from tablepact.operators.ports import Port, run_ports, summarise_ports
 from tablepact.operators.quality import annotate, split, summarise, violations
-from tablepact.plans.contract import Contract, Field
+from tablepact.plans.contract import Contract, Field, contracts_of
 from tablepact.plans.rules import Check
 from tablepact.sources.files import read_port, read_raw
 from tablepact.sources.tables import create_port_table, write_port
@@ -22,6 +22,7 @@ __all__ = [
     "PortErrors",
     "annotate",
     "apply_contract",
+    "contracts_of",
     "create_port_table",
     "enforce",
     "enforce_stream",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.functions.text import shortened
+from tablepact.operators.joins import lookup
 from tablepact.sources.specs import COMPONENT_PREFIX, Catalog
 
 ENDPOINT = ["product", "type", "host"]
@@ -23,8 +24,7 @@ LINE_ENTRIES = 1000
 
 def endpoint_uses(catalog: Catalog) -> DataFrame:
     """Every port location with the endpoint behind it: product, type, host, port, pos, location."""
-    endpoints = catalog.connections.select("product", F.col("name").alias("connection"), "type", "host")
-    return catalog.port_connections.join(endpoints, ["product", "connection"]).select(
+    return lookup(catalog.port_connections, _endpoints(catalog), ["product", "connection"], "inner").select(
         *ENDPOINT, "port", "pos", "location"
     )
 
@@ -34,6 +34,17 @@ def endpoint_users(catalog: Catalog) -> DataFrame:
     return endpoint_uses(catalog).select(*ENDPOINT, "port").distinct()
 
 
+def used_endpoints(catalog: Catalog) -> DataFrame:
+    """The endpoints some port uses. References are made distinct before they are joined,
+    within each task first, so a connection named by very many ports is shuffled as a few rows."""
+    named = catalog.port_connections.select("product", "connection").distinct()
+    return named.join(_endpoints(catalog), ["product", "connection"]).select(*ENDPOINT).distinct()
+
+
+def _endpoints(catalog: Catalog) -> DataFrame:
+    return catalog.connections.select("product", F.col("name").alias("connection"), "type", "host")
+
+
 def port_listing(catalog: Catalog, line_entries: int = LINE_ENTRIES) -> DataFrame:
     """Per port: its description, shortened, and its ``connection:location`` list.
 
@@ -41,10 +52,10 @@ def port_listing(catalog: Catalog, line_entries: int = LINE_ENTRIES) -> DataFram
     does not define is ``unknown``. Sorted by product and name.
     """
     shown = catalog.connections.groupBy(*ENDPOINT).agg(F.min("name").alias("shown"))
-    names = catalog.connections.join(shown, ENDPOINT).select("product", F.col("name").alias("connection"), "shown")
+    names = lookup(_endpoints(catalog), shown, ENDPOINT, "inner").select("product", "connection", "shown")
     entry = F.concat(F.coalesce("shown", F.lit("unknown")), F.lit(":"), F.coalesce("location", F.lit("")))
     lines = (
-        catalog.port_connections.join(names, ["product", "connection"], "left")
+        lookup(catalog.port_connections, names, ["product", "connection"])
         .groupBy("product", "port", F.floor(F.col("pos") / line_entries).cast("int").alias("line"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("entries"))
         .select("product", F.col("port").alias("name"), "line", F.array_join("entries.entry", ", ").alias("connections"))
@@ -66,7 +77,7 @@ def connection_usage(catalog: Catalog) -> DataFrame:
     """Per connection: how many ports use its endpoint, as a number and as text."""
     usage = endpoint_users(catalog).groupBy(*ENDPOINT).agg(F.count(F.lit(1)).alias("ports"))
     ports = F.coalesce("ports", F.lit(0))
-    return catalog.connections.join(usage, ENDPOINT, "left").select(
+    return lookup(catalog.connections, usage, ENDPOINT).select(
         "product",
         "name",
         "type",
@@ -93,10 +104,8 @@ def connection_ports(catalog: Catalog) -> DataFrame:
     ports = catalog.ports.select(
         "product", F.col("name").alias("port"), shortened(F.col("description"), 40).alias("description")
     )
-    return (
-        endpoint_uses(catalog)
-        .join(ports, ["product", "port"], "left")
-        .select(*ENDPOINT, "port", "pos", "description", "location")
+    return lookup(endpoint_uses(catalog), ports, ["product", "port"]).select(
+        *ENDPOINT, "port", "pos", "description", "location"
     )
 
 
@@ -117,14 +126,14 @@ def describe_connection(catalog: Catalog, product, name: str) -> tuple[DataFrame
 
 def removable_connections(catalog: Catalog) -> DataFrame:
     """Connections whose endpoint no port uses."""
-    return catalog.connections.join(endpoint_users(catalog), ENDPOINT, "left_anti").select(
+    return lookup(catalog.connections, used_endpoints(catalog), ENDPOINT, "left_anti").select(
         "product", F.col("name").alias("connection"), "type", "host"
     )
 
 
 def blocked_connections(catalog: Catalog) -> DataFrame:
     """Connections that are in use. Their users are the rows of :func:`endpoint_users`."""
-    return catalog.connections.join(endpoint_users(catalog), ENDPOINT, "left_semi").select(
+    return lookup(catalog.connections, used_endpoints(catalog), ENDPOINT, "left_semi").select(
         "product", F.col("name").alias("connection"), "type", "host"
     )
 
@@ -148,10 +157,11 @@ def dangling_references(catalog: Catalog, references: DataFrame | None = None) -
     ``references`` are the schemas each port uses: its direct ones, or those of
     :func:`~tablepact.operators.closure.schema_closure` to find breaks further down.
     """
-    references = port_references(catalog) if references is None else references
+    references = port_references(catalog) if references is None else references.distinct()
     defined = catalog.connections.select("product", F.col("name").alias("connection"))
     connections = (
         catalog.port_connections.select("product", "port", "connection")
+        .distinct()
         .join(defined, ["product", "connection"], "left_anti")
         .select("product", "port", F.col("connection").alias("target"), F.lit("connection not found").alias("reason"))
     )
@@ -159,7 +169,7 @@ def dangling_references(catalog: Catalog, references: DataFrame | None = None) -
     schemas = references.join(known, ["product", "component"], "left_anti").select(
         "product", "port", F.col("component").alias("target"), F.lit("schema not found").alias("reason")
     )
-    return connections.unionByName(schemas).distinct()
+    return connections.unionByName(schemas)
 
 
 def schema_definitions(catalog: Catalog) -> DataFrame:
@@ -179,11 +189,13 @@ def duplicate_names(catalog: Catalog) -> DataFrame:
     """Schema names a product defines more than once with different content.
 
     Local definitions of different ports may share a name; one that also names a component
-    or a port's schema may not differ from it.
+    or a port's schema may not differ from it. Content is compared as JSON, so spacing and
+    the order of keys make no difference.
     """
+    content = F.coalesce(F.to_json(F.try_parse_json("schema")), F.col("schema"))
     return (
         schema_definitions(catalog)
-        .select("product", "name", F.sha2("schema", 256).alias("content"), (F.col("origin") != "local").alias("shared"))
+        .select("product", "name", F.sha2(content, 256).alias("content"), (F.col("origin") != "local").alias("shared"))
         .groupBy("product", "name", "content")
         .agg(F.count(F.lit(1)).alias("uses"), F.bool_or("shared").alias("shared"))
         .groupBy("product", "name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.functions import checks as predicates
-from tablepact.functions.casts import cast_to
+from tablepact.functions.casts import MOMENTS, cast_to
 from tablepact.functions.columns import column
 from tablepact.operators.apply import Staged, project, stage
 from tablepact.plans.contract import Contract
@@ -36,6 +36,8 @@ def predicate(staged: Staged, check: Check) -> Column:
     """The rule's condition on the staged frame: TRUE, FALSE, or NULL for a missing value."""
     if check.rule == SQL_EXPRESSION:
         return predicates.sql_expression(*check.args)
+    if check.rule in MOMENT_RULES and _arrives_as_moment(staged, check):
+        return F.lit(True)
     value = _operand(staged, check)
     builder = predicates.CHECKS[check.rule]
     arguments = check.args
@@ -55,6 +57,14 @@ def _operand(staged: Staged, check: Check) -> Column:
     return value
 
 
+def _arrives_as_moment(staged: Staged, check: Check) -> bool:
+    """Dates and timestamps that are typed already cannot be malformed."""
+    found = staged.leaf(check.path)
+    return found is not None and isinstance(found[1], MOMENTS)
+
+
+MOMENT_RULES = frozenset({"is_valid_date", "is_valid_timestamp"})
+
 # Numeric rules on a text column compare the number the text spells.
 NUMERIC_RULES = frozenset(
     {

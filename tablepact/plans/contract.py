@@ -122,6 +122,16 @@ class Contract:
         return replace(self, checks=(*self.checks, sql_check(expression, message)))
 
 
+def contracts_of(spec: Mapping[str, Any]) -> dict[str, Contract | None]:
+    """The contract of each port of one spec, by port name; None where a port has no schema."""
+    components = (spec.get("components") or {}).get("schemas") or {}
+    schemas = {name: (port or {}).get("schema") for name, port in (spec.get("ports") or {}).items()}
+    return {
+        name: None if schema is None else Contract.from_schema(schema, name, components)
+        for name, schema in schemas.items()
+    }
+
+
 def text_type(data_type: T.DataType) -> T.DataType:
     """The type with each leaf replaced by string, structure kept."""
     if isinstance(data_type, T.StructType):
@@ -161,7 +171,7 @@ class _Compiler:
             local = {k: {**(self.root.get(k) or {}), **(node.get(k) or {})} for k in ("$defs", "definitions")}
             self.root = {**node, **local}
         self.refuse_composition(node, name or "the root schema")
-        if node.get("type") not in (None, "object"):
+        if type_name(node) not in ("", "object"):
             raise ContractError(f"{name or 'the root schema'} must be an object, not {node['type']!r}")
         fields = self.fields_of(node, (), trail)
         checks = [check for f in fields for check in self.checks_of(f)]

@@ -1,0 +1,239 @@
+"""Contracts applied to frames: projection, casts, nested data, sources and sinks."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablepact import (
+    Contract,
+    ContractError,
+    Port,
+    PortErrors,
+    annotate,
+    apply_contract,
+    parse_payload,
+    read_port,
+    read_raw,
+    run_ports,
+    snake_case_columns,
+    summarise_ports,
+    write_port,
+)
+
+ORDER = Contract.from_schema(
+    {
+        "type": "object",
+        "description": "An order",
+        "required": ["id"],
+        "properties": {
+            "id": {"type": "integer", "description": "Order's number"},
+            "day": {"type": "string", "format": "date"},
+            "at": {"type": "string", "format": "date-time"},
+            "paid": {"type": "boolean"},
+            "total": {"type": "number"},
+            "buyer": {
+                "type": "object",
+                "description": "Who",
+                "properties": {"name": {"type": "string", "description": "Full name"}, "age": {"type": "integer"}},
+            },
+            "lines": {
+                "type": "array",
+                "items": {"type": "object", "properties": {"part": {"type": "integer"}, "qty": {"type": "number"}}},
+            },
+            "tags": {"type": "array", "items": {"type": "integer"}},
+            "extra": {"type": "object", "additionalProperties": True},
+        },
+    },
+    "order",
+)
+
+GOOD = {
+    "id": 1,
+    "day": "2024-01-02",
+    "at": "2024-01-02T03:04:05Z",
+    "paid": True,
+    "total": 1.5,
+    "buyer": {"name": "Ann", "age": 30},
+    "lines": [{"part": 1, "qty": 2.5}, {"part": 2, "qty": None}],
+    "tags": [1, 2],
+    "extra": {"k": 1, "deep": {"x": [1]}},
+}
+BAD = {
+    "id": "one",
+    "day": "soon",
+    "at": "later",
+    "paid": "perhaps",
+    "total": "much",
+    "buyer": {"name": "Bob", "age": "old"},
+    "lines": [{"part": "x", "qty": 1}],
+    "tags": [1, "two"],
+    "extra": {},
+}
+TYPED_GOOD = (
+    1,
+    dt.date(2024, 1, 2),
+    dt.datetime(2024, 1, 2, 3, 4, 5),
+    True,
+    1.5,
+    ("Ann", 30),
+    [(1, 2.5), (2, None)],
+    [1, 2],
+    {"k": "1", "deep": '{"x":[1]}'},
+)
+TYPED_BAD = (None, None, None, None, None, ("Bob", None), [(None, 1.0)], [1, None], {})
+
+
+def compact(value):
+    return json.dumps(value, separators=(",", ":"))
+
+
+def typed(df):
+    # Instants as the session's wall-clock time, whatever zone the tests run in.
+    return df.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def rows(df):
+    return [tuple(r) for r in typed(df).collect()]
+
+
+def test_json_port_with_good_and_bad_values(spark, tmp_path):
+    (tmp_path / "orders.json").write_text(compact(GOOD) + "\n" + compact(BAD) + "\n")
+    df = read_port(spark, ORDER, str(tmp_path), "json")
+    assert [f.dataType.simpleString() for f in df.schema] == [f.dataType.simpleString() for f in ORDER.schema]
+    assert rows(df) == [TYPED_GOOD, TYPED_BAD]
+
+
+def test_csv_port_holds_nested_columns_as_json_text(spark, tmp_path):
+    def cell(value):
+        text = compact(value) if isinstance(value, (dict, list)) else str(value)
+        return '"' + text.replace('"', '""') + '"'
+
+    lines = [",".join(GOOD)] + [",".join(cell(v) for v in row.values()) for row in (GOOD, BAD)]
+    (tmp_path / "orders.csv").write_text("\n".join(lines) + "\n")
+    assert rows(read_port(spark, ORDER, str(tmp_path), "csv")) == [TYPED_GOOD, TYPED_BAD]
+    raw = read_raw(spark, ORDER, str(tmp_path), "csv")
+    assert {f.dataType for f in raw.schema} == {T.StringType()}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_self_describing_ports_are_cast(spark, tmp_path, fmt):
+    held = spark.createDataFrame([(1, "2024-01-02", 1.5, 9), (2, "soon", None, 9)], "id int, day string, total float, other int")
+    held.write.format(fmt).save(str(tmp_path / "p"))
+    df = read_port(spark, ORDER, str(tmp_path / "p"), fmt)
+    assert sorted((r.id, r.day, r.total, r.tags) for r in df.collect()) == [
+        (1, dt.date(2024, 1, 2), 1.5, None),
+        (2, None, None, None),
+    ]
+
+
+def test_unknown_format_is_refused(spark):
+    with pytest.raises(ContractError, match="avro"):
+        read_port(spark, ORDER, "/nowhere", "avro")
+
+
+def test_missing_columns(spark):
+    with pytest.raises(ContractError, match="id"):
+        apply_contract(spark.createDataFrame([("x",)], "day string"), ORDER)
+    df = apply_contract(spark.createDataFrame([(1,)], "ID int"), ORDER)
+    assert df.columns == ORDER.column_names and df.first().buyer is None
+
+
+def test_applying_twice_changes_nothing(spark):
+    source = spark.createDataFrame([(compact(GOOD),)], "payload string")
+    once = parse_payload(source, "payload", ORDER).select("payload.*")
+    assert rows(apply_contract(once, ORDER)) == rows(once) == [TYPED_GOOD]
+
+
+def test_unreadable_payload_is_a_struct_of_nulls(spark):
+    df = parse_payload(spark.createDataFrame([("{oops", 1), (None, 2)], "payload string, n int"), "payload", ORDER)
+    assert df.columns == ["payload", "n"]
+    broken, absent = df.orderBy("n").collect()
+    assert broken.payload.id is None and absent.payload is None
+
+
+def test_structs_get_declared_order_and_lose_other_fields(spark):
+    df = spark.createDataFrame([(1, (5, "x", "Ann")), (2, None)], "id int, buyer struct<age: int, z: string, name: string>")
+    assert [r.buyer and tuple(r.buyer) for r in apply_contract(df, ORDER).orderBy("id").collect()] == [("Ann", 5), None]
+
+
+def test_projection_reads_only_declared_columns(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id as a", "named_struct('x', id, 'y', id) as s").write.parquet(str(tmp_path / "t"))
+    contract = Contract.from_schema(
+        {"properties": {"id": {"type": "integer"}, "s": {"type": "object", "properties": {"x": {"type": "integer"}}}}}
+    )
+    plan = apply_contract(spark.read.parquet(str(tmp_path / "t")), contract)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,s:struct<x:bigint>>" in plan
+
+
+def test_comments_reach_columns_nested_fields_and_tables(spark):
+    df = apply_contract(spark.createDataFrame([(1,)], "id int"), ORDER)
+    assert df.schema["id"].metadata == {"comment": "Order's number"}
+    source = spark.createDataFrame([(1, ("Ann", 30))], "id int, buyer struct<name: string, age: int>")
+    write_port(source, ORDER, "order_port")
+    try:
+        write_port(source, ORDER, "order_port")
+        assert spark.table("order_port").count() == 2
+        described = {r.col_name: r for r in spark.sql("DESCRIBE EXTENDED order_port").collect()}
+        assert described["id"].comment == "Order's number" and described["buyer"].comment == "Who"
+        assert described["Comment"].data_type == "An order"
+        assert spark.table("order_port").schema["buyer"].dataType["name"].metadata["comment"] == "Full name"
+        write_port(source, ORDER, "order_port", overwrite=True)
+        assert spark.table("order_port").count() == 1
+    finally:
+        spark.sql("DROP TABLE order_port")
+
+
+def test_snake_case_columns(spark):
+    nested = T.StructType([T.StructField("Zip Code", T.StringType())])
+    df = spark.createDataFrame(
+        [(1, 2, 3, ("x",), [("y",)])],
+        T.StructType(
+            [
+                T.StructField("Order-Id", T.LongType()),
+                T.StructField("2nd  Value", T.LongType()),
+                T.StructField("camelCase", T.LongType()),
+                T.StructField("Home.Address", nested),
+                T.StructField("All", T.ArrayType(nested)),
+            ]
+        ),
+    )
+    out = snake_case_columns(df)
+    assert out.columns == ["order_id", "_2nd_value", "camelcase", "home_address", "all"]
+    assert out.select("home_address.zip_code", F.col("all")[0]["zip_code"]).first()[:] == ("x", "y")
+    with pytest.raises(ContractError, match="a_b"):
+        snake_case_columns(spark.createDataFrame([(1, 2)], "`A b` int, `a-B` int"))
+    with pytest.raises(ContractError):
+        snake_case_columns(spark.createDataFrame([(1,)], "`!?` int"))
+
+
+ID = {"type": "object", "properties": {"id": {"type": "integer", "minimum": 1}}}
+
+
+def test_run_ports(spark):
+    ports = {
+        "one": Port(spark.createDataFrame([(1, 2)], "id int, x int"), ID),
+        "two": Port(spark.createDataFrame([("7",)], "id string"), Contract.from_schema(ID, "two")),
+        "bare": Port(spark.createDataFrame([(1,)], "id int")),
+    }
+    assert sorted(run_ports(ports).collect()) == [("one", 1), ("two", 7)]
+    assert [r.port for r in run_ports(ports, ["two", " "]).collect()] == ["two"]
+    with pytest.raises(ContractError, match="'three' not found"):
+        run_ports(ports, ["one", "three"])
+    with pytest.raises(ContractError, match="no ports"):
+        run_ports(ports, ["bare"])
+    assert [(r.port, r.rows, r.violations) for r in summarise_ports(ports).collect()] == [("one", 1, 0), ("two", 1, 0)]
+
+
+def test_run_ports_reports_all_failures_together(spark):
+    df = spark.createDataFrame([(1,)], "x int")
+    ports = {
+        "cycle": Port(df, {"properties": {"a": {"$ref": "#/$defs/A"}}, "$defs": {"A": {"$ref": "#/$defs/A"}}}),
+        "fine": Port(df, {"properties": {"x": {"type": "integer"}}}),
+        "lacking": Port(df, {"required": ["y"], "properties": {"y": {}}}),
+    }
+    with pytest.raises(PortErrors) as caught:
+        run_ports(ports, action=annotate)
+    assert sorted(caught.value.errors) == ["cycle", "lacking"]

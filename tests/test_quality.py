@@ -1,0 +1,160 @@
+"""Check sets over tables: the four views of the same violations agree, and plans stay lean."""
+
+import json
+import re
+
+from pyspark.sql import functions as F
+
+from tablepact import Contract, annotate, enforce, split, summarise, violations
+
+CONTRACT = Contract.from_schema(
+    {
+        "type": "object",
+        "required": ["id", "kind"],
+        "properties": {
+            "id": {"type": "integer", "minimum": 0},
+            "kind": {"type": "string", "enum": ["a", "b"]},
+            "day": {"format": "date"},
+            "payload": {
+                "type": "object",
+                "required": ["n"],
+                "properties": {"n": {"type": "integer", "maximum": 5}, "s": {"type": "string", "maxLength": 2}},
+            },
+        },
+    }
+)
+ROWS = [
+    ("1", "a", "2024-01-01", json.dumps({"n": 1, "s": "ok"})),
+    ("-1", "c", "soon", json.dumps({"n": 9, "s": "long"})),
+    ("x", None, None, None),
+    (None, "b", "2024-01-01", "{broken"),
+    ("5", "b", None, json.dumps({"n": "5"})),
+]
+EXPECTED = {
+    1: [],
+    2: [
+        ("is_not_less_than", "id"),
+        ("is_in_list", "kind"),
+        ("is_valid_date", "day"),
+        ("is_not_greater_than", "payload.n"),
+        ("max_length", "payload.s"),
+    ],
+    3: [("is_not_null", "id"), ("is_not_null", "kind"), ("is_not_null", "payload.n")],
+    4: [("is_not_null", "id"), ("is_not_null", "payload.n")],
+    5: [],
+}
+
+
+def frame(spark):
+    numbered = [(n, *row) for n, row in enumerate(ROWS, 1)]
+    return spark.createDataFrame(numbered, "key int, id string, kind string, day string, payload string")
+
+
+def test_annotate(spark):
+    out = annotate(frame(spark), CONTRACT)
+    assert out.columns == ["key", "id", "kind", "day", "payload", "_errors"]
+    assert {r.key: [(e.check, e.column) for e in r._errors] for r in out.collect()} == EXPECTED
+    assert out.where("key = 2").first().payload == ROWS[1][3]
+
+
+def test_annotate_again_replaces_the_errors(spark):
+    out = annotate(annotate(frame(spark), CONTRACT), CONTRACT)
+    assert out.columns.count("_errors") == 1
+
+
+def test_split(spark):
+    valid, quarantine = split(frame(spark), CONTRACT)
+    assert sorted(r.key for r in valid.collect()) == [1, 5]
+    assert {r.key: len(r._errors) for r in quarantine.collect()} == {2: 5, 3: 3, 4: 2}
+    assert valid.columns == frame(spark).columns
+
+
+def test_violations(spark):
+    found = {}
+    for r in violations(frame(spark), CONTRACT, "key").collect():
+        found.setdefault(r.key, []).append((r.check, r.column))
+    assert found == {k: v for k, v in EXPECTED.items() if v}
+    assert violations(frame(spark), CONTRACT, ["key", "kind"]).columns == ["key", "kind", "check", "column", "message"]
+
+
+def test_summary(spark):
+    summary = summarise(frame(spark), CONTRACT).collect()
+    assert [r.check_no for r in summary] == list(range(1, len(CONTRACT.checks) + 1))
+    counts = {}
+    for errors in EXPECTED.values():
+        for e in errors:
+            counts[e] = counts.get(e, 0) + 1
+    assert {(r.check, r.column): r.violations for r in summary if r.violations} == counts
+    assert all(r.rows == 5 and r.rate == r.violations / 5 for r in summary)
+
+
+def test_summary_of_nothing(spark):
+    empty = frame(spark).where("false")
+    assert all(r.rows == 0 and r.violations == 0 and r.rate is None for r in summarise(empty, CONTRACT).collect())
+
+
+def test_contract_without_rules(spark):
+    free = Contract.from_schema({"properties": {"id": {"type": "string"}}})
+    df = frame(spark)
+    assert summarise(df, free).count() == 0
+    assert summarise(df, free).columns == summarise(df, CONTRACT).columns
+    assert annotate(df, free).where(F.size("_errors") > 0).count() == 0
+    valid, quarantine = split(df, free)
+    assert (valid.count(), quarantine.count()) == (5, 0)
+    assert quarantine.schema == split(df, CONTRACT)[1].schema
+    assert violations(df, free, "key").count() == 0
+
+
+def test_enforce(spark, tmp_path):
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    enforce(frame(spark), CONTRACT, good, bad)
+    kept = {r.id: r for r in spark.read.parquet(good).collect()}
+    assert sorted(kept) == [1, 5] and kept[1].payload.n == 1 and kept[5].payload.n == 5
+    assert sorted(r.key for r in spark.read.parquet(bad).collect()) == [2, 3, 4]
+    assert spark.read.parquet(good).columns == CONTRACT.column_names
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def wide(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(100).selectExpr("id", "id % 7 as a", "cast(id as string) as s", "id as unused").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+MANY = Contract.from_schema(
+    {
+        "required": ["a", "s"],
+        "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 5}, "s": {"pattern": "[0-4]$", "maxLength": 1}},
+    }
+)
+
+
+def test_summary_is_one_scan_of_the_checked_columns(spark, tmp_path):
+    plan = executed(summarise(wide(spark, tmp_path), MANY))
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall("FileScan", final)) == 1 and len(re.findall(r"Exchange", final)) == 1
+    assert "ReadSchema: struct<a:bigint,s:string>" in final
+
+
+def test_annotation_stays_in_one_generated_stage(spark, tmp_path):
+    plan = executed(annotate(wide(spark, tmp_path), MANY))
+    assert "*(1) Project" in plan and "Exchange" not in plan and "lambda" not in plan
+
+
+def test_simple_rules_of_the_quarantine_reach_the_scan(spark, tmp_path):
+    simple = Contract.from_schema({"properties": {"a": {"type": "integer", "minimum": 1, "maximum": 5}}})
+    plan = executed(split(wide(spark, tmp_path), simple)[1])
+    assert re.search(r"PushedFilters: \[.*LessThan\(a,1\).*GreaterThan\(a,5\)", plan)
+
+
+def test_long_contracts(spark):
+    df = spark.range(50).selectExpr(*[f"id + {n} as c{n}" for n in range(150)])
+    properties = {f"c{n}": {"type": "integer", "minimum": n, "maximum": n + 40} for n in range(150)}
+    contract = Contract.from_schema({"required": list(properties), "properties": properties})
+    summary = summarise(df, contract).collect()
+    assert len(summary) == 300 and {r.violations for r in summary if r.check == "is_in_range"} == {9}
+    assert annotate(df, contract).where(F.size("_errors") == 150).count() == 9
