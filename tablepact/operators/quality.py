@@ -179,7 +179,7 @@ def summarise(df: DataFrame, contract: Contract) -> DataFrame:
     checked = bind(df, contract)
     counts = checked.staged.frame.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(fails).alias(f"v{n}") for n, fails in enumerate(checked.failures)],
+        *[F.count(F.when(fails, 1)).alias(f"v{n}") for n, fails in enumerate(checked.failures)],
     )
     entries = [
         F.struct(

@@ -90,22 +90,37 @@ def parse_catalog(specs: DataFrame, product: str = "product", spec: str = "spec"
     """
     texts = specs.select(F.col(product).alias("product"), _as_json(F.col(spec), fmt).alias("text"))
     docs = texts.select("product", F.from_json("text", SPEC_TYPE).alias("doc"))
+    ports = _entries(docs, "doc.ports")
+    uses = ports.select("product", "name", F.posexplode("entry.connections").alias("pos", "use"))
     return Catalog(
         products=_products(texts),
-        tags=docs.select("product", F.posexplode("doc.tags").alias("pos", "tag")).select("product", "pos", "tag.*"),
-        connections=docs.select("product", F.explode("doc.connections").alias("name", "c")).select(
-            "product", "name", "c.type", "c.host", "c.description", "c.variables"
+        tags=docs.select("product", F.posexplode_outer("doc.tags").alias("pos", "tag"))
+        .where("pos is not null")
+        .select("product", "pos", "tag.*"),
+        connections=_entries(docs, "doc.connections").select(
+            "product", "name", _given("entry.type"), _given("entry.host"), "entry.description", "entry.variables"
         ),
-        ports=docs.select("product", F.explode("doc.ports").alias("name", "p")).select(
-            "product", "name", "p.description", "p.schema"
+        ports=ports.select("product", "name", "entry.description", "entry.schema"),
+        port_connections=uses.select(
+            "product",
+            F.col("name").alias("port"),
+            "pos",
+            _target(F.col("use.connection"), CONNECTION_PREFIX),
+            "use.location",
         ),
-        port_connections=docs.select("product", F.explode("doc.ports").alias("port", "p"))
-        .select("product", "port", F.posexplode("p.connections").alias("pos", "use"))
-        .select("product", "port", "pos", _target(F.col("use.connection"), CONNECTION_PREFIX), "use.location"),
-        components=docs.select("product", F.explode("doc.components.schemas").alias("name", "schema")),
+        components=_entries(docs, "doc.components.schemas").withColumnRenamed("entry", "schema"),
     )
 
 
+def _entries(docs: DataFrame, path: str) -> DataFrame:
+    """A map of the document as rows of product, name and entry.
+
+    Exploded as outer and then filtered: an inner explode adds a filter on the map's size
+    below it, and with that parses each document more than once.
+    """
+    return docs.select("product", F.explode_outer(path).alias("name", "entry")).where("name is not null")
+
+
 def _products(texts: DataFrame) -> DataFrame:
     corrupt = "_corrupt"
     kept = F.from_json("text", f"info struct<title: string, version: string, description: string>, {corrupt} string",
@@ -115,6 +130,11 @@ def _products(texts: DataFrame) -> DataFrame:
     )
 
 
+def _given(path: str) -> Column:
+    """A part of an endpoint; endpoints that leave it out are alike in that."""
+    return F.coalesce(F.col(path), F.lit("")).alias(path.rsplit(".", 1)[1])
+
+
 def _target(reference: Column, prefix: str) -> Column:
     bare = F.when(reference.startswith(prefix), F.substring(reference, len(prefix) + 1, 1 << 30)).otherwise(reference)
     return bare.alias("connection")
