@@ -107,10 +107,17 @@ CUSTOMER_PORT = Contract.from_schema(
 )
 
 
+def cast_primitive(spark, folder):
+    typed = apply_contract(PRIMITIVES_AS_TEXT.frame(spark, folder), PRIMITIVES)
+    # Booleans and, below, dates are compared by their text, which all clients print alike.
+    return typed.withColumn("paid", F.col("paid").cast("string"))
+
+
 def cast_temporal(spark, folder):
     typed = apply_contract(TEMPORAL_AS_TEXT.frame(spark, folder), TEMPORAL)
     # Instants leave as wall-clock time of the session, so that no time zone enters the result.
-    return typed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("order_time", "stamp")})
+    shown = {c: F.col(c).cast("timestamp_ntz") for c in ("order_time", "stamp")}
+    return typed.withColumns({**shown, **{c: F.col(c).cast("string") for c in ("order_date", "day")}})
 
 
 def array(spark, folder):
@@ -193,15 +200,16 @@ QUERIES: dict[str, Query] = {
         "SELECT o_totalprice, o_orderkey, o_orderstatus FROM orders",
     ),
     "contract_cast_primitive": Query(
-        lambda spark, folder: apply_contract(PRIMITIVES_AS_TEXT.frame(spark, folder), PRIMITIVES),
+        cast_primitive,
         f"""SELECT o_orderkey, try_cast(customer AS BIGINT) AS customer, try_cast(price AS DOUBLE) AS price,
-            try_cast(paid AS BOOLEAN) AS paid, CAST(reference AS VARCHAR) AS reference
+            CAST(try_cast(paid AS BOOLEAN) AS VARCHAR) AS paid, CAST(reference AS VARCHAR) AS reference
         FROM ({PRIMITIVES_AS_TEXT.sql})""",
     ),
     "contract_cast_temporal": Query(
         cast_temporal,
-        f"""SELECT o_orderkey, try_cast(order_date AS DATE) AS order_date,
-            try_cast(order_time AS TIMESTAMP) AS order_time, CAST(stamp AS TIMESTAMP) AS stamp, CAST(day AS DATE) AS day
+        f"""SELECT o_orderkey, CAST(try_cast(order_date AS DATE) AS VARCHAR) AS order_date,
+            try_cast(order_time AS TIMESTAMP) AS order_time, CAST(stamp AS TIMESTAMP) AS stamp,
+            CAST(CAST(day AS DATE) AS VARCHAR) AS day
         FROM ({TEMPORAL_AS_TEXT.sql})""",
     ),
     "contract_array": Query(

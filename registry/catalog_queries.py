@@ -199,7 +199,7 @@ ADDRESS_FIELDS = [
 
 
 def field_sql(port: str, path: str, kind: str, required: str, description: str, constraints: str, where: str) -> str:
-    return f"""SELECT product, '{port}' AS port, '{path}' AS path, '{kind}' AS type, {required} AS required,
+    return f"""SELECT product, '{port}' AS port, '{path}' AS path, '{kind}' AS type, '{required}' AS required,
         '{description}' AS description, {constraints} AS constraints, CAST(NULL AS VARCHAR) AS error
     FROM base WHERE {where}"""
 
@@ -226,6 +226,10 @@ FIELDS_SQL = CATALOG_SQL + "\nUNION ALL\n".join(
 )
 
 
+def fields(spark, folder):
+    return field_catalog(corpus(spark, folder)).withColumn("required", F.col("required").cast("string"))
+
+
 def connection_details(spark, folder):
     """Variables and port locations in one list."""
     c = catalog(spark, folder)
@@ -271,7 +275,7 @@ def part_graph(spark, folder) -> Catalog:
 
 QUERIES: dict[str, Query] = {
     "catalog_parse": Query(parsed, PARSED_SQL),
-    "field_catalog": Query(lambda spark, folder: field_catalog(corpus(spark, folder)), FIELDS_SQL),
+    "field_catalog": Query(fields, FIELDS_SQL),
     "port_listing": Query(
         lambda spark, folder: C.port_listing(catalog(spark, folder)),
         f"""{CATALOG_SQL}, named AS (

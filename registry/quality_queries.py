@@ -122,7 +122,11 @@ def stored_sides(spark, folder):
     good, bad = scratch_path(spark, "orders-good"), scratch_path(spark, "orders-bad")
     enforce(RAW_ORDERS.frame(spark, folder), ORDERS, good, bad)
     kept = spark.read.parquet(good).select(
-        F.lit("good").alias("side"), "o_orderkey", "custkey", F.lit(None).cast("string").alias("raw"), "order_date"
+        F.lit("good").alias("side"),
+        "o_orderkey",
+        "custkey",
+        F.lit(None).cast("string").alias("raw"),
+        F.col("order_date").cast("string").alias("order_date"),
     )
     return kept.unionByName(
         spark.read.parquet(bad).select(
@@ -130,7 +134,7 @@ def stored_sides(spark, folder):
             "o_orderkey",
             F.lit(None).cast("bigint").alias("custkey"),
             F.col("custkey").alias("raw"),
-            F.lit(None).cast("date").alias("order_date"),
+            F.lit(None).cast("string").alias("order_date"),
         )
     )
 
@@ -183,7 +187,7 @@ QUERIES: dict[str, Query] = {
         f"""SELECT CASE WHEN {ANY_BROKEN} THEN 'bad' ELSE 'good' END AS side, o_orderkey,
             CASE WHEN NOT ({ANY_BROKEN}) THEN try_cast(custkey AS BIGINT) END AS custkey,
             CASE WHEN {ANY_BROKEN} THEN custkey END AS raw,
-            CASE WHEN NOT ({ANY_BROKEN}) THEN try_cast(order_date AS DATE) END AS order_date
+            CASE WHEN NOT ({ANY_BROKEN}) THEN CAST(try_cast(order_date AS DATE) AS VARCHAR) END AS order_date
         FROM ({RAW_ORDERS.sql})""",
     ),
     "stream_enforce": Query(

@@ -3,17 +3,32 @@
 from tablepact.errors import ContractError, PortErrors
 from tablepact.functions.checks import CHECKS, register_check
 from tablepact.operators.apply import apply_contract, parse_payload, snake_case_columns
+from tablepact.operators.catalog import (
+    blocked_connections,
+    connection_ports,
+    connection_usage,
+    connection_variables,
+    dangling_references,
+    describe_connection,
+    duplicate_names,
+    endpoint_users,
+    port_listing,
+    removable_connections,
+)
+from tablepact.operators.closure import schema_closure
 from tablepact.operators.enforce import enforce
 from tablepact.operators.ports import Port, run_ports, summarise_ports
 from tablepact.operators.quality import annotate, split, summarise, violations
 from tablepact.plans.contract import Contract, Field, contracts_of
 from tablepact.plans.rules import Check
 from tablepact.sources.files import read_port, read_raw
+from tablepact.sources.specs import Catalog, field_catalog, parse_catalog, read_spec
 from tablepact.sources.tables import create_port_table, write_port
 from tablepact.streaming.enforce import enforce_stream
 
 __all__ = [
     "CHECKS",
+    "Catalog",
     "Check",
     "Contract",
     "ContractError",
@@ -22,15 +37,29 @@ __all__ = [
     "PortErrors",
     "annotate",
     "apply_contract",
+    "blocked_connections",
+    "connection_ports",
+    "connection_usage",
+    "connection_variables",
     "contracts_of",
     "create_port_table",
+    "dangling_references",
+    "describe_connection",
+    "duplicate_names",
+    "endpoint_users",
     "enforce",
     "enforce_stream",
+    "field_catalog",
+    "parse_catalog",
     "parse_payload",
+    "port_listing",
     "read_port",
     "read_raw",
+    "read_spec",
     "register_check",
+    "removable_connections",
     "run_ports",
+    "schema_closure",
     "snake_case_columns",
     "split",
     "summarise",

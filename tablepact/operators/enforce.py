@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tablepact.operators.quality import accepted, split
 from tablepact.plans.contract import Contract
 
-# Above this estimated input size two scans cost less than a copy of the input on
-# executor disks; below it, the second write reads the kept copy.
-KEEP_LIMIT_BYTES = 16 * 1024**3
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of the frame, where the session can tell."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
-        return None
-
-
-@contextmanager
-def kept(df: DataFrame, limit: int = KEEP_LIMIT_BYTES) -> Iterator[DataFrame]:
-    """The frame, persisted while in use if its estimated size is known and within ``limit``."""
-    size = estimated_bytes(df)
-    if size is None or size > limit:
-        yield df
-        return
-    persisted = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield persisted
-    finally:
-        persisted.unpersist()
-
 
-def enforce(df: DataFrame, contract: Contract, good: str, bad: str, mode: str = "overwrite") -> None:
+def enforce(
+    df: DataFrame, contract: Contract, good: str, bad: str, mode: str = "overwrite", keep: bool = False
+) -> None:
     """Write valid rows, cast to the contract, to ``good`` and the rest, as they came, to ``bad``.
 
     Both are Parquet paths. Quarantined rows keep their own columns plus ``_errors``.
+
+    Each side is a map-only job of its own over the input; for files, the quarantine's scan
+    can skip whatever the simple rules rule out, and nothing is copied to executor disks.
+    ``keep`` holds the rows for the second write instead: right for input that is costly to
+    compute, or that does not give the same rows twice.
     """
-    with kept(df) as source:
+    source = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
+    try:
         accepted(source, contract).write.mode(mode).parquet(good)
         split(source, contract)[1].write.mode(mode).parquet(bad)
+    finally:
+        if keep:
+            source.unpersist()

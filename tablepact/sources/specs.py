@@ -11,6 +11,7 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -86,7 +87,7 @@ def parse_catalog(specs: DataFrame, product: str = "product", spec: str = "spec"
     """Turn a corpus into catalog tables.
 
     ``fmt`` is ``json`` or ``yaml``. JSON is parsed by Spark; YAML is first rewritten as JSON
-    on the executors, and JSON texts among it are left as they are.
+    on the executors; JSON texts among it are as good.
     """
     texts = specs.select(F.col(product).alias("product"), _as_json(F.col(spec), fmt).alias("text"))
     docs = texts.select("product", F.from_json("text", SPEC_TYPE).alias("doc"))
@@ -155,28 +156,37 @@ def yaml_as_json(texts: pd.Series) -> pd.Series:
     loader = _yaml_loader()
 
     def convert(text: str | None) -> str | None:
-        if text is None or _is_json(text):
-            return text
         try:
-            return json.dumps(yaml.load(text, Loader=loader))
-        except (yaml.YAMLError, TypeError):
+            return None if text is None else json.dumps(_parsed(text, loader))
+        except (ContractError, TypeError):
             return text
 
     return texts.map(convert)
 
 
-def _is_json(text: str) -> bool:
-    if not text.lstrip().startswith("{"):
-        return False
+def read_spec(text: str) -> Any:
+    """One spec document, JSON or YAML, as Python values."""
+    return _parsed(text, _yaml_loader())
+
+
+def _parsed(text: str, loader) -> Any:
+    if text.lstrip().startswith("{"):
+        try:
+            return json.loads(text)
+        except ValueError:
+            pass  # a YAML flow mapping may look like this too
+    if loader is None:
+        raise ContractError("reading YAML specs needs the yaml package")
     try:
-        json.loads(text)
-    except ValueError:
-        return False
-    return True
+        return yaml.load(text, Loader=loader)
+    except yaml.YAMLError as err:
+        raise ContractError(f"the spec is not readable: {err}") from err
 
 
 def _yaml_loader():
     """A safe loader in which only true and false are booleans and dates stay text."""
+    if yaml is None:
+        return None
     loader = type("SpecLoader", (getattr(yaml, "CSafeLoader", yaml.SafeLoader),), {})
     dropped = ("tag:yaml.org,2002:bool", "tag:yaml.org,2002:timestamp")
     loader.yaml_implicit_resolvers = {

@@ -3,15 +3,19 @@
 import json
 import random
 import re
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tablepact import contracts_of, read_spec
 from tablepact.errors import ContractError
 from tablepact.operators import catalog as C
 from tablepact.operators.closure import component_edges, reachable, schema_closure
 from tablepact.operators.joins import lookup
-from tablepact.sources.specs import Catalog, constraint_text, field_catalog, parse_catalog
+from tablepact.sources.specs import Catalog, constraint_text, field_catalog, field_rows, parse_catalog, yaml_as_json
 
 SHOP = """
 info: {title: Shop analytics, version: "2.0.0", description: Numbers of the shop}
@@ -188,6 +192,33 @@ def test_field_catalog(specs):
     }
 
 
+def test_contracts_straight_from_a_document():
+    contracts = contracts_of(read_spec(SHOP.replace("Gone", "Event")))
+    assert contracts["plain"] is None and contracts["order_events"].column_names == ["lines"]
+    assert [c.rule for c in contracts["daily_orders"].checks if c.column == "region"] == [
+        "is_in_list",
+        "is_equal_to",
+        "regex_match",
+    ]
+    assert read_spec("{a: b}") == {"a": "b"}
+    with pytest.raises(ContractError, match="not readable"):
+        read_spec("a: [")
+
+
+@pytest.mark.parametrize("function", [yaml_as_json, field_rows])
+def test_executors_need_no_copy_of_the_package(function, tmp_path):
+    (tmp_path / "function").write_bytes(cloudpickle.dumps(function))
+    script = f"""
+import pickle, pandas as pd
+with open("function", "rb") as f:
+    function = pickle.load(f)
+specs = pd.DataFrame({{"product": ["1"], "text": ['{{"ports": {{"p": {{"schema": {{"properties": {{"a": {{}}}}}}}}}}}}']}})
+out = function(specs["text"]) if function.__name__ == "yaml_as_json" else next(function(iter([specs])))
+assert len(out) == 1, out
+"""
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True, timeout=60)
+
+
 def test_constraint_text():
     rules = {"enum": ["a", 1, True], "const": 2.0, "pattern": "^a", "format": "date", "minimum": 1.5, "maxItems": 3}
     assert constraint_text(rules) == "enum: `a`, `1`, `true`, const: `2`, pattern: `^a`, format: date, minimum: 1.5, maxItems: 3"

@@ -3,6 +3,7 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablepact import Contract, annotate, enforce, split, summarise, violations
@@ -105,9 +106,10 @@ def test_contract_without_rules(spark):
     assert violations(df, free, "key").count() == 0
 
 
-def test_enforce(spark, tmp_path):
+@pytest.mark.parametrize("keep", [False, True])
+def test_enforce(spark, tmp_path, keep):
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    enforce(frame(spark), CONTRACT, good, bad)
+    enforce(frame(spark), CONTRACT, good, bad, keep=keep)
     kept = {r.id: r for r in spark.read.parquet(good).collect()}
     assert sorted(kept) == [1, 5] and kept[1].payload.n == 1 and kept[5].payload.n == 5
     assert sorted(r.key for r in spark.read.parquet(bad).collect()) == [2, 3, 4]
