@@ -159,12 +159,12 @@ QUERIES: dict[str, Query] = {
     "check_valid_ipv4": check_query(
         source("orders", IPV4),
         {"address": {"type": "string", "format": "ipv4"}},
-        [("is_valid_ipv4", "address", not_matching("address", IPV4_PATTERN))],
+        [("is_valid_ipv4_address", "address", not_matching("address", IPV4_PATTERN))],
     ),
     "check_valid_ipv6": check_query(
         source("orders", IPV6),
         {"address": {"type": "string", "format": "ipv6"}},
-        [("is_valid_ipv6", "address", not_matching("address", IPV6_PATTERN))],
+        [("is_valid_ipv6_address", "address", not_matching("address", IPV6_PATTERN))],
     ),
     "check_uuid": check_query(
         source("orders", UUID),

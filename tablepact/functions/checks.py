@@ -129,8 +129,8 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "max_items": max_items,
     "is_valid_date": is_valid_date,
     "is_valid_timestamp": is_valid_timestamp,
-    "is_valid_ipv4": partial(regex_match, pattern=IPV4_PATTERN),
-    "is_valid_ipv6": partial(regex_match, pattern=IPV6_PATTERN),
+    "is_valid_ipv4_address": partial(regex_match, pattern=IPV4_PATTERN),
+    "is_valid_ipv6_address": partial(regex_match, pattern=IPV6_PATTERN),
     "is_uuid": partial(regex_match, pattern=UUID_PATTERN),
     "is_email": partial(regex_match, pattern=EMAIL_PATTERN),
 }

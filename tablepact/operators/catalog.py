@@ -140,7 +140,8 @@ def blocked_connections(catalog: Catalog) -> DataFrame:
 
 def component_references(schema: Column) -> Column:
     """Names of the shared schemas a JSON schema text refers to, each once."""
-    pattern = rf'"\$ref"\s*:\s*"{COMPONENT_PREFIX}([^"]+)"'
+    prefix = COMPONENT_PREFIX.replace("/", r"\\?/")  # JSON may write a slash with a backslash
+    pattern = rf'"\$ref"\s*:\s*"{prefix}([^"]+)"'
     return F.array_distinct(F.regexp_extract_all(schema, F.lit(pattern), F.lit(1)))
 
 

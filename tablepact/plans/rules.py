@@ -32,8 +32,8 @@ CONSTRAINT_KEYWORDS = (
 CHECK_BY_FORMAT = {
     "date": "is_valid_date",
     "date-time": "is_valid_timestamp",
-    "ipv4": "is_valid_ipv4",
-    "ipv6": "is_valid_ipv6",
+    "ipv4": "is_valid_ipv4_address",
+    "ipv6": "is_valid_ipv6_address",
     "uuid": "is_uuid",
     "email": "is_email",
 }
@@ -218,6 +218,8 @@ def _moment(text: str, data_type: T.DataType) -> str | None:
 
 def show(value: Any) -> str:
     """A value as it reads in messages: whole floats without a fraction, JSON booleans."""
+    if value is None:
+        return "<nil>"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:

@@ -220,8 +220,8 @@ assert len(out) == 1, out
 
 
 def test_constraint_text():
-    rules = {"enum": ["a", 1, True], "const": 2.0, "pattern": "^a", "format": "date", "minimum": 1.5, "maxItems": 3}
-    assert constraint_text(rules) == "enum: `a`, `1`, `true`, const: `2`, pattern: `^a`, format: date, minimum: 1.5, maxItems: 3"
+    rules = {"enum": ["a", 1, True, None], "const": 2.0, "pattern": "^a", "format": "date", "minimum": 1.5, "maxItems": 3}
+    assert constraint_text(rules) == "enum: `a`, `1`, `true`, `<nil>`, const: `2`, pattern: `^a`, format: date, minimum: 1.5, maxItems: 3"
 
 
 def graph_catalog(spark, edges, roots):
@@ -266,6 +266,12 @@ def test_closure_against_brute_force(spark, seed):
     assert rows(schema_closure(graph_catalog(spark, edges, roots))) == expected
 
 
+def test_references_are_found_however_slashes_are_written(spark):
+    texts = [(r'{"a": {"$ref" : "#/components/schemas/A"}, "b": [{"$ref":"#\/components\/schemas\/B"}]}',), ('{"$ref": "#/$defs/A"}',)]
+    found = spark.createDataFrame(texts, "schema string").select(C.component_references(F.col("schema"))).collect()
+    assert [r[0] for r in found] == [["A", "B"], []]
+
+
 def test_closure_of_nothing(spark):
     catalog = graph_catalog(spark, [("a", "b")], ["a"])
     empty = catalog.ports.where("false").selectExpr("product", "name as root")

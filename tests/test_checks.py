@@ -38,8 +38,8 @@ CASES = [
     ("is_valid_date", {"format": "date"}, "string", ["2024-02-29", "2024-01"], ["2023-02-29", "soon", ""]),
     ("is_valid_date", {"format": "date"}, "date", [dt.date(2024, 1, 1)], []),
     ("is_valid_timestamp", {"format": "date-time"}, "string", ["2024-01-01T10:00:00Z", "2024-01-01"], ["noon", "2024-13-01T00:00:00Z"]),
-    ("is_valid_ipv4", {"format": "ipv4"}, "string", ["0.0.0.0", "255.255.255.255"], ["256.1.1.1", "1.2.3", "a 1.2.3.4"]),
-    ("is_valid_ipv6", {"format": "ipv6"}, "string", ["::", "::1", "2001:db8::1", "1:2:3:4:5:6:7:8"], ["1:2", ":::", "g::1", "1:2:3:4:5:6:7:8:9"]),
+    ("is_valid_ipv4_address", {"format": "ipv4"}, "string", ["0.0.0.0", "255.255.255.255"], ["256.1.1.1", "1.2.3", "a 1.2.3.4"]),
+    ("is_valid_ipv6_address", {"format": "ipv6"}, "string", ["::", "::1", "2001:db8::1", "1:2:3:4:5:6:7:8"], ["1:2", ":::", "g::1", "1:2:3:4:5:6:7:8:9"]),
     ("is_uuid", {"format": "uuid"}, "string", ["00000000-0000-4000-8000-00000000000A"], ["00000000-0000-4000-8000-00000000000", "x"]),
     ("is_email", {"format": "email"}, "string", ["a.b+c@x-y.org"], ["a@b", "@x.org", "a b@x.org"]),
 ]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tablepact import Contract, enforce, enforce_stream
+from tablepact import Contract, annotate, apply_contract, enforce, enforce_stream, split
 
 CONTRACT = Contract.from_schema(
     {
@@ -62,6 +62,16 @@ def test_stream_equals_batch_and_restarts_add_nothing(spark, paths):
     assert sum(map(len, sides(spark, paths["good"], paths["bad"]))) == 80
 
 
+def test_checks_apply_to_streaming_frames(spark, paths):
+    add_file(spark, paths["in"], 0)
+    stream = spark.readStream.schema(CONTRACT.text_schema).json(paths["in"])
+    for frame in (annotate(stream, CONTRACT), apply_contract(stream, CONTRACT), *split(stream, CONTRACT)):
+        assert frame.isStreaming
+    query = annotate(stream, CONTRACT).writeStream.format("memory").queryName("annotated").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("annotated").count() == 20
+
+
 def test_a_replayed_batch_overwrites_itself(spark, paths, tmp_path):
     add_file(spark, paths["in"], 0)
     add_file(spark, paths["in"], 20)
