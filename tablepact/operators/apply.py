@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,24 +47,47 @@ class Staged:
         return cast_to(*found, data_type)
 
 
-def stage(df: DataFrame, contract: Contract) -> Staged:
-    """Bind the contract to the frame; parse nested columns that hold JSON text, once each."""
+def stage(df: DataFrame, contract: Contract, paths: Collection[tuple[str, ...]] | None = None) -> Staged:
+    """Bind the contract to the frame; parse nested columns that hold JSON text, once each.
+
+    Given ``paths``, only columns and nested fields on one of them are parsed.
+    """
     roots: dict[str, T.StructField] = {}
-    parsed: dict[str, Column] = {}
     absent = []
     for f in contract.fields:
         held = find_field(df.schema, f.name)
         if held is None:
             absent.extend([f.name] if f.required else [])
             continue
-        if _is_nested(f.data_type) and isinstance(held.dataType, T.StringType):
-            shape = text_type(f.data_type)
-            parsed[PARSED_PREFIX + held.name] = F.from_json(column([held.name]), shape)
+        needed = f.data_type if paths is None else _on_paths(f, paths)
+        if needed is not None and _is_nested(f.data_type) and isinstance(held.dataType, T.StringType):
+            shape = text_type(needed)
+            df = _with_parsed(df, held.name, shape)
             held = T.StructField(PARSED_PREFIX + held.name, shape)
         roots[f.name] = held
     if absent:
         raise ContractError(f"{contract.name or 'contract'}: required columns missing from the data: {', '.join(absent)}")
-    return Staged(df.withColumns(parsed) if parsed else df, roots)
+    return Staged(df, roots)
+
+
+def _with_parsed(df: DataFrame, name: str, shape: T.DataType) -> DataFrame:
+    """Add a column of JSON text in parsed form.
+
+    It is the output of a generator of one row, because a filter on a plain column would be
+    pushed below it and parse the text again for every rule it tests.
+    """
+    parsed = F.array(F.from_json(column([name]), shape))
+    return df.select("*", F.explode_outer(parsed).alias(PARSED_PREFIX + name))
+
+
+def _on_paths(f: Field, paths: Collection[tuple[str, ...]]) -> T.DataType | None:
+    """The part of a field's type that lies on one of the paths."""
+    if not any(path[: len(f.path)] == f.path for path in paths):
+        return None
+    if not isinstance(f.data_type, T.StructType):
+        return f.data_type
+    kept = [(c.name, _on_paths(c, paths)) for c in f.children]
+    return T.StructType([T.StructField(name, kind) for name, kind in kept if kind is not None])
 
 
 def _is_nested(data_type: T.DataType) -> bool:
@@ -93,9 +117,8 @@ def apply_contract(df: DataFrame, contract: Contract) -> DataFrame:
 def parse_payload(df: DataFrame, payload: str, contract: Contract) -> DataFrame:
     """Replace a JSON text column by a struct of the contract's shape and types."""
     shape = contract.text_schema
-    holder = PARSED_PREFIX + payload
-    parsed = df.withColumn(holder, F.from_json(column([payload]), shape))
-    typed = cast_to(column([holder]), shape, contract.schema)
+    parsed = _with_parsed(df, payload, shape)
+    typed = cast_to(column([PARSED_PREFIX + payload]), shape, contract.schema)
     return parsed.select(*[typed.alias(c) if c == payload else column([c]) for c in df.columns])
 
 

@@ -147,9 +147,17 @@ def component_references(schema: Column) -> Column:
 
 def port_references(catalog: Catalog) -> DataFrame:
     """product, port, component: shared schemas named in each port's own schema."""
-    return catalog.ports.select(
-        "product", F.col("name").alias("port"), F.explode(component_references(F.col("schema"))).alias("component")
-    )
+    return referenced(catalog.ports, "port", "component")
+
+
+def referenced(schemas: DataFrame, owner: str, target: str) -> DataFrame:
+    """One row per shared schema that each named schema refers to.
+
+    Exploded as outer and then filtered: an inner explode puts a filter on the list's size
+    below it and searches each text more than once.
+    """
+    found = F.explode_outer(component_references(F.col("schema"))).alias(target)
+    return schemas.select("product", F.col("name").alias(owner), found).where(F.col(target).isNotNull())
 
 
 def dangling_references(catalog: Catalog, references: DataFrame | None = None) -> DataFrame:
@@ -181,7 +189,9 @@ def schema_definitions(catalog: Catalog) -> DataFrame:
         catalog.components.select("product", "name", "schema", F.lit("component").alias("origin"))
         .unionByName(catalog.ports.where(own).select("product", "name", "schema", F.lit("port").alias("origin")))
         .unionByName(
-            catalog.ports.select("product", F.explode(local).alias("name", "schema"), F.lit("local").alias("origin"))
+            catalog.ports.select(
+                "product", F.explode_outer(local).alias("name", "schema"), F.lit("local").alias("origin")
+            ).where("name is not null")
         )
     )
 

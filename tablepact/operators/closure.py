@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tablepact.operators.catalog import component_references, port_references
+from tablepact.operators.catalog import port_references, referenced
 from tablepact.sources.scratch import scratch_path
 from tablepact.sources.specs import Catalog
 
@@ -15,9 +15,7 @@ PAIR = ["product", "root", "component"]
 
 def component_edges(catalog: Catalog) -> DataFrame:
     """product, component, next: one row per reference from one shared schema to another."""
-    return catalog.components.select(
-        "product", F.col("name").alias("component"), F.explode(component_references(F.col("schema"))).alias("next")
-    )
+    return referenced(catalog.components, "component", "next")
 
 
 def schema_closure(catalog: Catalog) -> DataFrame:

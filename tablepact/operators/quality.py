@@ -115,8 +115,9 @@ def error(check: Check) -> Column:
     return F.array(entry).cast(ERRORS_TYPE)
 
 
-def bind(df: DataFrame, contract: Contract) -> Checked:
-    staged = stage(df, contract)
+def bind(df: DataFrame, contract: Contract, whole: bool = False) -> Checked:
+    """Bind the contract's checks; ``whole`` parses all nested columns, not just checked parts."""
+    staged = stage(df, contract, None if whole else [c.path for c in contract.checks if c.path])
     return Checked(contract, staged, [~predicate(staged, c) for c in contract.checks])
 
 
@@ -152,7 +153,7 @@ def split(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
 
 def accepted(df: DataFrame, contract: Contract) -> DataFrame:
     """Valid rows in the declared columns and types."""
-    checked = bind(df, contract)
+    checked = bind(df, contract, whole=True)
     passing = checked.staged.frame.where(~F.coalesce(checked.any_failure, F.lit(False)))
     return project(Staged(passing, checked.staged.roots), contract)
 

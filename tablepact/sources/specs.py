@@ -11,6 +11,7 @@ import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -197,6 +198,9 @@ def _yaml_loader():
     return loader
 
 
+# Rows a task holds before it hands them back.
+FIELD_ROWS = 10_000
+
 FIELD_CATALOG_TYPE = (
     "product string, port string, path string, type string, required boolean, "
     "description string, constraints string, error string"
@@ -216,8 +220,9 @@ def field_catalog(specs: DataFrame, product: str = "product", spec: str = "spec"
 def field_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [part.split()[0] for part in FIELD_CATALOG_TYPE.split(", ")]
     for batch in batches:
-        rows = [row for product, text in zip(batch["product"], batch["text"]) for row in _spec_rows(product, text)]
-        yield pd.DataFrame(rows, columns=columns)
+        rows = (row for product, text in zip(batch["product"], batch["text"]) for row in _spec_rows(product, text))
+        while chunk := list(islice(rows, FIELD_ROWS)):
+            yield pd.DataFrame(chunk, columns=columns)
 
 
 def _spec_rows(product: str, text: str) -> Iterator[tuple]:

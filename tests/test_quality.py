@@ -153,6 +153,18 @@ def test_simple_rules_of_the_quarantine_reach_the_scan(spark, tmp_path):
     assert re.search(r"PushedFilters: \[.*LessThan\(a,1\).*GreaterThan\(a,5\)", plan)
 
 
+def test_json_text_is_parsed_once_and_only_where_checked(spark, tmp_path):
+    frame(spark).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    views = [annotate(stored, CONTRACT), summarise(stored, CONTRACT), violations(stored, CONTRACT, "key"), *split(stored, CONTRACT)]
+    for view in views:
+        plan = view._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json") == 1
+    unchecked = Contract.from_schema({"properties": {"id": {"minLength": 1}, "payload": {"type": "object", "properties": {"n": {}}}}})
+    plan = summarise(stored, unchecked)._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "payload" not in plan
+
+
 def test_long_contracts(spark):
     df = spark.range(50).selectExpr(*[f"id + {n} as c{n}" for n in range(150)])
     properties = {f"c{n}": {"type": "integer", "minimum": n, "maximum": n + 40} for n in range(150)}
