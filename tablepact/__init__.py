@@ -16,13 +16,13 @@ from tablepact.operators.catalog import (
     removable_connections,
 )
 from tablepact.operators.closure import schema_closure
-from tablepact.operators.enforce import enforce
+from tablepact.operators.enforce import enforce, enforce_tables
 from tablepact.operators.ports import Port, run_ports, summarise_ports
 from tablepact.operators.quality import annotate, split, summarise, violations
 from tablepact.plans.contract import Contract, Field, contracts_of
 from tablepact.plans.rules import Check
 from tablepact.sources.files import read_port, read_raw
-from tablepact.sources.specs import Catalog, field_catalog, parse_catalog, read_spec
+from tablepact.sources.specs import Catalog, field_catalog, load_specs, parse_catalog, read_spec
 from tablepact.sources.tables import create_port_table, write_port
 from tablepact.streaming.enforce import enforce_stream
 
@@ -49,7 +49,9 @@ __all__ = [
     "endpoint_users",
     "enforce",
     "enforce_stream",
+    "enforce_tables",
     "field_catalog",
+    "load_specs",
     "parse_catalog",
     "parse_payload",
     "port_listing",

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tablepact.operators.quality import accepted, split
 from tablepact.plans.contract import Contract
+from tablepact.sources.tables import create_port_table
+
+
+@contextmanager
+def _input(df: DataFrame, keep: bool) -> Iterator[DataFrame]:
+    source = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
+    try:
+        yield source
+    finally:
+        if keep:
+            source.unpersist()
 
 
 def enforce(
@@ -21,10 +35,17 @@ def enforce(
     ``keep`` holds the rows for the second write instead: right for input that is costly to
     compute, or that does not give the same rows twice.
     """
-    source = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
-    try:
+    with _input(df, keep) as source:
         accepted(source, contract).write.mode(mode).parquet(good)
         split(source, contract)[1].write.mode(mode).parquet(bad)
-    finally:
-        if keep:
-            source.unpersist()
+
+
+def enforce_tables(df: DataFrame, contract: Contract, good: str, bad: str, keep: bool = False) -> None:
+    """As :func:`enforce`, adding to the contract's table and to a quarantine table.
+
+    Both are created if need be; the contract's has its types, comments and description.
+    """
+    with _input(df, keep) as source:
+        create_port_table(df.sparkSession, contract, good)
+        accepted(source, contract).write.insertInto(good)
+        split(source, contract)[1].write.mode("append").saveAsTable(bad)

@@ -84,6 +84,27 @@ class Catalog:
         return cls(*[spark.read.parquet(f"{folder}/{table.name}") for table in fields(cls)])
 
 
+# Extensions of spec files; where a product has several, the earlier one counts.
+SPEC_FILES = ("yaml", "yml", "json")
+
+
+def load_specs(spark: SparkSession, location: str) -> DataFrame:
+    """The corpus kept under a folder: product, spec, one row per folder in it that holds a spec.
+
+    A product is named after its folder. YAML goes before JSON.
+    """
+    files = f"{location.rstrip('/')}/*/*.{{{','.join(SPEC_FILES)}}}"
+    path = F.col("_metadata.file_path")
+    extension = F.element_at(F.split(path, "[.]"), -1)
+    rank = F.array_position(F.lit(list(SPEC_FILES)), extension)
+    texts = spark.read.text(files, wholetext=True).select(
+        F.url_decode(F.element_at(F.split(path, "/"), -2)).alias("product"),
+        F.struct(rank.alias("rank"), path.alias("path")).alias("order"),
+        F.col("value").alias("spec"),
+    )
+    return texts.groupBy("product").agg(F.min_by("spec", "order").alias("spec"))
+
+
 def parse_catalog(specs: DataFrame, product: str = "product", spec: str = "spec", fmt: str = "json") -> Catalog:
     """Turn a corpus into catalog tables.
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tablepact import contracts_of, read_spec
+from tablepact import contracts_of, load_specs, read_spec
 from tablepact.errors import ContractError
 from tablepact.operators import catalog as C
 from tablepact.operators.closure import component_edges, reachable, schema_closure
@@ -109,6 +109,20 @@ def test_json_and_yaml_give_the_same_catalog(spark):
     assert rows(parsed["json"].ports.select("product", "name")) == rows(parsed["yaml"].ports.select("product", "name"))
 
 
+def test_specs_from_a_folder(spark, tmp_path):
+    for name, text in (
+        ("shop/product.yaml", SHOP),
+        ("shop/product.json", json.dumps(MINIMAL)),
+        ("tiny one/product.json", json.dumps(MINIMAL)),
+        ("none/readme.txt", "no spec"),
+    ):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    catalog = parse_catalog(load_specs(spark, str(tmp_path)), fmt="yaml")
+    assert rows(catalog.products.select("product", "title")) == [("shop", "Shop analytics"), ("tiny one", "Tiny")]
+    assert catalog.ports.count() == 3
+
+
 def test_unknown_spec_format(specs):
     with pytest.raises(ContractError, match="toml"):
         parse_catalog(specs, fmt="toml")

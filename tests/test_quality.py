@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablepact import Contract, annotate, enforce, split, summarise, violations
+from tablepact import Contract, annotate, enforce, enforce_tables, split, summarise, violations
 
 CONTRACT = Contract.from_schema(
     {
@@ -116,6 +116,17 @@ def test_enforce(spark, tmp_path, keep):
     assert spark.read.parquet(good).columns == CONTRACT.column_names
 
 
+def test_enforce_into_tables(spark):
+    try:
+        for _ in range(2):
+            enforce_tables(frame(spark), CONTRACT, "kept_rows", "rejected_rows")
+        assert spark.table("kept_rows").count() == 4 and spark.table("kept_rows").columns == CONTRACT.column_names
+        assert spark.table("rejected_rows").count() == 6 and spark.table("rejected_rows").columns[-1] == "_errors"
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kept_rows")
+        spark.sql("DROP TABLE IF EXISTS rejected_rows")
+
+
 def executed(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
