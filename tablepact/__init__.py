@@ -16,7 +16,7 @@ from tablepact.operators.catalog import (
     removable_connections,
 )
 from tablepact.operators.closure import schema_closure
-from tablepact.operators.enforce import enforce, enforce_tables
+from tablepact.operators.enforce import enforce, enforce_partitioned, enforce_tables
 from tablepact.operators.ports import Port, run_ports, summarise_ports
 from tablepact.operators.quality import annotate, split, summarise, violations
 from tablepact.plans.contract import Contract, Field, contracts_of
@@ -48,6 +48,7 @@ __all__ = [
     "duplicate_names",
     "endpoint_users",
     "enforce",
+    "enforce_partitioned",
     "enforce_stream",
     "enforce_tables",
     "field_catalog",

@@ -66,7 +66,7 @@ def stage(df: DataFrame, contract: Contract, paths: Collection[tuple[str, ...]]
             held = T.StructField(PARSED_PREFIX + held.name, shape)
         roots[f.name] = held
     if absent:
-        raise ContractError(f"{contract.name or 'contract'}: required columns missing from the data: {', '.join(absent)}")
+        raise ContractError(f"{contract.name or 'contract'}: required columns missing: {', '.join(absent)}")
     return Staged(df, roots)
 
 
@@ -99,8 +99,7 @@ def project(staged: Staged, contract: Contract) -> DataFrame:
 
 
 def _declared(staged: Staged, f: Field) -> Column:
-    metadata = {"comment": f.description} if f.description else {}
-    return staged.typed(f.path, f.data_type).alias(f.name, metadata=metadata)
+    return staged.typed(f.path, f.data_type).alias(f.name, metadata=f.metadata)
 
 
 def apply_contract(df: DataFrame, contract: Contract) -> DataFrame:

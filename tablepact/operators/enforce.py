@@ -7,8 +7,9 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tablepact.operators.quality import accepted, split
+from tablepact.operators.quality import ERRORS, accepted, bind, own_columns, split
 from tablepact.plans.contract import Contract
 from tablepact.sources.tables import create_port_table
 
@@ -33,13 +34,38 @@ def enforce(
     Each side is a map-only job of its own over the input; for files, the quarantine's scan
     can skip whatever the simple rules rule out, and nothing is copied to executor disks.
     ``keep`` holds the rows for the second write instead: right for input that is costly to
-    compute, or that does not give the same rows twice.
+    compute. Input that does not give the same rows twice has to be stored first, since a
+    kept copy goes with its executor; or use :func:`enforce_partitioned`.
     """
     with _input(df, keep) as source:
         accepted(source, contract).write.mode(mode).parquet(good)
         split(source, contract)[1].write.mode(mode).parquet(bad)
 
 
+SIDE = "_side"
+REJECTED = "_rejected"
+
+
+def enforce_partitioned(df: DataFrame, contract: Contract, folder: str, mode: str = "overwrite") -> None:
+    """As :func:`enforce`, in one pass over the input and one commit for both sides.
+
+    Valid rows are below ``folder`` in ``_side=good``, with the contract's columns; the others
+    in ``_side=bad``, with their own columns in the struct ``_rejected``, and ``_errors``. The
+    columns of the other side are NULL. Tasks sort their rows by side before they write.
+    """
+    checked = bind(df, contract, whole=True)
+    failed = F.coalesce(checked.any_failure, F.lit(False))
+    side = F.when(failed, "bad").otherwise("good")
+    typed = [
+        F.when(~failed, checked.staged.typed(f.path, f.data_type)).alias(f.name, metadata=f.metadata)
+        for f in contract.fields
+    ]
+    rejected = F.when(failed, F.struct(*own_columns(df))).alias(REJECTED)
+    errors = F.when(failed, checked.failed).alias(ERRORS)
+    rows = checked.staged.frame.select(*typed, rejected, errors, side.alias(SIDE))
+    rows.write.mode(mode).partitionBy(SIDE).parquet(folder)
+
+
 def enforce_tables(df: DataFrame, contract: Contract, good: str, bad: str, keep: bool = False) -> None:
     """As :func:`enforce`, adding to the contract's table and to a quarantine table.
 

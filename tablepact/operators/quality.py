@@ -128,14 +128,15 @@ def _balanced_or(conditions: Sequence[Column]) -> Column:
     return _balanced_or(conditions[:middle]) | _balanced_or(conditions[middle:])
 
 
-def _own_columns(df: DataFrame) -> list[Column]:
+def own_columns(df: DataFrame) -> list[Column]:
+    """The frame's columns without those this module adds."""
     return [column([c]) for c in df.columns if c != ERRORS]
 
 
 def annotate(df: DataFrame, contract: Contract) -> DataFrame:
     """Add ``_errors``: an array of ``{check, column, message}``, one per failed check."""
     checked = bind(df, contract)
-    return checked.staged.frame.select(*_own_columns(df), checked.errors.alias(ERRORS))
+    return checked.staged.frame.select(*own_columns(df), checked.errors.alias(ERRORS))
 
 
 def split(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
@@ -146,8 +147,8 @@ def split(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:
     """
     checked = bind(df, contract)
     frame = checked.staged.frame
-    valid = frame.where(~F.coalesce(checked.any_failure, F.lit(False))).select(*_own_columns(df))
-    quarantine = frame.where(checked.any_failure).select(*_own_columns(df), checked.failed.alias(ERRORS))
+    valid = frame.where(~F.coalesce(checked.any_failure, F.lit(False))).select(*own_columns(df))
+    quarantine = frame.where(checked.any_failure).select(*own_columns(df), checked.failed.alias(ERRORS))
     return valid, quarantine
 
 

@@ -57,10 +57,12 @@ class Field:
     def dotted(self) -> str:
         return ".".join(self.path)
 
-    def struct_field(self, *, declared_nullability: bool = True) -> T.StructField:
-        nullable = not self.required if declared_nullability else True
-        metadata = {"comment": self.description} if self.description else {}
-        return T.StructField(self.name, self.data_type, nullable, metadata)
+    @property
+    def metadata(self) -> dict[str, str]:
+        return {"comment": self.description} if self.description else {}
+
+    def struct_field(self) -> T.StructField:
+        return T.StructField(self.name, self.data_type, not self.required, self.metadata)
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablepact import Contract, annotate, enforce, enforce_tables, split, summarise, violations
+from tablepact import Contract, annotate, enforce, enforce_partitioned, enforce_tables, split, summarise, violations
 
 CONTRACT = Contract.from_schema(
     {
@@ -116,6 +116,17 @@ def test_enforce(spark, tmp_path, keep):
     assert spark.read.parquet(good).columns == CONTRACT.column_names
 
 
+def test_enforce_in_one_pass(spark, tmp_path):
+    enforce_partitioned(frame(spark), CONTRACT, str(tmp_path / "both"))
+    good = spark.read.parquet(str(tmp_path / "both" / "_side=good"))
+    assert sorted(r.id for r in good.collect()) == [1, 5]
+    assert good.select("payload.n").where("n is null").count() == 0
+    bad = spark.read.parquet(str(tmp_path / "both")).where("_side = 'bad'")
+    found = {r._rejected.key: [(e.check, e.column) for e in r._errors] for r in bad.collect()}
+    assert found == {k: v for k, v in EXPECTED.items() if v}
+    assert bad.where("id is not null or kind is not null").count() == 0
+
+
 def test_enforce_into_tables(spark):
     try:
         for _ in range(2):
