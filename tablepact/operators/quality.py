@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablepact.errors import ContractError
 from tablepact.functions import checks as predicates
 from tablepact.functions.casts import MOMENTS, cast_to
 from tablepact.functions.columns import column
@@ -38,8 +39,10 @@ def predicate(staged: Staged, check: Check) -> Column:
         return predicates.sql_expression(*check.args)
     if check.rule in MOMENT_RULES and _arrives_as_moment(staged, check):
         return F.lit(True)
+    builder = predicates.CHECKS.get(check.rule)
+    if builder is None:
+        raise ContractError(f"no check named {check.rule!r}")
     value = _operand(staged, check)
-    builder = predicates.CHECKS[check.rule]
     arguments = check.args
     if check.rule in predicates.TYPED_ARGUMENT_RULES:
         arguments = (*arguments, check.data_type)

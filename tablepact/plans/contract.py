@@ -82,7 +82,10 @@ class Contract:
         components: Mapping[str, Any] | None = None,
     ) -> Contract:
         """Compile a JSON Schema given as a dict; ``components`` are shared schemas by name."""
-        return _Compiler(components or {}).compile(schema, name)
+        try:
+            return _Compiler(components or {}).compile(schema, name)
+        except (AttributeError, TypeError) as err:
+            raise ContractError(f"{name or 'the schema'} is malformed: {err}") from err
 
     @classmethod
     def from_json(cls, text: str, name: str = "", components: Mapping[str, Any] | None = None) -> Contract:
@@ -119,6 +122,14 @@ class Contract:
         walk(self.fields)
         return found
 
+    def with_check(self, rule: str, column: str, *args: Any, message: str = "") -> Contract:
+        """Add a rule by its registered name to a leaf, given by its dotted path."""
+        leaf = next((f for f in self.leaves() if f.dotted == column), None)
+        if leaf is None:
+            raise ContractError(f"{self.name or 'contract'}: no field {column!r} to check")
+        check = Check(rule, leaf.path, args, message or f"{column} must pass {rule}", leaf.required, leaf.data_type)
+        return replace(self, checks=(*self.checks, check))
+
     def with_expression(self, expression: str, message: str = "") -> Contract:
         """Add a boolean Spark SQL expression over the columns of the checked frame."""
         return replace(self, checks=(*self.checks, sql_check(expression, message)))

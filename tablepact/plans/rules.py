@@ -90,6 +90,9 @@ def checks_for(
         _add_item_counts(add, column, given)
         return found
 
+    for keyword, kind in (("enum", list), ("pattern", str), ("format", str)):
+        if given(keyword) is not None and not isinstance(given(keyword), kind):
+            raise ContractError(f"{column}: {keyword} cannot be {given(keyword)!r}")
     form = given("format")
     if form in CHECK_BY_FORMAT:
         add(CHECK_BY_FORMAT[form], FORMAT_WORDING[form])

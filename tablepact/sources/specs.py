@@ -55,14 +55,14 @@ SPEC_TYPE = """
 class Catalog:
     """The tables of a corpus, keyed by product.
 
-    ============== =====================================================
-    products       product, title, version, description, readable
-    tags           product, pos, name, description
-    connections    product, name, type, host, description, variables
-    ports          product, name, description, schema
+    ================ =================================================
+    products         product, title, version, description, readable
+    tags             product, pos, name, description
+    connections      product, name, type, host, description, variables
+    ports            product, name, description, schema
     port_connections product, port, pos, connection, location
-    components     product, name, schema
-    ============== =====================================================
+    components       product, name, schema
+    ================ =================================================
 
     Schemas stay JSON text; ``pos`` is the place in the document's list.
     """
@@ -98,7 +98,7 @@ def load_specs(spark: SparkSession, location: str) -> DataFrame:
     extension = F.element_at(F.split(path, "[.]"), -1)
     rank = F.array_position(F.lit(list(SPEC_FILES)), extension)
     texts = spark.read.text(files, wholetext=True).select(
-        F.url_decode(F.element_at(F.split(path, "/"), -2)).alias("product"),
+        F.url_decode(F.replace(F.element_at(F.split(path, "/"), -2), F.lit("+"), F.lit("%2B"))).alias("product"),
         F.struct(rank.alias("rank"), path.alias("path")).alias("order"),
         F.col("value").alias("spec"),
     )
@@ -146,8 +146,8 @@ def _entries(docs: DataFrame, path: str) -> DataFrame:
 
 def _products(texts: DataFrame) -> DataFrame:
     corrupt = "_corrupt"
-    kept = F.from_json("text", f"info struct<title: string, version: string, description: string>, {corrupt} string",
-                       {"columnNameOfCorruptRecord": corrupt})
+    shape = f"info struct<title: string, version: string, description: string>, {corrupt} string"
+    kept = F.from_json("text", shape, {"columnNameOfCorruptRecord": corrupt})
     return texts.select("product", kept.alias("doc")).select(
         "product", "doc.info.*", F.col(f"doc.{corrupt}").isNull().alias("readable")
     )
@@ -249,18 +249,16 @@ def field_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _spec_rows(product: str, text: str) -> Iterator[tuple]:
     try:
         doc = json.loads(text)
-        ports = doc.get("ports") or {}
+        ports = dict(doc.get("ports") or {})
         components = (doc.get("components") or {}).get("schemas") or {}
-    except (TypeError, ValueError, AttributeError):
+    except (AttributeError, TypeError, ValueError):
         yield (product, None, None, None, None, None, None, "the spec is not readable")
         return
     for name, port in ports.items():
-        schema = (port or {}).get("schema")
-        if schema is None:
-            continue
         try:
-            leaves = Contract.from_schema(schema, name, components).leaves()
-        except ContractError as err:
+            schema = (port or {}).get("schema")
+            leaves = [] if schema is None else Contract.from_schema(schema, name, components).leaves()
+        except (AttributeError, ContractError) as err:
             yield (product, name, None, None, None, None, None, str(err))
             continue
         for leaf in leaves:

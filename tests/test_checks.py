@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablepact import Contract, annotate, register_check, summarise
+from tablepact import Contract, ContractError, annotate, register_check, summarise
 from tablepact.functions.checks import CHECKS
 
 CASES = [
@@ -120,10 +120,16 @@ def test_further_rules_can_be_registered(spark):
     try:
         df = spark.createDataFrame([("ab",), ("ba",)], "s string")
         assert [r[0] for r in df.select(CHECKS["starts_with_test"](F.col("s"), "a")).collect()] == [True, False]
+        contract = Contract.from_schema({"properties": {"s": {"type": "string"}}}).with_check("starts_with_test", "s", "a")
+        assert [r.violations for r in summarise(df, contract).collect()] == [1]
+        with pytest.raises(ContractError, match="no field"):
+            contract.with_check("starts_with_test", "t", "a")
         with pytest.raises(ValueError):
             register_check("is_uuid", lambda value: value)
     finally:
         del CHECKS["starts_with_test"]
+    with pytest.raises(ContractError, match="starts_with_test"):
+        summarise(df, contract)
 
 
 def test_bad_values_do_not_end_the_job_under_ansi(spark):

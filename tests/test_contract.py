@@ -195,6 +195,11 @@ def test_literals_keep_their_type_and_foreign_members_are_dropped():
         {"type": "string", "minItems": 1},
         {"type": "boolean", "minimum": 0},
         {"type": "string", "format": "date", "maximum": 3},
+        {"type": "string", "enum": "ab"},
+        {"type": "string", "pattern": 5},
+        {"type": "string", "format": ["date"]},
+        {"properties": ["a"]},
+        {"type": "object", "required": 1, "properties": {"a": {}}},
     ],
 )
 def test_rules_that_make_no_sense_are_refused(rule):
