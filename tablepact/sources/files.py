@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tablepact.errors import ContractError
+from tablepact.functions.columns import find_field
 from tablepact.operators.apply import apply_contract
 from tablepact.plans.contract import Contract
 
@@ -16,21 +17,28 @@ TEXT_FORMATS = ("json", "csv")
 def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, **options: str) -> DataFrame:
     """The port's rows before any cast, ready for checks.
 
-    JSON and CSV are read as text in the declared shape, so nothing is inferred and no bad
-    value can end the job; in CSV, nested columns hold JSON text. Parquet and ORC carry
-    their own types.
+    JSON and CSV are read as text in the declared shape, so no type is inferred and no bad
+    value can end the job; in CSV, nested columns hold JSON text, and columns go by the names
+    in the header unless ``header="false"`` says there is none. Parquet and ORC carry their
+    own types; declared columns are read even where the file that shows the types lacks them.
     """
+    reader = spark.read.options(**options)
     if fmt in SELF_DESCRIBING:
-        return spark.read.options(**options).format(fmt).load(location)
+        held = reader.format(fmt).load(location).schema
+        absent = [f for f in contract.schema.fields if find_field(held, f.name) is None]
+        return reader.format(fmt).schema(T.StructType([*held.fields, *absent])).load(location)
     if fmt == "json":
-        return spark.read.schema(contract.text_schema).options(**options).json(location)
+        return reader.schema(contract.text_schema).json(location)
     if fmt == "csv":
-        return spark.read.schema(flat_text_schema(contract)).options(**{**CSV_OPTIONS, **options}).csv(location)
+        reader = spark.read.options(**{**CSV_OPTIONS, **options})
+        if options.get("header", "true") == "false":
+            reader = reader.schema(flat_text_schema(contract))
+        return reader.csv(location)
     raise ContractError(f"format {fmt!r} is not one of {', '.join((*SELF_DESCRIBING, *TEXT_FORMATS))}")
 
 
-# Quotes inside quoted values are doubled, and a value may span lines.
-CSV_OPTIONS = {"header": "true", "escape": '"', "enforceSchema": "false"}
+# Quotes inside quoted values are doubled; files whose headers differ are an error.
+CSV_OPTIONS = {"header": "true", "escape": '"', "inferSchema": "false", "enforceSchema": "false"}
 
 
 def flat_text_schema(contract: Contract) -> T.StructType:

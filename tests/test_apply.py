@@ -129,6 +129,22 @@ def test_self_describing_ports_are_cast(spark, tmp_path, fmt):
     ]
 
 
+def test_csv_columns_go_by_name_or_by_place(spark, tmp_path):
+    (tmp_path / "named.csv").write_text("note,total,id\nx,1.5,7\n")
+    assert read_port(spark, ORDER, str(tmp_path / "named.csv"), "csv").select("id", "total", "day").first()[:] == (7, 1.5, None)
+    (tmp_path / "plain.csv").write_text("7,2024-01-02,,true,1.5,,,,\n")
+    placed = read_port(spark, ORDER, str(tmp_path / "plain.csv"), "csv", header="false").select("id", "day", "total").first()
+    assert placed[:] == (7, dt.date(2024, 1, 2), 1.5)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_columns_only_some_files_have_are_read(spark, tmp_path, fmt):
+    spark.createDataFrame([(1,)], "id bigint").write.format(fmt).mode("append").save(str(tmp_path / "p"))
+    spark.createDataFrame([(2, 2.5)], "id bigint, total double").write.format(fmt).mode("append").save(str(tmp_path / "p"))
+    found = read_port(spark, ORDER, str(tmp_path / "p"), fmt).select("id", "total").orderBy("id").collect()
+    assert [tuple(r) for r in found] == [(1, None), (2, 2.5)]
+
+
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ContractError, match="avro"):
         read_port(spark, ORDER, "/nowhere", "avro")
