@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tablepact.errors import ContractError
 from tablepact.plans.contract import Contract
 from tablepact.plans.rules import show
+from tablepact.sources.scratch import scratch_path
 
 try:
     import yaml
@@ -109,9 +110,14 @@ def parse_catalog(specs: DataFrame, product: str = "product", spec: str = "spec"
     """Turn a corpus into catalog tables.
 
     ``fmt`` is ``json`` or ``yaml``. JSON is parsed by Spark; YAML is first rewritten as JSON
-    on the executors; JSON texts among it are as good.
+    on the executors, once, into a table in shared storage that the catalog then reads. JSON
+    texts among it are as good.
     """
     texts = specs.select(F.col(product).alias("product"), _as_json(F.col(spec), fmt).alias("text"))
+    if fmt == "yaml":
+        path = scratch_path(specs.sparkSession, "specs")
+        texts.write.parquet(path)
+        texts = specs.sparkSession.read.schema(texts.schema).parquet(path)
     docs = texts.select("product", F.from_json("text", SPEC_TYPE).alias("doc"))
     ports = _entries(docs, "doc.ports")
     uses = ports.select("product", "name", F.posexplode("entry.connections").alias("pos", "use"))
