@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,16 +20,7 @@ from tablepact.plans.rules import SQL_EXPRESSION, Check
 
 ERRORS = "_errors"
 
-ERRORS_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("check", T.StringType(), False),
-            T.StructField("column", T.StringType(), False),
-            T.StructField("message", T.StringType(), False),
-        ]
-    ),
-    False,
-)
+ERRORS_TYPE = "array<struct<check: string, column: string, message: string>>"
 
 SUMMARY_SCHEMA = "check_no int, check string, column string, rows bigint, violations bigint, rate double"
 
@@ -99,23 +91,21 @@ class Checked:
     @property
     def failed(self) -> Column:
         """The failed checks of a row, in reporting order."""
-        empty = F.array().cast(ERRORS_TYPE)
-        parts = [F.when(fails, error(c)).otherwise(empty) for c, fails in zip(self.contract.checks, self.failures)]
-        return F.concat(*parts) if parts else empty
+        entries = error_entries(self.contract.checks)
+        none = F.slice(entries, 1, 0)
+        parts = [F.when(fails, F.slice(entries, n, 1)).otherwise(none) for n, fails in enumerate(self.failures, 1)]
+        return F.concat(*parts) if parts else none
 
     @property
     def errors(self) -> Column:
         """As ``failed``, with the list built only for rows that need one: most are clean."""
-        return F.when(self.any_failure, self.failed).otherwise(F.array().cast(ERRORS_TYPE))
+        return F.when(self.any_failure, self.failed).otherwise(F.slice(error_entries(()), 1, 0))
 
 
-def error(check: Check) -> Column:
-    entry = F.struct(
-        F.lit(check.rule).alias("check"),
-        F.lit(check.column).alias("column"),
-        F.lit(check.message).alias("message"),
-    )
-    return F.array(entry).cast(ERRORS_TYPE)
+def error_entries(checks: Sequence[Check]) -> Column:
+    """What each check reports when it fails: one constant, which the optimizer takes apart."""
+    entries = [{"check": c.rule, "column": c.column, "message": c.message} for c in checks]
+    return F.from_json(F.lit(json.dumps(entries)), ERRORS_TYPE)
 
 
 def bind(df: DataFrame, contract: Contract, whole: bool = False) -> Checked:
@@ -186,15 +176,9 @@ def summarise(df: DataFrame, contract: Contract) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         *[F.count(F.when(fails, 1)).alias(f"v{n}") for n, fails in enumerate(checked.failures)],
     )
-    entries = [
-        F.struct(
-            F.lit(n + 1).alias("check_no"),
-            F.lit(c.rule).alias("check"),
-            F.lit(c.column).alias("column"),
-            F.col("rows"),
-            F.col(f"v{n}").alias("violations"),
-            F.try_divide(F.col(f"v{n}"), F.col("rows")).alias("rate"),
-        )
-        for n, c in enumerate(contract.checks)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+    named = [{"check_no": n, "check": c.rule, "column": c.column} for n, c in enumerate(contract.checks, 1)]
+    names = F.from_json(F.lit(json.dumps(named)), "array<struct<check_no: int, check: string, column: string>>")
+    numbers = F.array(*[f"v{n}" for n in range(len(named))])
+    return counts.select("rows", F.inline(F.arrays_zip(names.alias("name"), numbers.alias("violations")))).select(
+        "name.*", "rows", "violations", F.try_divide("violations", "rows").alias("rate")
+    )
