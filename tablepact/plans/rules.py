@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -71,94 +71,108 @@ def sql_check(expression: str, message: str = "") -> Check:
     return Check(SQL_EXPRESSION, (), (expression,), message or f"{expression} must hold")
 
 
+# What a row that breaks the rule is told; {0} and {1} are the rule's arguments.
+MESSAGES = {
+    "is_not_null": "{column} must not be null",
+    "is_valid_date": "{column} must be a valid date",
+    "is_valid_timestamp": "{column} must be a valid timestamp",
+    "is_valid_ipv4_address": "{column} must be a valid IPv4 address",
+    "is_valid_ipv6_address": "{column} must be a valid IPv6 address",
+    "is_uuid": "{column} must be a valid UUID",
+    "is_email": "{column} must be a valid email address",
+    "is_in_list": "{column} must be in the allowed values",
+    "is_equal_to": "{column} must equal {0}",
+    "is_in_range": "{column} must be between {0} and {1}",
+    "is_not_less_than": "{column} must not be less than {0}",
+    "is_not_greater_than": "{column} must not be greater than {0}",
+    "exclusive_minimum": "{column} must be greater than {0}",
+    "exclusive_maximum": "{column} must be less than {0}",
+    "min_length": "{column} must have minimum length of {0}",
+    "max_length": "{column} must have maximum length of {0}",
+    "regex_match": "{column} must match pattern {0}",
+    "multiple_of": "{column} must be a multiple of {0}",
+    "min_items": "{column} must have at least {0} items",
+    "max_items": "{column} must have at most {0} items",
+}
+
+# Keywords with a whole-number limit, and their rules.
+LENGTH_RULES = {"minLength": "min_length", "maxLength": "max_length"}
+ITEM_RULES = {"minItems": "min_items", "maxItems": "max_items"}
+EXCLUSIVE_RULES = {"exclusiveMinimum": "exclusive_minimum", "exclusiveMaximum": "exclusive_maximum"}
+
+
 def checks_for(
     path: tuple[str, ...], data_type: T.DataType, required: bool, constraints: Mapping[str, Any]
 ) -> list[Check]:
     """Checks of one leaf, in reporting order."""
     column = ".".join(path)
-    found: list[Check] = []
+    given = {keyword: value for keyword, value in constraints.items() if value is not None}
+    rules = list(_array_rules(column, given) if isinstance(data_type, T.ArrayType) else _rules(column, given, data_type))
+    if required:
+        rules.insert(0, ("is_not_null", (), ()))
+    return [
+        Check(rule, path, args, MESSAGES[rule].format(*map(show, shown), column=column), required, data_type)
+        for rule, args, shown in rules
+    ]
 
-    def add(rule: str, wording: str, *args: Any) -> None:
-        found.append(Check(rule, path, args, f"{column} {wording}", required, data_type))
 
-    def given(keyword: str) -> Any:
-        return constraints.get(keyword)
+# A rule to add: its name, its arguments, and the arguments as its message shows them.
+Rule = tuple[str, tuple, tuple]
+
+
+def _array_rules(column: str, given: Mapping[str, Any]) -> Iterator[Rule]:
+    for keyword, rule in ITEM_RULES.items():
+        if keyword in given:
+            yield _limit(rule, whole(column, keyword, given[keyword]))
 
-    if required:
-        add("is_not_null", "must not be null")
-    if isinstance(data_type, T.ArrayType):
-        _add_item_counts(add, column, given)
-        return found
 
+def _rules(column: str, given: Mapping[str, Any], data_type: T.DataType) -> Iterator[Rule]:
     for keyword, kind in (("enum", list), ("pattern", str), ("format", str)):
-        if given(keyword) is not None and not isinstance(given(keyword), kind):
-            raise ContractError(f"{column}: {keyword} cannot be {given(keyword)!r}")
-    form = given("format")
-    if form in CHECK_BY_FORMAT:
-        add(CHECK_BY_FORMAT[form], FORMAT_WORDING[form])
-    if given("enum"):
-        add("is_in_list", "must be in the allowed values", literals(given("enum"), data_type))
-    if given("const") is not None:
-        add("is_equal_to", f"must equal {show(given('const'))}", literals([given("const")], data_type))
-    _add_bounds(add, column, given, data_type)
-    for keyword, rule, word in (("minLength", "min_length", "minimum"), ("maxLength", "max_length", "maximum")):
-        if given(keyword) is not None:
-            n = whole(column, keyword, given(keyword))
-            add(rule, f"must have {word} length of {n}", n)
-    if given("pattern"):
-        add("regex_match", f"must match pattern {given('pattern')}", given("pattern"))
-    if given("multipleOf") is not None:
-        n = number(column, "multipleOf", given("multipleOf"))
+        if not isinstance(given.get(keyword, kind()), kind):
+            raise ContractError(f"{column}: {keyword} cannot be {given[keyword]!r}")
+    if ITEM_RULES.keys() & given.keys():
+        raise ContractError(f"{column}: minItems and maxItems need an array")
+    if given.get("format") in CHECK_BY_FORMAT:
+        yield CHECK_BY_FORMAT[given["format"]], (), ()
+    if given.get("enum"):
+        yield "is_in_list", (literals(given["enum"], data_type),), ()
+    if "const" in given:
+        yield "is_equal_to", (literals([given["const"]], data_type),), (given["const"],)
+    yield from _bounds(column, given, data_type)
+    for keyword, rule in LENGTH_RULES.items():
+        if keyword in given:
+            yield _limit(rule, whole(column, keyword, given[keyword]))
+    if given.get("pattern"):
+        yield _limit("regex_match", given["pattern"])
+    if "multipleOf" in given:
+        n = bound(column, "multipleOf", given["multipleOf"], data_type)
         if n <= 0:
             raise ContractError(f"{column}: multipleOf must be positive, not {n}")
-        numeric_only(column, "multipleOf", data_type)
-        add("multiple_of", f"must be a multiple of {show(n)}", n)
-    if given("minItems") is not None or given("maxItems") is not None:
-        raise ContractError(f"{column}: minItems and maxItems need an array")
-    return found
+        yield _limit("multiple_of", n)
 
 
-# Message wording per format.
-FORMAT_WORDING = {
-    "date": "must be a valid date",
-    "date-time": "must be a valid timestamp",
-    "ipv4": "must be a valid IPv4 address",
-    "ipv6": "must be a valid IPv6 address",
-    "uuid": "must be a valid UUID",
-    "email": "must be a valid email address",
-}
+def _bounds(column: str, given: Mapping[str, Any], data_type: T.DataType) -> Iterator[Rule]:
+    ends = [bound(column, k, given[k], data_type) if k in given else None for k in ("minimum", "maximum")]
+    if None not in ends:
+        yield "is_in_range", tuple(ends), tuple(ends)
+    elif ends[0] is not None:
+        yield _limit("is_not_less_than", ends[0])
+    elif ends[1] is not None:
+        yield _limit("is_not_greater_than", ends[1])
+    for keyword, rule in EXCLUSIVE_RULES.items():
+        if keyword in given:
+            yield _limit(rule, bound(column, keyword, given[keyword], data_type))
+
+
+def _limit(rule: str, value: Any) -> Rule:
+    return rule, (value,), (value,)
 
 
-def _add_item_counts(add, column, given) -> None:
-    if given("minItems") is not None:
-        n = whole(column, "minItems", given("minItems"))
-        add("min_items", f"must have at least {n} items", n)
-    if given("maxItems") is not None:
-        n = whole(column, "maxItems", given("maxItems"))
-        add("max_items", f"must have at most {n} items", n)
-
-
-def _add_bounds(add, column, given, data_type) -> None:
-    bounds = {
-        keyword: number(column, keyword, given(keyword))
-        for keyword in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
-        if given(keyword) is not None
-    }
-    for keyword in bounds:
-        numeric_only(column, keyword, data_type)
-    low, high = bounds.get("minimum"), bounds.get("maximum")
-    if low is not None and high is not None:
-        add("is_in_range", f"must be between {show(low)} and {show(high)}", low, high)
-    elif low is not None:
-        add("is_not_less_than", f"must not be less than {show(low)}", low)
-    elif high is not None:
-        add("is_not_greater_than", f"must not be greater than {show(high)}", high)
-    if "exclusiveMinimum" in bounds:
-        n = bounds["exclusiveMinimum"]
-        add("exclusive_minimum", f"must be greater than {show(n)}", n)
-    if "exclusiveMaximum" in bounds:
-        n = bounds["exclusiveMaximum"]
-        add("exclusive_maximum", f"must be less than {show(n)}", n)
+def bound(column: str, keyword: str, value: Any, data_type: T.DataType) -> int | float:
+    """A numeric limit on a field that can be compared with numbers."""
+    if isinstance(data_type, (T.DateType, T.TimestampType, T.BooleanType)):
+        raise ContractError(f"{column}: {keyword} does not apply to {data_type.simpleString()}")
+    return number(column, keyword, value)
 
 
 def number(column: str, keyword: str, value: Any) -> int | float:
@@ -179,11 +193,6 @@ def whole(column: str, keyword: str, value: Any) -> int:
     return n
 
 
-def numeric_only(column: str, keyword: str, data_type: T.DataType) -> None:
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.BooleanType)):
-        raise ContractError(f"{column}: {keyword} does not apply to {data_type.simpleString()}")
-
-
 def literals(values: list[Any], data_type: T.DataType) -> tuple[Any, ...]:
     """The members a column of this type can hold, each of that type.
 
