@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 SHARED_FOLDER_SETTING = "spark.checkpoint.dir"
 
+#: Stands in for the setting above in local sessions that were started without it.
+LOCAL_FOLDER_SETTING = "tablepact.local.dir"
 
-def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the shared folder the cluster names.
 
-    Only where none is set, as in local tests, is a folder of this machine used.
-    """
-    shared = spark.conf.get(SHARED_FOLDER_SETTING, None)
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path under the shared folder the cluster names."""
+    shared = spark.conf.get(SHARED_FOLDER_SETTING, None) or spark.conf.get(LOCAL_FOLDER_SETTING, None)
     if not shared:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise ValueError(f"set {SHARED_FOLDER_SETTING} to a folder shared by all executors")
-        shared = tempfile.mkdtemp(prefix="tablepact-")
+        raise ValueError(f"set {SHARED_FOLDER_SETTING} to a folder shared by all executors")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def use_local_folder(spark: SparkSession, folder: str) -> None:
+    """Name a folder of this machine for intermediate tables, where a local session names none."""
+    named = spark.conf.get(SHARED_FOLDER_SETTING, None) or spark.conf.get(LOCAL_FOLDER_SETTING, None)
+    if not named and spark.conf.get("spark.master", "").startswith("local["):
+        spark.conf.set(LOCAL_FOLDER_SETTING, f"{folder.rstrip('/')}/tablepact-{uuid.uuid4().hex}")
