@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.llm.decontaminate import find_contamination
+from tablepact.llm.language_id import held_out, identify_languages, learn_from_documents
 from tablepact.llm.line_dedup import dedup_lines
+from tablepact.llm.packing import pack
 from tablepact.llm.shared import table
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The tokenizer of the packing query; installed at the same place on every executor.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(table(spark, folder, "documents"), TOKENIZER)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -31,6 +45,12 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = identify_languages(docs.select("doc_id", "text"), learn_from_documents(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"])
@@ -63,7 +83,9 @@ FROM worded LEFT JOIN hits ON id = hits.doc_id LEFT JOIN items ON id = items.doc
 """
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
 }
 

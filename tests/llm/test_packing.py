@@ -1,0 +1,107 @@
+"""Packing against the tokenizer itself, and its layout rules."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tablepact.llm.packing import combinations, lay_out, pack, repeat_counts, rounded, WordEncoder
+from tablepact.llm.queries import QUERIES
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+FOLDER = "/root/testdata/sf0.001"
+ODD = [
+    None,
+    "",
+    "It's THE end, isn't it? don''t we've I'll ''s 's",
+    "a\x1cb c d\x85e",
+    "<|endoftext|> x <|startoftext|>",
+    "İstanbul ΣΑΣ é ̈x 中文字 123,45 ½ ² _a_b",
+    "x" * 5000,
+    "word " * 3000,
+]
+
+
+def checked(pieces, texts, window=2048):
+    """The pieces give back the ids of the tokenizer, and fill sequences without gaps."""
+    tokenizer = Tokenizer.from_file(PATH)
+    ids = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in texts.items()}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    assert by_doc.keys() == texts.keys()
+    for doc, own in by_doc.items():
+        at = 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids[doc])
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[doc][at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids[doc])
+    padding = 0
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= window
+        padding += 0 if at & (at - 1) == 0 else window - at
+    return padding
+
+
+def test_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    assert checked(QUERIES["op2_packing"](spark, FOLDER).collect(), texts) == 0
+
+
+def test_odd_texts_ties_and_names(spark):
+    rows = [(i, t, i, "p") for i, t in enumerate(ODD * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `rank` int, part string").repartition(3)
+    pieces = pack(docs, PATH).selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset")
+    assert checked(pieces.collect(), {i: t for i, t, *_ in rows}) == 0
+
+
+def test_empty_table(spark):
+    assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_are_encoded_as_whole_texts():
+    encoder, tokenizer = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ODD[2:]:
+        assert encoder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("total", [0, 5, 40, 100_000])
+def test_layout(total):
+    """Every tail has a place; combinations take most of a large histogram."""
+    rng = np.random.default_rng(3)
+    histogram = np.bincount(rng.integers(1, 65, total), minlength=65)
+    layout = lay_out(histogram, 64, 4)
+    used = set()
+    for length in range(1, 65):
+        for rank in range(histogram[length]):
+            for _, size, sequence, offset in layout.pieces(length, rank):
+                cells = {(sequence, offset + i) for i in range(size)}
+                assert not used & cells and offset + size <= 64
+                used |= cells
+    assert len(used) == int((histogram * np.arange(65)).sum())
+    if total == 100_000:
+        assert layout.combined.sum() > 0.8 * total
+
+
+def test_least_squares():
+    parts = combinations(16, 2)
+    assert (parts.sum(axis=1) == 16).all()
+    truth = np.zeros(len(parts))
+    truth[[0, 5, 9]] = 100, 50, 25
+    histogram = np.bincount(parts.ravel(), weights=np.repeat(truth, 3), minlength=17)
+    histogram[0] = 0
+    x = repeat_counts(parts, histogram)
+    found = np.bincount(parts.ravel(), weights=np.repeat(x, 3), minlength=17)
+    found[0] = 0
+    assert np.abs(found - histogram).max() < 1
+    left = histogram - np.bincount(parts.ravel(), weights=np.repeat(rounded(parts, x, histogram), 3), minlength=17)
+    assert (left[1:] >= 0).all()
