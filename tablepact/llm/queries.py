@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tablepact.llm.decontaminate import find_contamination
 from tablepact.llm.language_id import held_out, identify_languages, learn_from_documents
+from tablepact.llm.licenses import scan_licenses
 from tablepact.llm.line_dedup import dedup_lines
 from tablepact.llm.packing import pack
+from tablepact.llm.pii import BASE_KINDS, find_pii, written
 from tablepact.llm.shared import table
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,6 +21,13 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_pii(table(spark, folder, "documents").select("doc_id", "text"))
+    of_kind = lambda kind: lambda span: span["kind"] == kind
+    numbers = [F.size(F.filter("base", of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *numbers, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(table(spark, folder, "documents"), TOKENIZER)
     return pieces.select(
@@ -82,11 +91,30 @@ SELECT id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM worded LEFT JOIN hits ON id = hits.doc_id LEFT JOIN items ON id = items.doc_id WHERE side = 0
 """
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda f: f["base"])
+    starts = F.transform(base, lambda f: f["first"])
+    names = F.array_sort(F.array_distinct(F.transform(base, lambda f: f["label"])))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(names, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
+    "op8_license_scan": op8_license_scan,
 }
 
 #: SQL with the same result. The other operators have none: they are tested against brute force.

@@ -1,0 +1,81 @@
+"""License scans against plain word matching."""
+
+import re
+
+from tablepact.llm.licenses import BASE_PHRASES, rules, scan_licenses
+from tablepact.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def words_of(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)
+
+
+def places(words):
+    out = []
+    for phrase, label in BASE_PHRASES.items():
+        p = phrase.split()
+        out += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
+    return out
+
+
+def agrees(row, text):
+    words = words_of(text)
+    found = places(words)
+    assert row.n_words == len(words) and row.n_base == len(found)
+    assert (row.first_word, row.last_word) == ((min(found)[0], max(found)[0]) if found else (None, None))
+    assert row.base_labels == ",".join(sorted({label for _, label in found}))
+    assert set(filter(None, row.base_labels.split(","))) <= set(row.labels.split(",")) and 0 <= row.score <= 1
+
+
+def test_query(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = QUERIES["op8_license_scan"](spark, FOLDER).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for row in rows:
+        agrees(row, texts[row.doc_id])
+    assert any(r.labels for r in rows)
+
+
+ODD = {
+    "nothing": None,
+    "empty": "",
+    "marks": "... --- !!!",
+    "base": "Under the MIT License. under THE mit license, Apache License, Version 2.0; CC BY-NC 4.0 cc by nc",
+    "near": "sunder the mit license under the mit licenses apache license version 20 ucc by nc",
+    "long": "apache license version 2 " * 300 + "x" * 100_000,
+    "umlaut": "ünder the mit license Ünder the MIT license",
+}
+
+
+def test_odd_texts(spark):
+    rows = [(k, t, "x", 1) for k, t in ODD.items()] * 2
+    docs = spark.createDataFrame(rows, "doc_id string, text string, label string, priority int")
+    for r in scan_licenses(docs).collect():
+        words = words_of(ODD[r.doc_id])
+        assert r.n_words == len(words)
+        assert sorted((f.first, f.label) for f in r.found if f.base) == sorted(places(words))
+        assert all(0 <= f.first < f.end <= len(words) for f in r.found) and r.label == "x"
+    assert scan_licenses(docs.where("false")).count() == 0
+
+
+def test_stronger_rules_suppress(spark):
+    texts = [
+        ("This work is licensed under the GNU General Public License, version 3.", ["gpl-3"]),
+        ("SPDX-License-Identifier: MPL-2.0", ["mpl-2"]),
+        ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]),
+        ("Released under the MIT License.", ["mit"]),
+        ("licensed under the Apache License, Version 2.0 or under the BSD 3-Clause license", ["apache-2", "bsd-3"]),
+        ("the license of the driver", []),
+    ]
+    docs = spark.createDataFrame([(t,) for t, _ in texts], "text string")
+    found = {r.text: r.labels for r in scan_licenses(docs).collect()}
+    assert found == dict(texts)
+
+
+def test_hundreds_of_rules_that_compile():
+    assert len(rules()) > 200
+    for rule in rules():
+        assert re.compile(rule.pattern)
