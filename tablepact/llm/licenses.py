@@ -149,7 +149,7 @@ def rules() -> list[Rule]:
 
 
 def normal_words(text: Column) -> Column:
-    """The words with one space before, between and after them; a space alone if there is none."""
+    """The words with one space before, between and after them; two spaces if there is none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, BETWEEN_WORDS, " ")), F.lit(" "))
 
@@ -211,7 +211,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", ruleset: list[Rule] | Non
     for stem in STEMS:
         gated = gated | F.contains(words, F.lit(stem))
     nothing = F.expr(f"cast(array() as array<{FINDING}>)")
-    detected = whole.withColumn("n_words", F.greatest(F.lit(0).cast("long"), spaces(words) - 1)).withColumn(
+    detected = whole.withColumn("n_words", F.when(words == "  ", 0).otherwise(spaces(words) - 1)).withColumn(
         "found", F.when(gated, findings(words, ruleset)).otherwise(nothing)
     )
 

@@ -13,6 +13,7 @@ from tablepact.llm.line_dedup import dedup_lines
 from tablepact.llm.packing import pack
 from tablepact.llm.pii import BASE_KINDS, find_pii, written
 from tablepact.llm.shared import table
+from tablepact.llm.simhash import fingerprint_text, near_duplicates
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,6 +92,11 @@ SELECT id AS doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM worded LEFT JOIN hits ON id = hits.doc_id LEFT JOIN items ON id = items.doc_id WHERE side = 0
 """
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", fingerprint_text(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     scanned = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("found", lambda f: f["base"])
@@ -114,6 +120,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
     "op6_decontamination": op6_decontamination,
+    "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
 }
 
