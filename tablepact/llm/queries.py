@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablepact.llm.decontaminate import find_contamination
+from tablepact.llm.embedding_dedup import near_embeddings
 from tablepact.llm.language_id import held_out, identify_languages, learn_from_documents
 from tablepact.llm.licenses import scan_licenses
 from tablepact.llm.line_dedup import dedup_lines
@@ -114,6 +115,10 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_embeddings(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -122,6 +127,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 #: SQL with the same result. The other operators have none: they are tested against brute force.
