@@ -13,6 +13,7 @@ from tablepact.llm.licenses import scan_licenses
 from tablepact.llm.line_dedup import dedup_lines
 from tablepact.llm.packing import pack
 from tablepact.llm.pii import BASE_KINDS, find_pii, written
+from tablepact.llm.quality import score_quality
 from tablepact.llm.shared import table
 from tablepact.llm.simhash import fingerprint_text, near_duplicates
 
@@ -115,6 +116,10 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_embeddings(table(spark, folder, "embeddings"))
 
@@ -127,6 +132,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
+    "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
