@@ -14,6 +14,8 @@ frequent length nor the tokens meet in one task.
 
 from __future__ import annotations
 
+import re
+import struct
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -28,15 +30,38 @@ from tablepact.llm.shared import rows, stored
 #: Sequence ids of full windows begin here, those of one task every 2^36.
 FULL_WINDOWS = 1 << 62
 
-#: Words whose ids a task keeps, and the longest word that is kept.
-KEPT_WORDS, KEPT_LENGTH = 1 << 19, 64
+#: Words and parts of words whose ids a Python worker keeps, and the longest that is kept.
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 1 << 19, 1 << 20, 64
+
+
+#: Lower-case words of letters with marks behind them: the tokenizer parts them there and nowhere else.
+PLAIN = re.compile(r"([a-z\u00DF-\u00F6\u00F8-\u00FF]*)([!#-&(-/:-@\[-`{-~]*)")
+
+
+class Kept(dict):
+    """Values by key, made where missing; emptied when there are ``most``."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
-    """The ids that the tokenizer gives a text, word by word; ids of words are kept.
+    """The ids that the tokenizer gives a text, as little-endian 32-bit numbers; made word by word, and kept by word.
 
-    For a tokenizer that drops white space, as ``word_bpe_49k.json`` does: no token spans words. Texts
-    with marks of special tokens, or with separators that count as white space for one side
+    For a tokenizer that lower-cases and drops white space, as ``word_bpe_49k.json`` does: no token spans words.
+    Texts with marks of special tokens, or with separators that count as white space for one side
     only, are given to the tokenizer whole.
     """
 
@@ -44,36 +69,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words, self.pieces = Kept(self.word, KEPT_WORDS), Kept(self.piece, KEPT_PIECES)
+
+    def whole(self, text: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def piece(self, piece: str) -> bytes:
+        """Ids of letters, or of marks, that no rule parts further."""
+        spelled = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)] if not piece.isascii() else [piece]
+        return as_bytes([token.id for part in spelled for token in self.tokenizer.model.tokenize(part)])
 
-    def encode(self, text: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        if plain := PLAIN.fullmatch(word):
+            letters, marks = plain.groups()
+            return self.pieces[letters] + self.pieces[marks] if marks else self.pieces[letters]
+        return self.whole(word)
+
+    def encode(self, text: str) -> bytes:
+        """Latin texts are lower-cased here, which they are alike in any version of Unicode, and need no composing."""
         if any(mark in text for mark in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
             return self.whole(text)
-        ids: list[int] = []
-        known = self.words.get
-        for word in text.split():
-            own = known(word)
-            ids += self.fresh(word) if own is None else own
-        return ids
-
-    def fresh(self, word: str) -> list[int]:
-        if len(word) > KEPT_LENGTH:
-            return self.whole(word)
-        for kept in (self.words, self.pieces):
-            if len(kept) >= KEPT_WORDS:
-                kept.clear()
-        tokenizer, ids = self.tokenizer, []
-        for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word)):
-            own = self.pieces.get(piece)
-            if own is None:
-                own = self.pieces[piece] = [token.id for token in tokenizer.model.tokenize(piece)]
-            ids += own
-        self.words[word] = ids
-        return ids
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
+
+
+def kept_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, so that later tasks find the words of earlier ones."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_word_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def tokenize(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int, window: int) -> DataFrame:
@@ -87,19 +117,19 @@ def tokenize(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: in
     )
 
     def run(batches):
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = kept_encoder(tokenizer), TaskContext.get().partitionId()
         fulls, tails = 0, np.zeros(window + 1, np.int64)
         for whole in batches:
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 out = {name: [] for name in placed.names}
                 for body in batch.column(1).to_pylist():
-                    ids = encoder.encode(body or "")
-                    ids.append(end_id)
-                    tail = (len(ids) - 1) % window + 1
-                    values = (np.array(ids, "<u4").tobytes(), part, fulls, tail, tails[tail])
+                    ids = encoder.encode(body or "") + as_bytes([end_id])
+                    size = len(ids) // 4
+                    tail = (size - 1) % window + 1
+                    values = (ids, part, fulls, tail, tails[tail])
                     for name, value in zip(placed.names, values):
                         out[name].append(value)
-                    fulls += (len(ids) - tail) // window
+                    fulls += (size - tail) // window
                     tails[tail] += 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *rows(placed, out).columns], names=["doc_id", *placed.names]

@@ -22,6 +22,7 @@ ODD = [
     "İstanbul ΣΑΣ é ̈x 中文字 123,45 ½ ² _a_b",
     "x" * 5000,
     "word " * 3000,
+    "".join(map(chr, range(33, 127))) + " a!b c.d,e (x) [y] {z} ~t~ a-b_c #$%&*+ `q` ^w^ @h \\s /d/ ;:<=>?",
 ]
 
 
@@ -71,7 +72,16 @@ def test_empty_table(spark):
 def test_words_are_encoded_as_whole_texts():
     encoder, tokenizer = WordEncoder(PATH), Tokenizer.from_file(PATH)
     for text in ODD[2:]:
-        assert encoder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        wanted = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == wanted
+
+
+def test_all_words_of_a_table(spark):
+    """Every document of the larger table, encoded by words, is what the tokenizer makes of it."""
+    encoder, tokenizer = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for text, wanted in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert encoder.encode(text) == np.array(wanted.ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("total", [0, 5, 40, 100_000])
