@@ -14,6 +14,7 @@ from tablepact.llm.line_dedup import dedup_lines
 from tablepact.llm.packing import pack
 from tablepact.llm.pii import BASE_KINDS, find_pii, written
 from tablepact.llm.quality import score_quality
+from tablepact.llm.repeats import remove_repeats
 from tablepact.llm.shared import table
 from tablepact.llm.simhash import fingerprint_text, near_duplicates
 
@@ -63,6 +64,11 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    done = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"])
@@ -129,6 +135,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
