@@ -240,12 +240,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     """
     index = stored(_index(docs, length), "anchors")
     often = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    near = index.join(often, "key", "left_semi")
+    near = stored(index.join(often, "key", "left_semi"), "near")
     contents = stored(
         near.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*PLACE)).alias("place")), "contents"
     )
     copies = contents.where("times > 1").select("key", "content", "place")
-    copied = index.join(copies, ["key", "content"])
+    copied = near.join(copies, ["key", "content"])
     if keep_first:
         copied = copied.where(F.struct(*PLACE) != F.col("place"))
     end = F.col("x") + F.col("more").cast("int") + length
@@ -278,6 +278,7 @@ def remove_repeats(
     numbered = stored(
         docs.select(F.monotonically_increasing_id().alias("doc"), F.struct(F.lit(True).alias("_"), *rest).alias("rest"), F.col(text).alias("text")),
         "texts",
+        "zstd",
     )
     spans = repeated_spans(numbered, length, keep_first, group).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     shape = numbered.schema["rest"].dataType.simpleString()
