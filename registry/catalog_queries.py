@@ -286,7 +286,7 @@ QUERIES: dict[str, Query] = {
             SELECT u.product, u.port AS name,
                 string_agg(concat(coalesce(n.shown, 'unknown'), ':', u.location), ', ' ORDER BY u.pos) AS connections
             FROM uses u LEFT JOIN named n ON u.product = n.product AND u.connection = n.connection GROUP BY ALL)
-        SELECT p.product, p.name, 0 AS line, {SHORT_40} AS description, coalesce(l.connections, '-') AS connections
+        SELECT p.product, p.name, {SHORT_40} AS description, coalesce(l.connections, '-') AS connections
         FROM ports p LEFT JOIN lists l ON p.product = l.product AND p.name = l.name""",
     ),
     "connection_usage": Query(

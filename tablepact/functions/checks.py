@@ -33,6 +33,9 @@ def is_in_list(value: Column, allowed: tuple, data_type: T.DataType | None = Non
     if not members:
         # Nothing is allowed: every present value breaks the rule.
         return F.when(value.isNotNull(), F.lit(False))
+    if isinstance(data_type, (T.DateType, T.TimestampType)):
+        # A member that is no date is NULL, and no value equals it: it must not make the answer NULL.
+        return F.array_contains(F.filter(F.array(*members), lambda member: member.isNotNull()), value)
     return value.isin(*members)
 
 

@@ -17,9 +17,8 @@ from tablepact.sources.specs import COMPONENT_PREFIX, Catalog
 
 ENDPOINT = ["product", "type", "host"]
 
-# Connections shown on one line of a port listing. Longer lists run over several lines, so
-# no task ever gathers more than this many entries of a port.
-LINE_ENTRIES = 1000
+# Locations of a port whose texts one task joins at a time; the joined parts are then joined to the port's row.
+PART_ENTRIES = 1000
 
 
 def endpoint_uses(catalog: Catalog) -> DataFrame:
@@ -45,31 +44,44 @@ def _endpoints(catalog: Catalog) -> DataFrame:
     return catalog.connections.select("product", F.col("name").alias("connection"), "type", "host")
 
 
-def port_listing(catalog: Catalog, line_entries: int = LINE_ENTRIES) -> DataFrame:
-    """Per port: its description, shortened, and its ``connection:location`` list.
+def port_locations(catalog: Catalog) -> DataFrame:
+    """One row per location of a port: product, port, pos and entry, ``connection:location``.
 
     An endpoint is shown under the least of its connection names; a connection the product
-    does not define is ``unknown``. Sorted by product and name.
+    does not define is ``unknown``.
     """
     shown = catalog.connections.groupBy(*ENDPOINT).agg(F.min("name").alias("shown"))
     names = lookup(_endpoints(catalog), shown, ENDPOINT, "inner").select("product", "connection", "shown")
     entry = F.concat(F.coalesce("shown", F.lit("unknown")), F.lit(":"), F.coalesce("location", F.lit("")))
-    lines = (
-        lookup(catalog.port_connections, names, ["product", "connection"])
-        .groupBy("product", "port", F.floor(F.col("pos") / line_entries).cast("int").alias("line"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("entries"))
-        .select("product", F.col("port").alias("name"), "line", F.array_join("entries.entry", ", ").alias("connections"))
+    return lookup(catalog.port_connections, names, ["product", "connection"]).select(
+        "product", "port", "pos", entry.alias("entry")
+    )
+
+
+def port_listing(catalog: Catalog) -> DataFrame:
+    """One row per port: its description, shortened, and its ``connection:location`` list, however long.
+
+    The list is part of the row; its parts are joined apart from each other, so what is gathered
+    for a port is a few texts. Sorted by product and name.
+    """
+    joined = lambda order, text: F.array_join(F.array_sort(F.collect_list(F.struct(order, text)))[text], ", ")
+    lists = (
+        port_locations(catalog)
+        .groupBy("product", "port", F.floor(F.col("pos") / PART_ENTRIES).alias("part"))
+        .agg(joined("pos", "entry").alias("entries"))
+        .groupBy("product", "port")
+        .agg(joined("part", "entries").alias("connections"))
+        .withColumnRenamed("port", "name")
     )
     return (
-        catalog.ports.join(lines, ["product", "name"], "left")
+        catalog.ports.join(lists, ["product", "name"], "left")
         .select(
             "product",
             "name",
-            F.coalesce("line", F.lit(0)).alias("line"),
             shortened(F.col("description"), 40).alias("description"),
             F.coalesce("connections", F.lit("-")).alias("connections"),
         )
-        .orderBy("product", "name", "line")
+        .orderBy("product", "name")
     )
 
 

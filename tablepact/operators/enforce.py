@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablepact.operators.quality import ERRORS, accepted, bind, own_columns, split
 from tablepact.plans.contract import Contract
-from tablepact.sources.tables import create_port_table
+from tablepact.sources.tables import create_port_table, insert_by_name
 
 
 @contextmanager
@@ -69,9 +69,11 @@ def enforce_partitioned(df: DataFrame, contract: Contract, folder: str, mode: st
 def enforce_tables(df: DataFrame, contract: Contract, good: str, bad: str, keep: bool = False) -> None:
     """As :func:`enforce`, adding to the contract's table and to a quarantine table.
 
-    Both are created if need be; the contract's has its types, comments and description.
+    Both are created if need be; the contract's has its types, comments and description. These are two
+    appends: a run that is repeated after a failure between them adds the valid rows again. Where that may
+    happen, :func:`enforce_partitioned` commits both sides at once.
     """
     with _input(df, keep) as source:
         create_port_table(df.sparkSession, contract, good)
-        accepted(source, contract).write.insertInto(good)
+        insert_by_name(accepted(source, contract), good)
         split(source, contract)[1].write.mode("append").saveAsTable(bad)

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablepact.errors import ContractError, PortErrors
+from tablepact.functions.columns import column
 from tablepact.operators.apply import apply_contract
 from tablepact.operators.quality import summarise
 from tablepact.plans.contract import Contract
@@ -39,7 +41,8 @@ def run_ports(
     """Run ``action`` on all ports, or the named ones, and stack the results under ``port``.
 
     An unknown name fails at once and a port without schema is skipped. Errors of single
-    ports are collected and raised together at the end. Columns a port lacks are NULL.
+    ports, malformed patterns among them, are collected and raised together before any row is read. Columns a
+    port lacks are NULL; a column whose type differs between ports is text in the stack, nested ones as JSON.
     """
     chosen = list(ports) if names is None else [n.strip() for n in names if n.strip()]
     for name in chosen:
@@ -51,6 +54,7 @@ def run_ports(
         try:
             contract = ports[name].contract(name)
             if contract is not None:
+                try_patterns(ports[name].data.sparkSession, contract)
                 result = action(ports[name].data, contract)
                 results.append(result.select(F.lit(name).alias(PORT), "*"))
         except (ContractError, PySparkException) as err:
@@ -59,7 +63,34 @@ def run_ports(
         raise PortErrors(errors)
     if not results:
         raise ContractError("no ports selected")
-    return stacked(results)
+    return stacked(agreeing(results))
+
+
+def try_patterns(spark: SparkSession, contract: Contract) -> None:
+    """Raise for a pattern Spark cannot read. The optimizer works these out; no job runs."""
+    for check in contract.checks:
+        if check.rule == "regex_match":
+            try:
+                spark.sql("SELECT 1").select(F.lit("").rlike(check.args[0])).collect()
+            except PySparkException as err:
+                raise ContractError(f"{check.column}: pattern {check.args[0]!r} is malformed") from err
+
+
+def agreeing(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """The frames with columns as text where their types differ."""
+    kinds: dict[str, set[str]] = {}
+    for frame in frames:
+        for field in frame.schema:
+            kinds.setdefault(field.name.lower(), set()).add(field.dataType.simpleString())
+
+    def shown(field: T.StructField) -> Column:
+        value = column([field.name])
+        if len(kinds[field.name.lower()]) == 1:
+            return value
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+        return (F.to_json(value) if nested else value.cast("string")).alias(field.name)
+
+    return [frame.select(*map(shown, frame.schema)) for frame in frames]
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from tablepact.functions.casts import MOMENTS, cast_to
 from tablepact.functions.columns import column
 from tablepact.operators.apply import Staged, project, stage
 from tablepact.plans.contract import Contract
-from tablepact.plans.rules import SQL_EXPRESSION, Check
+from tablepact.plans.rules import IS_READABLE, SQL_EXPRESSION, UNREADABLE, Check
 
 ERRORS = "_errors"
 
@@ -29,6 +29,8 @@ def predicate(staged: Staged, check: Check) -> Column:
     """The rule's condition on the staged frame: TRUE, FALSE, or NULL for a missing value."""
     if check.rule == SQL_EXPRESSION:
         return predicates.sql_expression(*check.args)
+    if check.rule == IS_READABLE:
+        return column([UNREADABLE]).isNull()
     if check.rule in MOMENT_RULES and _arrives_as_moment(staged, check):
         return F.lit(True)
     builder = predicates.CHECKS.get(check.rule)
@@ -109,7 +111,12 @@ def error_entries(checks: Sequence[Check]) -> Column:
 
 
 def bind(df: DataFrame, contract: Contract, whole: bool = False) -> Checked:
-    """Bind the contract's checks; ``whole`` parses all nested columns, not just checked parts."""
+    """Bind the contract's checks; ``whole`` parses all nested columns, not just checked parts.
+
+    Rows a reader could not read break a check of their own, which comes last.
+    """
+    if UNREADABLE in df.columns:
+        contract = replace(contract, checks=(*contract.checks, Check(IS_READABLE, (), (), "the row must be readable")))
     staged = stage(df, contract, None if whole else [c.path for c in contract.checks if c.path])
     return Checked(contract, staged, [~predicate(staged, c) for c in contract.checks])
 
@@ -169,14 +176,14 @@ def summarise(df: DataFrame, contract: Contract) -> DataFrame:
     A single partial/final aggregate counts every check at once: each task sends one row,
     and only the columns named by checks are read.
     """
-    if not contract.checks:
-        return df.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
     checked = bind(df, contract)
+    if not checked.failures:
+        return df.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
     counts = checked.staged.frame.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(F.when(fails, 1)).alias(f"v{n}") for n, fails in enumerate(checked.failures)],
     )
-    named = [{"check_no": n, "check": c.rule, "column": c.column} for n, c in enumerate(contract.checks, 1)]
+    named = [{"check_no": n, "check": c.rule, "column": c.column} for n, c in enumerate(checked.contract.checks, 1)]
     names = F.from_json(F.lit(json.dumps(named)), "array<struct<check_no: int, check: string, column: string>>")
     numbers = F.array(*[f"v{n}" for n in range(len(named))])
     return counts.select("rows", F.inline(F.arrays_zip(names.alias("name"), numbers.alias("violations")))).select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -44,6 +43,9 @@ TEXT_RULES = frozenset({*CHECK_BY_FORMAT.values(), "min_length", "max_length", "
 
 SQL_EXPRESSION = "sql_expression"
 
+# The column in which readers keep what they could not read, and the rule that it is empty.
+UNREADABLE, IS_READABLE = "_unreadable", "is_readable"
+
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -121,6 +123,9 @@ Rule = tuple[str, tuple, tuple]
 
 
 def _array_rules(column: str, given: Mapping[str, Any]) -> Iterator[Rule]:
+    for keyword in ("enum", "const"):
+        if keyword in given:
+            raise ContractError(f"{column}: {keyword} does not apply to an array")
     for keyword, rule in ITEM_RULES.items():
         if keyword in given:
             yield _limit(rule, whole(column, keyword, given[keyword]))
@@ -214,24 +219,13 @@ def literal(value: Any, data_type: T.DataType) -> Any:
         return int(value) if float(value).is_integer() and LONG_MIN <= value <= LONG_MAX else None
     if not isinstance(value, str):
         return None
-    if isinstance(data_type, (T.DateType, T.TimestampType)):
-        return _moment(value, data_type)
-    return value
-
-
-def _moment(text: str, data_type: T.DataType) -> str | None:
-    """Dates and timestamps stay text here and are cast by Spark; unreadable ones are dropped."""
-    try:
-        dt.datetime.fromisoformat(text)
-    except ValueError:
-        return None
-    return text
+    return value  # dates and timestamps stay text here: Spark reads them, as it reads the column
 
 
 def show(value: Any) -> str:
     """A value as it reads in messages: whole floats without a fraction, JSON booleans."""
     if value is None:
-        return "<nil>"
+        return "null"
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:

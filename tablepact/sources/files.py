@@ -9,6 +9,7 @@ from tablepact.errors import ContractError
 from tablepact.functions.columns import find_field
 from tablepact.operators.apply import apply_contract
 from tablepact.plans.contract import Contract
+from tablepact.plans.rules import UNREADABLE
 
 SELF_DESCRIBING = ("parquet", "orc")
 TEXT_FORMATS = ("json", "csv")
@@ -18,7 +19,8 @@ def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, *
     """The port's rows before any cast, ready for checks.
 
     JSON and CSV are read as text in the declared shape, so no type is inferred and no bad
-    value can end the job; in CSV, nested columns hold JSON text, and columns go by the names
+    value can end the job; a line that is no JSON is kept as it is in ``_unreadable``, which check sets
+    report as ``is_readable``; in CSV, nested columns hold JSON text, and columns go by the names
     in the header unless ``header="false"`` says there is none. Parquet and ORC carry their
     own types; declared columns are read even where the file that shows the types lacks them.
     """
@@ -28,7 +30,8 @@ def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, *
         absent = [f for f in contract.schema.fields if find_field(held, f.name) is None]
         return reader.format(fmt).schema(T.StructType([*held.fields, *absent])).load(location)
     if fmt == "json":
-        return reader.schema(contract.text_schema).json(location)
+        shape = T.StructType([*contract.text_schema.fields, T.StructField(UNREADABLE, T.StringType())])
+        return reader.schema(shape).option("columnNameOfCorruptRecord", UNREADABLE).json(location)
     if fmt == "csv":
         reader = spark.read.options(**{**CSV_OPTIONS, **options})
         if options.get("header", "true") == "false":

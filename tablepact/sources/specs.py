@@ -89,12 +89,13 @@ class Catalog:
 SPEC_FILES = ("yaml", "yml", "json")
 
 
-def load_specs(spark: SparkSession, location: str) -> DataFrame:
+def load_specs(spark: SparkSession, location: str, stem: str = "spec") -> DataFrame:
     """The corpus kept under a folder: product, spec, one row per folder in it that holds a spec.
 
-    A product is named after its folder. YAML goes before JSON.
+    A product is named after its folder, and its spec is the file named ``stem``; other files of
+    the folder are not read. YAML goes before JSON.
     """
-    files = f"{location.rstrip('/')}/*/*.{{{','.join(SPEC_FILES)}}}"
+    files = f"{location.rstrip('/')}/*/{stem}.{{{','.join(SPEC_FILES)}}}"
     path = F.col("_metadata.file_path")
     extension = F.element_at(F.split(path, "[.]"), -1)
     rank = F.array_position(F.lit(list(SPEC_FILES)), extension)
@@ -186,7 +187,7 @@ def yaml_as_json(texts: pd.Series) -> pd.Series:
     def convert(text: str | None) -> str | None:
         try:
             return None if text is None else json.dumps(_parsed(text, loader))
-        except (ContractError, TypeError):
+        except Exception:  # whatever a document is made of, it is unreadable, and the others are not
             return text
 
     return texts.map(convert)
@@ -257,27 +258,29 @@ def _spec_rows(product: str, text: str) -> Iterator[tuple]:
         doc = json.loads(text)
         ports = dict(doc.get("ports") or {})
         components = (doc.get("components") or {}).get("schemas") or {}
-    except (AttributeError, TypeError, ValueError):
+    except (AttributeError, TypeError, ValueError, RecursionError):
         yield (product, None, None, None, None, None, None, "the spec is not readable")
         return
     for name, port in ports.items():
         try:
             schema = (port or {}).get("schema")
             leaves = [] if schema is None else Contract.from_schema(schema, name, components).leaves()
-        except (AttributeError, ContractError) as err:
-            yield (product, name, None, None, None, None, None, str(err))
+            rows = [
+                (product, name, leaf.dotted, leaf.data_type.simpleString(), leaf.required, leaf.description,
+                 constraint_text(leaf.constraints), None)
+                for leaf in leaves
+            ]
+        except Exception as err:  # an odd schema is that port's error row
+            yield (product, name, None, None, None, None, None, str(err) or type(err).__name__)
             continue
-        for leaf in leaves:
-            kind = leaf.data_type.simpleString()
-            described = constraint_text(leaf.constraints)
-            yield (product, name, leaf.dotted, kind, leaf.required, leaf.description, described, None)
+        yield from rows
 
 
 def constraint_text(constraints) -> str:
     """Constraints as one line of text, in documentation order."""
     parts = []
     for keyword, value in constraints.items():
-        if value is None or value == [] or value == "":
+        if value is None or (keyword != "const" and value in ([], "")):
             continue
         if keyword == "enum":
             parts.append("enum: " + ", ".join(f"`{show(v)}`" for v in value))

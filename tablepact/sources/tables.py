@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablepact.errors import ContractError
 from tablepact.operators.apply import apply_contract
 from tablepact.plans.contract import Contract
 
@@ -23,6 +24,22 @@ def create_port_table(spark: SparkSession, contract: Contract, table: str, path:
 def write_port(
     df: DataFrame, contract: Contract, table: str, path: str | None = None, overwrite: bool = False
 ) -> None:
-    """Insert the frame, cast to the contract, into the contract's table."""
+    """Insert the frame, cast to the contract, into the contract's table, column by name."""
     create_port_table(df.sparkSession, contract, table, path)
-    apply_contract(df, contract).write.insertInto(table, overwrite=overwrite)
+    insert_by_name(apply_contract(df, contract), table, overwrite)
+
+
+def insert_by_name(typed: DataFrame, table: str, overwrite: bool = False) -> None:
+    """Insert into a table that has the same columns with the same types, in whatever order."""
+    held = {f.name.lower(): f for f in typed.sparkSession.table(table).schema}
+    given = {f.name.lower(): f for f in typed.schema}
+    if held.keys() != given.keys():
+        odd = ", ".join(sorted(held.keys() ^ given.keys()))
+        raise ContractError(f"table {table} and the contract differ in the columns {odd}")
+    for name, field in held.items():
+        wanted = given[name].dataType
+        if field.dataType.simpleString() != wanted.simpleString():
+            raise ContractError(
+                f"{name} is {field.dataType.simpleString()} in table {table} and {wanted.simpleString()} in the contract"
+            )
+    typed.select(*[typed[f"`{given[name].name}`"] for name in held]).write.insertInto(table, overwrite=overwrite)

@@ -8,7 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 from tablepact.operators.enforce import enforce
 from tablepact.plans.contract import Contract
 
-BATCH = "batch_id"
+STREAM, BATCH = "stream", "batch_id"
+
+# Fixed value: where Spark tells the function of a micro-batch which query runs it.
+QUERY_ID = "sql.streaming.queryId"
 
 
 def enforce_stream(
@@ -21,15 +24,18 @@ def enforce_stream(
 ) -> StreamingQuery:
     """Start enforcing the contract on a stream of rows.
 
-    Every micro-batch is split in two below ``good`` and ``bad``, each in a folder of its
-    batch id. A batch replayed after a failure has the same id and overwrites its folders,
-    so no row is stored twice. Reading ``good`` back yields the id as column ``batch_id``.
+    Every micro-batch is split in two below ``good`` and ``bad``, each in a folder of the
+    query's id, which its checkpoint holds, and its batch id. A batch replayed after a failure has
+    both again and overwrites its folders, so no row is stored twice; a query with a new checkpoint counts
+    batches anew, but in folders of its own. Reading ``good`` back yields the columns ``stream`` and ``batch_id``.
     ``trigger`` defaults to working off what is there and stopping.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # Kept, since whatever state the stream carries upstream must advance only once.
-        enforce(batch, contract, f"{good}/{BATCH}={batch_id}", f"{bad}/{BATCH}={batch_id}", keep=True)
+        query = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
+        below = f"{STREAM}={query}/{BATCH}={batch_id}"
+        enforce(batch, contract, f"{good}/{below}", f"{bad}/{below}", keep=True)
 
     return (
         stream.writeStream.foreachBatch(store)

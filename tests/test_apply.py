@@ -99,6 +99,23 @@ def rows(df):
     return [tuple(r) for r in typed(df).collect()]
 
 
+def test_tables_are_filled_by_name_and_types_must_agree(spark, tmp_path):
+    contract = Contract.from_schema({"properties": {"a": {"type": "string"}, "b": {"type": "string"}}})
+    rows = spark.createDataFrame([("A", "B")], "a string, b string")
+    with_tables = {"turned": "b string, a string", "typed": "a int, b string", "short": "a string"}
+    for name, columns in with_tables.items():
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{tmp_path / name}'")
+    try:
+        write_port(rows, contract, "turned")
+        assert spark.table("turned").collect() == [("B", "A")]
+        for name in ("typed", "short"):
+            with pytest.raises(ContractError, match="[ab]"):
+                write_port(rows, contract, name)
+    finally:
+        for name in with_tables:
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_json_port_with_good_and_bad_values(spark, tmp_path):
     (tmp_path / "orders.json").write_text(compact(GOOD) + "\n" + compact(BAD) + "\n")
     df = read_port(spark, ORDER, str(tmp_path), "json")
@@ -253,3 +270,26 @@ def test_run_ports_reports_all_failures_together(spark):
     with pytest.raises(PortErrors) as caught:
         run_ports(ports, action=annotate)
     assert sorted(caught.value.errors) == ["cycle", "lacking"]
+
+
+def test_ports_that_disagree_are_stacked_as_text(spark):
+    kinds = {"long": {"type": "integer"}, "day": {"format": "date"}, "text": {"type": "string"}, "parts": {"type": "array", "items": {"type": "string"}}}
+    data = {
+        "long": spark.sql("SELECT 7L AS id, 1 AS n"), "day": spark.sql("SELECT '2024-01-02' AS id, 2 AS n"),
+        "text": spark.sql("SELECT 'x' AS id, 3 AS n"), "parts": spark.sql("SELECT array('a', 'b') AS id, 4 AS n"),
+    }
+    ports = {k: Port(data[k], {"properties": {"id": kinds[k], "n": {"type": "integer"}}}) for k in kinds}
+    found = run_ports(ports)
+    assert {r.port: r.id for r in found.collect()} == {"long": "7", "day": "2024-01-02", "text": "x", "parts": '["a","b"]'}
+    assert found.schema["n"].dataType == T.LongType()
+
+
+def test_malformed_patterns_are_errors_of_their_ports(spark):
+    rows = spark.sql("SELECT 'a' AS a")
+    ports = {
+        name: Port(rows, {"properties": {"a": {"type": "string", "pattern": pattern}}})
+        for name, pattern in {"bad": "(", "good": "a", "worse": "[z-a]"}.items()
+    }
+    with pytest.raises(PortErrors) as caught:
+        summarise_ports(ports)
+    assert sorted(caught.value.errors) == ["bad", "worse"]

@@ -145,3 +145,23 @@ def test_bad_values_do_not_end_the_job_under_ansi(spark):
     )
     df = spark.createDataFrame([("?", "?", "?")], "d string, t string, n string")
     assert [r.violations for r in summarise(df, contract).collect()] == [1, 1, 0, 0]
+
+
+@pytest.mark.parametrize(
+    ("rule", "broken"),
+    [
+        ({"enum": ["2024-01-01", "20240303", "2024-W05-1"]}, ["2024-02-02"]),
+        ({"const": "20240101"}, ["2024-01-01", "2024-02-02"]),
+        ({"enum": ["2024-01", "2024-02-02"]}, []),
+    ],
+)
+def test_date_members_are_read_as_spark_reads_dates(spark, rule, broken):
+    contract = Contract.from_schema({"properties": {"d": {"type": "string", "format": "date", **rule}}})
+    rows = spark.createDataFrame([("2024-01-01",), ("2024-02-02",), (None,)], "d string")
+    assert [r.d for r in annotate(rows, contract).where("size(_errors) > 0").collect()] == broken
+
+
+@pytest.mark.parametrize("rule", [{"enum": [["a"]]}, {"const": ["a"]}])
+def test_members_of_arrays_are_refused(rule):
+    with pytest.raises(ContractError, match="does not apply to an array"):
+        Contract.from_schema({"properties": {"a": {"type": "array", "items": {"type": "string"}, **rule}}})

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tablepact.sources.files import read_raw
 from tablepact import Contract, annotate, enforce, enforce_partitioned, enforce_tables, split, summarise, violations
 
 CONTRACT = Contract.from_schema(
@@ -195,3 +196,14 @@ def test_long_contracts(spark):
     summary = summarise(df, contract).collect()
     assert len(summary) == 300 and {r.violations for r in summary if r.check == "is_in_range"} == {9}
     assert annotate(df, contract).where(F.size("_errors") == 150).count() == 9
+
+
+def test_unreadable_rows_are_quarantined_with_their_text(spark, tmp_path):
+    lines = ['{"a": 1}', '{"a":2,,}', "not json", '{"a": 3}']
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    contract = Contract.from_schema({"properties": {"a": {"type": "integer"}}})
+    raw = read_raw(spark, contract, str(tmp_path / "in.json"), "json")
+    good, bad = split(raw, contract)
+    assert sorted(r.a for r in good.collect()) == ["1", "3"]
+    assert sorted((r._unreadable, r._errors[0].check) for r in bad.collect()) == [(t, "is_readable") for t in sorted(lines[1:3])]
+    assert [(r.check, r.violations) for r in summarise(raw, contract).collect()] == [("is_readable", 2)]

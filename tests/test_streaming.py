@@ -83,3 +83,14 @@ def test_a_replayed_batch_overwrites_itself(spark, paths, tmp_path):
             commit.unlink()
     run(spark, paths)
     assert sides(spark, paths["good"], paths["bad"]) == before
+
+
+def test_a_new_checkpoint_keeps_what_is_stored(spark, paths, tmp_path):
+    add_file(spark, paths["in"], 0)
+    run(spark, paths)
+    before = sides(spark, paths["good"], paths["bad"])
+    add_file(spark, paths["in"], 20)
+    run(spark, {**paths, "ckpt": str(tmp_path / "other")})
+    after = sides(spark, paths["good"], paths["bad"])
+    assert len(before[0]) + len(before[1]) == 20 and len(after[0]) + len(after[1]) == 60
+    assert set(before[0]) <= set(after[0]) and set(before[1]) <= set(after[1])
