@@ -75,7 +75,7 @@ if __name__ == "__main__":
     con = database(folder)
     failed = 0
     for name, run in entry.queries().items():
-        if only and name not in only:
+        if name not in entry.oracle_sql() or only and name not in only:
             continue
         started = time.time()
         try:
