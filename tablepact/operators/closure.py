@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tablepact.operators.catalog import port_references, referenced
 from tablepact.sources.scratch import scratch_path
 from tablepact.sources.specs import Catalog
 
-PAIR = ["product", "root", "component"]
-
-
 def component_edges(catalog: Catalog) -> DataFrame:
     """product, component, next: one row per reference from one shared schema to another."""
     return referenced(catalog.components, "component", "next")
@@ -35,34 +31,23 @@ def schema_closure(catalog: Catalog) -> DataFrame:
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """product, root, component: what can be reached from each root, itself included.
 
-    Breadth first: one round per step away from the roots, until a round finds nothing new.
-    Each round is a table in shared storage, which cuts the lineage and survives the loss
-    of executors; its row count is observed while it is written, at no extra pass.
+    Known paths are doubled: a round joins paths to paths, so it takes as many rounds as the longest
+    shortest path has binary digits, and one more to see that nothing is new. Each round is a table in shared storage, which
+    cuts the lineage and survives the loss of executors; its row count is observed while it is
+    written, at no extra pass.
     """
-    spark = roots.sparkSession
-    folder = scratch_path(spark, "closure")
-    steps = _stored(edges.select("product", "component", "next").distinct(), f"{folder}/edges")[0]
-    frontier, found = _stored(roots.select("product", "root", F.col("root").alias("component")), _round(folder, 0))
-    done = 0
-    while found:
-        reached = _rounds(spark, frontier.schema, folder, done)
-        following = (
-            frontier.join(steps, ["product", "component"])
-            .select("product", "root", F.col("next").alias("component"))
-            .distinct()
-            .join(reached, PAIR, "left_anti")
-        )
-        done += 1
-        frontier, found = _stored(following, _round(folder, done))
-    return _rounds(spark, frontier.schema, folder, done)
-
-
-def _round(folder: str, number: int) -> str:
-    return f"{folder}/round-{number}"
-
-
-def _rounds(spark: SparkSession, schema: StructType, folder: str, last: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(*[_round(folder, n) for n in range(last + 1)])
+    folder = scratch_path(roots.sparkSession, "closure")
+    paths = edges.select("product", "component", "next").distinct()
+    paths, found = _stored(paths, f"{folder}/round-0")
+    known, done = -1, 0
+    while found != known:
+        known, done = found, done + 1
+        onward = paths.select("product", F.col("component").alias("next"), F.col("next").alias("end"))
+        joined = paths.join(onward, ["product", "next"]).select("product", "component", F.col("end").alias("next"))
+        paths, found = _stored(paths.unionAll(joined).distinct(), f"{folder}/round-{done}")
+    reached = roots.join(paths.withColumnRenamed("component", "root"), ["product", "root"])
+    itself = roots.select("product", "root", F.col("root").alias("component"))
+    return reached.select("product", "root", F.col("next").alias("component")).unionAll(itself).distinct()
 
 
 def _stored(df: DataFrame, path: str) -> tuple[DataFrame, int]:

@@ -383,3 +383,15 @@ def test_odd_documents_end_no_corpus(spark):
 
 def test_empty_const_is_shown():
     assert constraint_text({"const": "", "enum": [], "pattern": ""}) == "const: ``"
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from tablepact.operators import closure
+
+    rounds = []
+    stored = closure._stored
+    monkeypatch.setattr(closure, "_stored", lambda df, path: rounds.append(path) or stored(df, path))
+    edges = spark.range(300).selectExpr("1 as product", "concat('s', id) as component", "concat('s', id + 1) as next")
+    roots = spark.createDataFrame([(1, "s0"), (1, "s299")], "product int, root string")
+    assert reachable(roots, edges).groupBy("root").count().orderBy("root").collect() == [("s0", 301), ("s299", 2)]
+    assert len(rounds) <= 11
