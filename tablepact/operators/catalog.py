@@ -8,6 +8,9 @@ that endpoint, so their size follows the data.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +153,54 @@ def blocked_connections(catalog: Catalog) -> DataFrame:
     )
 
 
-def component_references(schema: Column) -> Column:
-    """Names of the shared schemas a JSON schema text refers to, each once."""
-    prefix = COMPONENT_PREFIX.replace("/", r"\\?/")  # JSON may write a slash with a backslash
-    pattern = rf'"\$ref"\s*:\s*"{prefix}([^"]+)"'
-    return F.array_distinct(F.regexp_extract_all(schema, F.lit(pattern), F.lit(1)))
+# Keywords whose values are data: what looks like a reference in them is none.
+DATA_KEYWORDS = frozenset({"enum", "const", "default", "examples", "example"})
+
+LOCAL_PREFIXES = ("#/$defs/", "#/definitions/")
+
+
+def read_references(schema: str | None) -> list[tuple[str, str]]:
+    """(kind, target) of the references of a JSON schema, each once: components, files, and
+    local definitions it does not have. A schema that is no JSON has none."""
+    try:
+        root = json.loads(schema or "null")
+    except (ValueError, RecursionError):
+        return []
+    found, open_nodes = {}, [root]
+    while open_nodes:
+        node = open_nodes.pop()
+        if isinstance(node, dict):
+            ref = node.get("$ref")
+            if isinstance(ref, str) and ref:
+                local = next((p for p in LOCAL_PREFIXES if ref.startswith(p)), None)
+                if ref.startswith(COMPONENT_PREFIX):
+                    found["component", ref[len(COMPONENT_PREFIX) :]] = None
+                elif local and ref[len(local) :] not in (root.get(local[2:-1]) or {}):
+                    found["local", ref[len(local) :]] = None
+                elif not ref.startswith("#"):
+                    found["file", ref.partition("#")[0]] = None
+            open_nodes += [v for k, v in node.items() if k not in DATA_KEYWORDS]
+        elif isinstance(node, list):
+            open_nodes += node
+    return list(found)
+
+
+REFERENCE_TYPE = "array<struct<kind: string, target: string>>"
+
+
+def schema_references(schemas: DataFrame, owner: str) -> DataFrame:
+    """product, ``owner``, kind, target: one row per reference of each named schema.
+
+    Texts without the word are not parsed; the others are, once, in Arrow batches.
+    """
+
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: [{"kind": kind, "target": target} for kind, target in read_references(text)])
+
+    references = F.pandas_udf(read, REFERENCE_TYPE)(F.col("schema"))
+    return schemas.where(F.contains("schema", F.lit("$ref"))).select(
+        "product", F.col("name").alias(owner), F.inline(references)
+    )
 
 
 def port_references(catalog: Catalog) -> DataFrame:
@@ -163,20 +209,19 @@ def port_references(catalog: Catalog) -> DataFrame:
 
 
 def referenced(schemas: DataFrame, owner: str, target: str) -> DataFrame:
-    """One row per shared schema that each named schema refers to.
-
-    Exploded as outer and then filtered: an inner explode puts a filter on the list's size
-    below it and searches each text more than once.
-    """
-    found = F.explode_outer(component_references(F.col("schema"))).alias(target)
-    return schemas.select("product", F.col("name").alias(owner), found).where(F.col(target).isNotNull())
+    """One row per shared schema that each named schema refers to."""
+    found = schema_references(schemas, owner).where("kind = 'component'")
+    return found.select("product", owner, F.col("target").alias(target))
 
 
-def dangling_references(catalog: Catalog, references: DataFrame | None = None) -> DataFrame:
-    """Ports that name a connection or shared schema their product does not define.
+def dangling_references(
+    catalog: Catalog, references: DataFrame | None = None, files: DataFrame | None = None
+) -> DataFrame:
+    """Ports that name a connection, a schema or a file that is not there.
 
     ``references`` are the schemas each port uses: its direct ones, or those of
-    :func:`~tablepact.operators.closure.schema_closure` to find breaks further down.
+    :func:`~tablepact.operators.closure.schema_closure` to find breaks further down. ``files`` (product,
+    path) are the schema files at hand; without it references to files are not judged.
     """
     references = port_references(catalog) if references is None else references.distinct()
     defined = catalog.connections.select("product", F.col("name").alias("connection"))
@@ -190,7 +235,15 @@ def dangling_references(catalog: Catalog, references: DataFrame | None = None) -
     schemas = references.join(known, ["product", "component"], "left_anti").select(
         "product", "port", F.col("component").alias("target"), F.lit("schema not found").alias("reason")
     )
-    return connections.unionByName(schemas)
+    own = schema_references(catalog.ports, "port")
+    local = own.where("kind = 'local'").select("product", "port", "target", F.lit("definition not found").alias("reason"))
+    found = connections.unionByName(schemas).unionByName(local)
+    if files is None:
+        return found
+    held = files.select("product", F.col("path").alias("target"))
+    named = own.where("kind = 'file'").withColumn("target", F.regexp_replace("target", r"^(?:\./)+", ""))
+    lost = named.join(held, ["product", "target"], "left_anti")
+    return found.unionByName(lost.select("product", "port", "target", F.lit("file not found").alias("reason")))
 
 
 def schema_definitions(catalog: Catalog) -> DataFrame:

@@ -8,6 +8,7 @@ Spark types with comments, and the checks.
 from __future__ import annotations
 
 import json
+import posixpath
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -80,10 +81,15 @@ class Contract:
         schema: Mapping[str, Any],
         name: str = "",
         components: Mapping[str, Any] | None = None,
+        files: Mapping[str, Any] | None = None,
     ) -> Contract:
-        """Compile a JSON Schema given as a dict; ``components`` are shared schemas by name."""
+        """Compile a JSON Schema given as a dict; ``components`` are shared schemas by name.
+
+        ``files`` are further schemas by path. A reference to a path is relative to the file that makes
+        it, and local references inside a file are to that file's definitions.
+        """
         try:
-            return _Compiler(components or {}).compile(schema, name)
+            return _Compiler(components or {}, files).compile(schema, name)
         except (AttributeError, TypeError) as err:
             raise ContractError(f"{name or 'the schema'} is malformed: {err}") from err
 
@@ -170,11 +176,26 @@ def is_object(node: Mapping[str, Any]) -> bool:
     return type_name(node) == "object" or (not type_name(node) and bool(node.get("properties")))
 
 
+# References on the way to one field, and checks of one contract, beyond which something is wrong with
+# the schema: no plan could hold it.
+MOST_REFERENCES, MOST_CHECKS = 200, 5000
+
+FILE_MARK = "file "
+
+
+def _file_of(trail: tuple[str, ...]) -> str | None:
+    """The file that the reference being expanded stands in; None for the contract itself."""
+    marks = [t for t in trail if t.startswith(FILE_MARK)]
+    return marks[-1][len(FILE_MARK) :].partition("#")[0] if marks else None
+
+
 class _Compiler:
     """Resolves one root schema. Names on ``trail`` are the references being expanded."""
 
-    def __init__(self, components: Mapping[str, Any]):
+    def __init__(self, components: Mapping[str, Any], files: Mapping[str, Any] | None = None):
         self.components = components
+        self.files = files
+        self.fields = 0
         self.root: Mapping[str, Any] = {}
 
     def compile(self, schema: Mapping[str, Any], name: str) -> Contract:
@@ -198,6 +219,9 @@ class _Compiler:
         )
 
     def field(self, prop: Mapping[str, Any], path: tuple[str, ...], required: bool, trail: tuple[str, ...]) -> Field:
+        self.fields += 1
+        if self.fields > MOST_CHECKS:
+            raise ContractError(f"{path[0]}: the schema expands to more than {MOST_CHECKS} fields")
         description = str(prop.get("description", ""))
         node, trail = self.follow(prop, trail)
         data_type, children = self.resolve(node, path, trail)
@@ -235,17 +259,40 @@ class _Compiler:
         while node.get("$ref"):
             ref = node["$ref"]
             prefix = next((p for p in REF_PREFIXES if ref.startswith(p)), None)
+            if prefix is None and self.files is not None and not ref.startswith("#"):
+                node, trail = self.from_file(ref, trail)
+                continue
             if prefix is None:
                 raise ContractError(f"reference {ref!r} does not point inside the contract")
             name = ref[len(prefix) :]
             if name in trail:
                 cycle = " -> ".join((*trail[trail.index(name) :], name))
                 raise ContractError(f"schema reference cycle: {cycle}")
-            node, trail = as_schema(self.lookup(name, prefix)), (*trail, name)
+            node, trail = as_schema(self.lookup(name, prefix, trail)), (*trail, name)
+            if len(trail) > MOST_REFERENCES:
+                raise ContractError(f"more than {MOST_REFERENCES} references lead to {name!r}")
         return node, trail
 
-    def lookup(self, name: str, prefix: str) -> Any:
-        local = [self.root.get("$defs") or {}, self.root.get("definitions") or {}]
+    def from_file(self, ref: str, trail: tuple[str, ...]) -> tuple[Mapping[str, Any], tuple[str, ...]]:
+        """The schema a file holds, or one of its definitions; paths are relative to the file that names them."""
+        path, _, inside = ref.partition("#")
+        path = posixpath.normpath(posixpath.join(posixpath.dirname(_file_of(trail) or ""), path))
+        if path not in self.files:
+            raise ContractError(f"file {path!r} not found")
+        mark = f"{FILE_MARK}{path}#{inside}"
+        if mark in trail:
+            raise ContractError(f"schema reference cycle: {' -> '.join((*trail[trail.index(mark) :], mark))}")
+        node: Any = self.files[path]
+        for part in [p for p in inside.split("/") if p]:
+            node = as_schema(node).get(part)
+        if node is None:
+            raise ContractError(f"{ref!r} is not in file {path!r}")
+        return as_schema(node), (*trail, mark)
+
+    def lookup(self, name: str, prefix: str, trail: tuple[str, ...] = ()) -> Any:
+        path = _file_of(trail)
+        root = self.root if path is None else as_schema(self.files[path])
+        local = [root.get("$defs") or {}, root.get("definitions") or {}]
         shared = [self.components]
         for scope in shared + local if prefix.startswith("#/components") else local + shared:
             if name in scope:

@@ -289,9 +289,27 @@ def test_closure_against_brute_force(spark, seed):
 
 
 def test_references_are_found_however_slashes_are_written(spark):
-    texts = [(r'{"a": {"$ref" : "#/components/schemas/A"}, "b": [{"$ref":"#\/components\/schemas\/B"}]}',), ('{"$ref": "#/$defs/A"}',)]
-    found = spark.createDataFrame(texts, "schema string").select(C.component_references(F.col("schema"))).collect()
-    assert [r[0] for r in found] == [["A", "B"], []]
+    text = r'{"a": {"$ref" : "#/components/schemas/A"}, "b": [{"$ref":"#\/components\/schemas\/B"}]}'
+    assert sorted(C.read_references(text)) == [("component", "A"), ("component", "B")]
+    assert C.read_references(None) == C.read_references("no json") == C.read_references("[" * 9999) == []
+
+
+def test_references_of_all_kinds_are_judged(spark, shop):
+    ref = lambda target: {"$ref": target}
+    schema = {
+        "$defs": {"Here": {"type": "string"}},
+        "properties": {
+            "a": ref("#/$defs/Here"), "b": ref("#/$defs/Gone"), "c": ref("./there.yaml#/x"), "d": ref("lost.json"),
+            "e": {"const": ref("#/components/schemas/Nothing"), "enum": [ref("other.json")]},
+        },
+    }
+    ports = spark.createDataFrame([(1, "p", None, json.dumps(schema))], "product int, name string, description string, schema string")
+    files = spark.createDataFrame([(1, "there.yaml")], "product int, path string")
+    catalog = dataclasses.replace(shop, ports=ports, port_connections=shop.port_connections.where("false"))
+    assert rows(C.dangling_references(catalog)) == [(1, "p", "Gone", "definition not found")]
+    assert rows(C.dangling_references(catalog, files=files)) == [
+        (1, "p", "Gone", "definition not found"), (1, "p", "lost.json", "file not found"),
+    ]
 
 
 def test_closure_of_nothing(spark):

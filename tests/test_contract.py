@@ -181,7 +181,7 @@ def test_literals_keep_their_type_and_foreign_members_are_dropped():
             "none": {"type": "string", "const": None},
         }
     )
-    assert [check.args[0] for check in c.checks if check.args] == [(1, 2), ("1", "true"), (True,), (7.0,), ("2024-01-01",)]
+    assert [check.args[0] for check in c.checks if check.args] == [(1, 2), ("1", "true"), (True,), (7.0,), ("2024-01-01", "soon")]
     assert all(type(v) is int for v in c.checks[0].args[0])
 
 
@@ -242,3 +242,42 @@ def test_contracts_of_a_spec():
     }
     found = contracts_of(spec)
     assert found["users"].column_names == ["id"] and found["bare"] is None
+
+
+FILES = {
+    "schemas/user.yaml": {
+        "type": "object",
+        "required": ["id"],
+        "properties": {"id": {"type": "integer"}, "home": {"$ref": "common/address.json"}, "tag": {"$ref": "#/$defs/Tag"}},
+        "$defs": {"Tag": {"type": "string", "maxLength": 3}},
+    },
+    "schemas/common/address.json": {"definitions": {"City": {"type": "string"}}, "type": "object", "properties": {"city": {"$ref": "#/definitions/City"}}},
+    "loop.json": {"type": "object", "properties": {"again": {"$ref": "loop.json"}}},
+}
+
+
+def test_schemas_in_other_files():
+    contract = Contract.from_schema({"$ref": "schemas/user.yaml"}, files=FILES)
+    assert contract.schema.simpleString() == "struct<id:bigint,home:struct<city:string>,tag:string>"
+    assert {c.rule for c in contract.checks} == {"is_not_null", "max_length"}
+    part = Contract.from_schema({"properties": {"c": {"$ref": "./schemas/common/address.json#/definitions/City"}}}, files=FILES)
+    assert part.schema.simpleString() == "struct<c:string>"
+
+
+@pytest.mark.parametrize(
+    ("schema", "message"),
+    [
+        ({"$ref": "schemas/none.yaml"}, "file 'schemas/none.yaml' not found"),
+        ({"$ref": "loop.json"}, "cycle"),
+        ({"properties": {"c": {"$ref": "schemas/user.yaml#/$defs/None"}}}, "is not in file"),
+    ],
+)
+def test_files_that_are_not_there(schema, message):
+    with pytest.raises(ContractError, match=message):
+        Contract.from_schema(schema, files=FILES)
+
+
+def test_schemas_that_no_plan_could_hold_are_refused():
+    levels = {f"L{n}": {"type": "object", "properties": {k: {"$ref": f"#/$defs/L{n + 1}"} for k in "ab"}} for n in range(30)}
+    with pytest.raises(ContractError, match="more than 5000 fields"):
+        Contract.from_schema({"$defs": {**levels, "L30": {"type": "string"}}, "properties": {"x": {"$ref": "#/$defs/L0"}}})
