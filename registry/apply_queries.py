@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry.check_queries import ORDER_DATE, ORDER_TIME, contract
 from registry.common import Query, source, table
-from tablepact import Contract, Port, apply_contract, parse_payload, read_port, run_ports, snake_case_columns, write_port
+from tablepact import Contract, Port, apply_contract, parse_payload, parse_rows, read_port, run_ports, snake_case_columns, write_port
 from tablepact.sources.scratch import scratch_path
 
 PROJECTED = contract(
@@ -154,8 +154,7 @@ def array_struct(spark, folder):
         "l_linenumber",
         F.concat(F.lit('{"lines":['), F.to_json(line), F.lit(","), F.to_json(supply), F.lit("]}")).alias("payload"),
     )
-    parsed = parse_payload(texts, "payload", LINES_PAYLOAD)
-    return parsed.select("l_orderkey", "l_linenumber", F.inline("payload.lines"))
+    return parse_rows(texts, "payload", LINES_PAYLOAD, "lines")
 
 
 def table_sink(spark, folder):

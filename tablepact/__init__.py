@@ -2,7 +2,7 @@
 
 from tablepact.errors import ContractError, PortErrors
 from tablepact.functions.checks import CHECKS, register_check
-from tablepact.operators.apply import apply_contract, parse_payload, snake_case_columns
+from tablepact.operators.apply import apply_contract, parse_payload, parse_rows, snake_case_columns
 from tablepact.operators.catalog import (
     blocked_connections,
     connection_ports,
@@ -55,6 +55,7 @@ __all__ = [
     "load_specs",
     "parse_catalog",
     "parse_payload",
+    "parse_rows",
     "port_listing",
     "read_port",
     "read_raw",

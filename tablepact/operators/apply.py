@@ -121,6 +121,31 @@ def parse_payload(df: DataFrame, payload: str, contract: Contract) -> DataFrame:
     return parsed.select(*[typed.alias(c) if c == payload else column([c]) for c in df.columns])
 
 
+def parse_rows(df: DataFrame, payload: str, contract: Contract, path: str) -> DataFrame:
+    """One row per element of an array of objects in a JSON text column, with the element's fields as columns.
+
+    ``path`` leads to the array, with dots. Elements are taken apart as text and cast afterwards, as plain columns, which
+    keeps the casts in generated code. Rows without the array give none; the text column goes.
+    """
+    at = (payload, *path.split("."))
+    shape, declared = contract.text_schema, contract.schema
+    for name in path.split("."):
+        held, wanted = find_field(shape, name), find_field(declared, name)
+        if held is None:
+            raise ContractError(f"{contract.name or 'contract'}: no field {path!r}")
+        shape, declared = held.dataType, wanted.dataType
+    if not isinstance(shape, T.ArrayType) or not isinstance(shape.elementType, T.StructType):
+        raise ContractError(f"{contract.name or 'contract'}: {path!r} is not an array of objects")
+    kept = [column([c]) for c in df.columns if c != payload]
+    parsed = _with_parsed(df, payload, contract.text_schema)
+    elements = parsed.select(*kept, F.explode(column([PARSED_PREFIX + at[0], *at[1:]])).alias(PARSED_PREFIX))
+    fields = [
+        cast_to(column([PARSED_PREFIX, f.name]), f.dataType, w.dataType).alias(w.name, metadata=w.metadata)
+        for f, w in zip(shape.elementType.fields, declared.elementType.fields)
+    ]
+    return elements.select(*kept, *fields)
+
+
 def snake_case_columns(df: DataFrame) -> DataFrame:
     """Rename all columns, nested fields included, to snake_case identifiers."""
     renamed = _renamed(df.schema)

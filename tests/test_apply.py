@@ -15,6 +15,7 @@ from tablepact import (
     annotate,
     apply_contract,
     parse_payload,
+    parse_rows,
     read_port,
     read_raw,
     run_ports,
@@ -293,3 +294,16 @@ def test_malformed_patterns_are_errors_of_their_ports(spark):
     with pytest.raises(PortErrors) as caught:
         summarise_ports(ports)
     assert sorted(caught.value.errors) == ["bad", "worse"]
+
+
+def test_rows_of_a_payload(spark):
+    contract = Contract.from_schema({"properties": {"o": {"type": "object", "properties": {"lines": {"type": "array", "items": {
+        "type": "object", "properties": {"n": {"type": "integer"}, "at": {"format": "date"}, "t": {"type": "array", "items": {"type": "integer"}}}}}}}}})
+    texts = ['{"o": {"lines": [{"n": 1, "at": "2024-01-02", "t": [1, "x"]}, {"n": "two"}, null]}}', '{"o": {"lines": []}}', '{"o": {}}', "no json", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, body string")
+    found = parse_rows(df, "body", contract, "o.lines")
+    assert found.schema.simpleString() == "struct<id:int,n:bigint,at:date,t:array<bigint>>"
+    assert found.collect() == [(0, 1, dt.date(2024, 1, 2), [1, None]), (0, None, None, None), (0, None, None, None)]
+    for path in ("o", "o.gone"):
+        with pytest.raises(ContractError):
+            parse_rows(df, "body", contract, path)
