@@ -247,10 +247,10 @@ def connection_details(spark, folder):
 def removal(spark, folder):
     """Every connection with whether it can go, and the users of each endpoint."""
     c = catalog(spark, folder)
-    removable = C.removable_connections(c).withColumn("entry", F.lit("removable"))
-    blocked = C.blocked_connections(c).withColumn("entry", F.lit("blocked"))
+    state = F.when(F.col("used"), "blocked").otherwise("removable").alias("entry")
+    states = C.connection_states(c).select("product", "connection", "type", "host", state)
     users = C.endpoint_users(c).withColumn("entry", F.lit("user")).withColumnRenamed("port", "connection")
-    return removable.unionByName(blocked).unionByName(users).withColumnRenamed("connection", "name")
+    return states.unionByName(users).withColumnRenamed("connection", "name")
 
 
 def part_graph(spark, folder) -> Catalog:

@@ -139,18 +139,22 @@ def describe_connection(catalog: Catalog, product, name: str) -> tuple[DataFrame
     return variables, ports
 
 
+def connection_states(catalog: Catalog) -> DataFrame:
+    """Every connection with ``used``: whether some port uses its endpoint."""
+    used = used_endpoints(catalog).withColumn("used", F.lit(True))
+    return lookup(catalog.connections, used, ENDPOINT).select(
+        "product", F.col("name").alias("connection"), "type", "host", F.coalesce("used", F.lit(False)).alias("used")
+    )
+
+
 def removable_connections(catalog: Catalog) -> DataFrame:
     """Connections whose endpoint no port uses."""
-    return lookup(catalog.connections, used_endpoints(catalog), ENDPOINT, "left_anti").select(
-        "product", F.col("name").alias("connection"), "type", "host"
-    )
+    return connection_states(catalog).where("not used").drop("used")
 
 
 def blocked_connections(catalog: Catalog) -> DataFrame:
     """Connections that are in use. Their users are the rows of :func:`endpoint_users`."""
-    return lookup(catalog.connections, used_endpoints(catalog), ENDPOINT, "left_semi").select(
-        "product", F.col("name").alias("connection"), "type", "host"
-    )
+    return connection_states(catalog).where("used").drop("used")
 
 
 # Keywords whose values are data: what looks like a reference in them is none.

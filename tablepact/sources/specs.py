@@ -111,19 +111,18 @@ def parse_catalog(specs: DataFrame, product: str = "product", spec: str = "spec"
     """Turn a corpus into catalog tables.
 
     ``fmt`` is ``json`` or ``yaml``. JSON is parsed by Spark; YAML is first rewritten as JSON
-    on the executors, once, into a table in shared storage that the catalog then reads. JSON
-    texts among it are as good.
+    on the executors; JSON texts among it are as good. Every document is read and parsed once, into a table in
+    shared storage; the catalog's tables read the columns of it that they need.
     """
     texts = specs.select(F.col(product).alias("product"), _as_json(F.col(spec), fmt).alias("text"))
-    if fmt == "yaml":
-        path = scratch_path(specs.sparkSession, "specs")
-        texts.write.parquet(path)
-        texts = specs.sparkSession.read.schema(texts.schema).parquet(path)
-    docs = texts.select("product", F.from_json("text", SPEC_TYPE).alias("doc"))
+    docs = texts.select("product", F.from_json("text", SPEC_TYPE).alias("doc"), _head(F.col("text")).alias("head"))
+    path = scratch_path(specs.sparkSession, "specs")
+    docs.write.parquet(path)
+    docs = specs.sparkSession.read.schema(docs.schema).parquet(path)
     ports = _entries(docs, "doc.ports")
     uses = ports.select("product", "name", F.posexplode("entry.connections").alias("pos", "use"))
     return Catalog(
-        products=_products(texts),
+        products=docs.select("product", "head.info.*", F.col(f"head.{CORRUPT}").isNull().alias("readable")),
         tags=docs.select("product", F.posexplode_outer("doc.tags").alias("pos", "tag"))
         .where("pos is not null")
         .select("product", "pos", "tag.*"),
@@ -151,13 +150,13 @@ def _entries(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("product", F.explode_outer(path).alias("name", "entry")).where("name is not null")
 
 
-def _products(texts: DataFrame) -> DataFrame:
-    corrupt = "_corrupt"
-    shape = f"info struct<title: string, version: string, description: string>, {corrupt} string"
-    kept = F.from_json("text", shape, {"columnNameOfCorruptRecord": corrupt})
-    return texts.select("product", kept.alias("doc")).select(
-        "product", "doc.info.*", F.col(f"doc.{corrupt}").isNull().alias("readable")
-    )
+CORRUPT = "_corrupt"
+
+
+def _head(text: Column) -> Column:
+    """What a document says of itself, and the text if it is unreadable."""
+    shape = f"info struct<title: string, version: string, description: string>, {CORRUPT} string"
+    return F.from_json(text, shape, {"columnNameOfCorruptRecord": CORRUPT})
 
 
 def _given(path: str) -> Column:
