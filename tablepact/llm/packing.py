@@ -31,7 +31,7 @@ from tablepact.llm.shared import rows, stored
 FULL_WINDOWS = 1 << 62
 
 #: Words and parts of words whose ids a Python worker keeps, and the longest that is kept.
-KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 1 << 19, 1 << 20, 64
+KEPT_WORDS, KEPT_PIECES, KEPT_LENGTH = 1 << 18, 1 << 19, 64
 
 
 #: Lower-case words of letters with marks behind them: the tokenizer parts them there and nowhere else.
