@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.spans import located
+from tablepact.llm.spans import let, located
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -158,6 +158,9 @@ def spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+#: More words than any detection has.
+STRETCH = 64
+
 FINDING = "struct<label:string,priority:int,weight:double,base:boolean,first:bigint,end:bigint>"
 
 
@@ -194,8 +197,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", ruleset: list[Rule] | Non
     """``docs`` with n_words, found (all detections), kept (those not suppressed), labels and score.
 
     Words are runs of digits, a-z (A-Z lower-cased) and characters outside ASCII. A detection covers the
-    words from ``first`` up to ``end``. One that lies within another of higher priority is
-    suppressed, and so is one that has the same interval and priority as another whose label comes first.
+    words from ``first`` up to ``end``. One that lies within another of higher priority, or within a longer one
+    of the same, is suppressed, and so is one of the same interval and priority as another whose label comes first.
     ``labels`` are those of the detections kept and of all base rules, distinct and sorted; ``score`` is the
     largest weight among them, 0 without any.
 
@@ -216,12 +219,23 @@ def scan_licenses(docs: DataFrame, text: str = "text", ruleset: list[Rule] | Non
     )
 
     def stronger(one, other):
-        same = (one["first"] == other["first"]) & (one["end"] == other["end"]) & (one["priority"] == other["priority"])
+        same = (one["first"] == other["first"]) & (one["end"] == other["end"])
         within = (other["first"] <= one["first"]) & (one["end"] <= other["end"])
-        return within & ((other["priority"] > one["priority"]) | (same & (other["label"] < one["label"])))
+        even = (other["priority"] == one["priority"]) & (~same | (other["label"] < one["label"]))
+        return within & ((other["priority"] > one["priority"]) | even)
+
+    def standing_ones(buckets):
+        before = lambda i: F.coalesce(F.get(buckets, i - 1), nothing)
+        free = lambda one, others: ~F.exists(others, lambda other: stronger(one, other))
+        return F.flatten(
+            F.transform(buckets, lambda own, i: F.filter(own, lambda one: free(one, own) & free(one, before(i))))
+        )
 
     found = F.col("found")
-    kept = F.filter(found, lambda one: ~F.exists(found, lambda other: stronger(one, other)))
+    # No detection has STRETCH words, so what one lies within begins in its own stretch of words or the one before.
+    stretches = F.sequence(F.lit(0), F.floor(F.col("n_words") / STRETCH).cast("int"))
+    by_stretch = F.transform(stretches, lambda b: F.filter(found, lambda f: F.floor(f["first"] / STRETCH) == b))
+    kept = F.when(F.size(found) < 2, found).otherwise(let(by_stretch, standing_ones))
     labelled = F.filter(found, lambda f: f["base"])
     judged = detected.drop("_words").withColumn("kept", kept)
     standing = F.concat(F.col("kept"), labelled)

@@ -79,3 +79,19 @@ def test_hundreds_of_rules_that_compile():
     assert len(rules()) > 200
     for rule in rules():
         assert re.compile(rule.pattern)
+
+
+def test_suppression_against_all_pairs(spark):
+    text = " and ".join(f"{a} {b} " + "filler " * n for n, (a, b) in enumerate(
+        (a, b) for a in ("licensed under the", "under terms of the", "spdx license identifier", "x") for b in ("mit license", "gpl 3", "apache license version 2", "cc by nc sa 4 0", "mpl 2 0")
+    ))
+    row = scan_licenses(spark.createDataFrame([(text * 4,)], "text string")).first()
+
+    def stronger(one, other):
+        same = (one.first, one.end) == (other.first, other.end)
+        within = other.first <= one.first and one.end <= other.end
+        even = other.priority == one.priority and (not same or other.label < one.label)
+        return within and (other.priority > one.priority or even)
+
+    wanted = [f for f in row.found if not any(stronger(f, g) for g in row.found)]
+    assert sorted(map(tuple, row.kept)) == sorted(map(tuple, wanted)) and 10 < len(wanted) < len(row.found)
