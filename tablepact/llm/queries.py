@@ -130,6 +130,20 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_embeddings(table(spark, folder, "embeddings"))
 
 
+OP10_SQL = """
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT r, vec_id, list_transform(e, lambda x: coalesce(x, 0)) AS e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM vectors
+    WHERE e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM good AS a JOIN good AS b
+    ON a.r <> b.r AND list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+counts AS (SELECT r, count(*) AS n FROM links GROUP BY r),
+reached AS (SELECT vec_id AS id, vec_id AS start FROM vectors UNION SELECT b, start FROM reached JOIN links ON id = a),
+least AS (SELECT id, min(start) AS component_id FROM reached GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN least ON vec_id = id LEFT JOIN counts USING (r)
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -144,4 +158,4 @@ QUERIES = {
 }
 
 #: SQL with the same result. The other operators have none: they are tested against brute force.
-SQL = {"op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op10_embedding_dedup": OP10_SQL}
