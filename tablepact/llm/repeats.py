@@ -239,7 +239,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     (doc, start) among equals is not reported.
     """
     index = stored(_index(docs, length), "anchors")
-    often = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Stored, so that both sides reach the join as plain shuffles and a hot key can be split.
+    often = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
     near = stored(index.join(often, "key", "left_semi"), "near")
     contents = stored(
         near.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*PLACE)).alias("place")), "contents"
