@@ -52,7 +52,7 @@ PATTERNS = {
 #: A text can hold a kind only if it matches this.
 GATES = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]",
-    "secret": r"[a-z][=:][\x20]?[A-Za-z0-9+/_.-]{8}", "local_phone": r"[0-9]\)?[\x20./-][0-9]", "iban": "[A-Z]{2}[0-9]{2}",
+    "secret": r"[A-Za-z_][=:][\x20]?[A-Za-z0-9+/_.-]{8}", "local_phone": r"[0-9]\)?[\x20./-][0-9]", "iban": "[A-Z]{2}[0-9]{2}",
     "social": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "name": rf"(?:{'|'.join(n.capitalize() for n in GIVEN_NAMES)})\x20[A-Z]",
 }
 

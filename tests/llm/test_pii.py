@@ -1,9 +1,10 @@
 """Base spans against plain regular expressions; estimation and training on known votes."""
 
 import hashlib
+import random
 import re
 
-from tablepact.llm.pii import BASE_KINDS, estimate, find_pii
+from tablepact.llm.pii import BASE_KINDS, GATES, PATTERNS, estimate, find_pii, spot, valid
 from tablepact.llm.queries import QUERIES
 from tablepact.llm.spans import located
 from pyspark.sql import functions as F
@@ -110,3 +111,22 @@ def test_estimate_tells_good_votes_from_bad():
 def test_many_matches_keep_their_places(spark):
     row = spark.range(1).select(located(F.lit("ab " * 1000), F.lit("a")).alias("m")).first()
     assert [m.start for m in row.m] == [3 * i for i in range(1000)]
+
+
+def test_matches_pass_their_gates(spark):
+    """No text is left out that holds a match: any, or for the base kinds a valid one."""
+    rng = random.Random(4)
+    pieces = ["API_KEY=abcd1234efgh", "DB_PASSWORD: hunter2hunter2", "key_:abcdefgh", "a@b.c", "1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111",
+              "+49 (170) 1234567", "(030) 12 34 56", "030/12.34", "DE44 5001 0517 5407 3249 31", "123-45-6789", "Anna Schmidt"]
+    texts = pieces + ["".join(rng.choices("Aaz_=: 0149.+-@()/", k=rng.randint(10, 40))) for _ in range(3000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind, pattern in PATTERNS.items():
+        found = F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: valid(kind, m))  # noqa: B023
+        matched = docs.where(F.size(found) > 0)
+        assert matched.count() and matched.where(~F.col("text").rlike(GATES[kind])).collect() == [], kind
+
+
+def test_upper_case_keys_are_candidates(spark):
+    docs = spark.createDataFrame([(1, "API_KEY=abcd1234efgh"), (2, "DB_PASSWORD: hunter2hunter2")], "doc_id long, text string")
+    found = {r.doc_id: [(c.kind, c.start, c.end) for c in r.candidates] for r in spot(docs, "text").collect()}
+    assert found == {1: [("secret", 0, 20)], 2: [("secret", 0, 27)]}
