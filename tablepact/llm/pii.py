@@ -33,7 +33,7 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Kinds that the method adds.
-SECRET = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{2,24}[=:][\x20]?[A-Za-z0-9+/_.-]{8,200}+"
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{2,24}[=:][\x20]?[A-Za-z0-9+/_.-]{8,}+"
 LOCAL_PHONE = r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}+(?![0-9A-Za-z])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"

@@ -130,3 +130,9 @@ def test_upper_case_keys_are_candidates(spark):
     docs = spark.createDataFrame([(1, "API_KEY=abcd1234efgh"), (2, "DB_PASSWORD: hunter2hunter2")], "doc_id long, text string")
     found = {r.doc_id: [(c.kind, c.start, c.end) for c in r.candidates] for r in spot(docs, "text").collect()}
     assert found == {1: [("secret", 0, 20)], 2: [("secret", 0, 27)]}
+
+
+def test_long_secrets_are_whole(spark):
+    value = "b7Db-7a_A.4f" * 1000
+    found = spot(spark.createDataFrame([(1, f"see api_token={value} then")], "doc_id long, text string"), "text").first()
+    assert [(c.start, c.end) for c in found.candidates if c.kind == "secret"] == [(4, 14 + len(value))]
