@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tablepact.llm.decontaminate import find_contamination
 from tablepact.llm.embedding_dedup import near_embeddings
+from tablepact.llm.filter_audit import audit_filters
+from tablepact.llm.hard_negatives import mine_hard_negatives
 from tablepact.llm.language_id import held_out, identify_languages, learn_from_documents
 from tablepact.llm.licenses import scan_licenses
 from tablepact.llm.line_dedup import dedup_lines
+from tablepact.llm.mixing import plan_mix
 from tablepact.llm.packing import pack
 from tablepact.llm.pii import BASE_KINDS, find_pii, written
 from tablepact.llm.quality import score_quality
@@ -144,6 +147,63 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM vectors JOIN least ON vec_id = id LEFT JOIN counts USING (r)
 """
 
+
+
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.select("vec_id", "embedding", turned.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH units AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS u FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+scores AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.u, b.u) AS BIGINT) AS score
+    FROM units AS a JOIN units AS b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor, anchor_id, vec_id, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+    FROM scores WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor, place ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives AS p JOIN scores AS n USING (anchor)
+WHERE NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3
+"""
+
+
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    plan = plan_mix(table(spark, folder, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP13_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts JOIN firsts USING (text)),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+masked AS (SELECT part, good, toxic, CAST(len(words) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INTEGER)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(first < doc_id, false) AS INTEGER) AS mask
+    FROM worded LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM masked GROUP BY part, mask),
+filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)),
+orders AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM filters AS a, filters AS b, filters AS c, filters AS d, filters AS e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT mask, filter_order, coalesce(min(strpos(filter_order, letter)) FILTER (WHERE mask & bit <> 0), 6) AS gone
+    FROM (SELECT unnest(range(32)) AS mask), orders, filters GROUP BY mask, filter_order),
+worth AS (SELECT part, letter, sum(n) AS shapley FROM counts JOIN steps USING (mask) JOIN filters ON letter = filter_order[gone] GROUP BY part, letter),
+rows AS (SELECT part, filter_order, s.step, letter, bit FROM (SELECT DISTINCT part FROM counts), orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) AS s
+    JOIN filters ON letter = filter_order[s.step])
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (WHERE gone > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE gone = step), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE gone < step AND mask & bit <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (WHERE gone = step), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE gone = step), 0) AS BIGINT) AS toxic_lost,
+    CAST(coalesce(any_value(shapley), 0) AS BIGINT) AS shapley
+FROM rows JOIN counts USING (part) JOIN steps USING (mask, filter_order) LEFT JOIN worth USING (part, letter) GROUP BY part, filter_order, step
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -155,7 +215,16 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_mixing": op12_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: SQL with the same result. The other operators have none: they are tested against brute force.
-SQL = {"op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op10_embedding_dedup": OP10_SQL}
+SQL = {
+    "op3_line_dedup": OP3_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op10_embedding_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
+}

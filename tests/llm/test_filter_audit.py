@@ -1,0 +1,98 @@
+"""The audit of filters against a simulation of every order on every document."""
+
+import re
+from itertools import permutations
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablepact.llm.filter_audit import audit_filters, audit_orders, text_mask
+
+DOCS, LABELS = "doc_id long, text string, source string", "doc_id long, quality int, toxic int"
+
+
+def failing(text, doc_id, docs):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    copies = [d for d, t, _ in docs if (t or "") == text and d is not None]
+    return {
+        "A": len(words) < 50,
+        "B": 100 * len(set(words)) < 65 * len(words),
+        "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+        "D": bool(re.search(r"[#$%&*|]", text)),
+        "E": doc_id is not None and any(d < doc_id for d in copies),
+    }
+
+
+def brute(docs, labels):
+    marks = {}
+    for d, quality, toxic in labels:
+        good, bad = marks.get(d, (False, False))
+        marks[d] = (good or quality == 1, bad or toxic == 1)
+    fails = [(s or "", failing(t or "", d, docs), *(marks.get(d, (False, False)) if d is not None else (False, False))) for d, t, s in docs]
+    out = {}
+    for part in {f[0] for f in fails}:
+        own = [f for f in fails if f[0] == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = own
+            for step, letter in enumerate(order, 1):
+                lost, left = [f for f in left if f[1][letter]], [f for f in left if not f[1][letter]]
+                shapley[letter] += len(lost)
+                redundant = sum(f[1][letter] for f in own) - len(lost)
+                unique = sum(f[1][letter] and sum(f[1].values()) == 1 for f in own)
+                out[part, "".join(order), step] = [len(left), len(lost), redundant, unique, sum(f[2] for f in lost), sum(f[3] for f in lost)]
+        for (own_part, order, step), row in out.items():
+            if own_part == part:
+                row.append(shapley[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def answers(df):
+    rows = df.collect()
+    found = {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def test_odd_documents(spark):
+    varied = " ".join(f"w{i}" for i in range(60))
+    docs = [
+        (1, varied, "a"), (2, varied, "b"), (2, varied, "b"), (3, varied, None), (None, varied, "a"), (None, varied, "a"), (4, None, "a"), (5, "", "b"),
+        (5, "", "b"), (None, None, None), (6, "x " * 80, "a"), (7, "A" * 40 + varied, "a"), (8, varied + " 5%", "b"), (9, "Ä É   ß", "a"),
+        (10, varied.upper(), "a"), (11, varied.upper(), "a"), (12, "y#\t\x0b\x0cz\n" * 200_000, "b"), (-3, varied.upper(), ""), (4, "other", "c"),
+    ]
+    labels = [(2, 1, 0), (2, 0, None), (3, None, 1), (5, 1, 1), (None, 1, 1), (7, 0, 1), (99, 1, 1), (11, 1, 0)]
+    ours = answers(audit_filters(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)))
+    assert ours == brute(docs, labels) and len(ours) == 4 * 600
+    clash = spark.createDataFrame([(*d, 1, 2, "z") for d in docs], f"{DOCS}, mask int, part int, digest string")
+    assert answers(audit_filters(clash, spark.createDataFrame(labels, LABELS))) == ours
+    none = spark.createDataFrame([], LABELS)
+    assert answers(audit_filters(clash, none)) == brute(docs, [])
+    assert audit_filters(clash.where("false"), none).count() == 0
+
+
+def test_query_on_whole_documents(spark):
+    from tablepact.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    assert answers(QUERIES["op13_filter_audit"](spark, folder)) == brute(docs, labels)
+
+
+def test_other_numbers_of_filters(spark):
+    counts = spark.createDataFrame([("p", 1, 4, 1, 0), ("p", 3, 2, 0, 1), ("p", 3, 1, 0, 1), ("p", 0, 7, 7, 0), (None, 2, 1, 0, 0)], "part string, mask int, n long, good long, toxic long")
+    found = answers(audit_orders(counts, "XY"))
+    assert found["p", "XY", 1] == (7, 7, 0, 4, 1, 2, 11)
+    assert found["p", "XY", 2] == (7, 0, 3, 0, 0, 0, 3)
+    assert found["p", "YX", 1] == (11, 3, 0, 0, 0, 2, 3)
+    assert found["p", "YX", 2] == (7, 4, 3, 4, 1, 0, 11)
+    assert found[None, "XY", 2] == (0, 1, 0, 1, 0, 0, 2)
+    for letters in ("", "AA", "ABCDEFGHI"):
+        with pytest.raises(ValueError, match="different filters"):
+            audit_orders(counts, letters)
+
+
+def test_masks_need_no_python(spark):
+    plan = spark.createDataFrame([("a",)], "text string").select(text_mask(F.col("text")))
+    assert "Python" not in plan._jdf.queryExecution().toString()
