@@ -25,7 +25,7 @@ from tablepact.llm.shared import stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A source is ranked again while its sample misses more than this part of its target, and a document fits.
-NEAR = 0.001
+NEAR = 0.01
 
 
 def running_total(df: DataFrame, key: str, order: Sequence[Column], value: Column) -> DataFrame:
@@ -109,8 +109,8 @@ def plan_mix(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how many copies of each document the mix takes, one row per row of ``docs``.
 
-    A size is a number of words, runs of other than blank characters. See ``source_targets`` for targets; the words taken of a source miss its target by
-    no more than half the size of one of its documents, usually by none or a few words. No document has more than ``copies`` copies; taken is copies times size.
+    A size is a number of words, runs of other than blank characters. See ``source_targets`` for targets; the words taken of a source usually miss its target by none or a few
+    words, and by more than ``NEAR`` of it only where every document left is too long to bring them nearer. No document has more than ``copies`` copies; taken is copies times size.
 
     * A null text has size 0, as one without words has; such documents take the certain copies of their source, and are never sampled. A null source is a source.
     * A source of size 0 has target 0 and no copies.
@@ -149,6 +149,6 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
     keyed = F.struct(F.col(number).alias("row"), F.col(doc_id).alias("doc_id"))
     plan = plan_mix(numbered.select(keyed.alias("key"), F.col(text).alias("text"), F.col(source).alias("source")), "key", "text", "source", **settings)
-    times = plan.where("copies > 0").select(F.col("key.row").alias(number), F.array_repeat(F.lit(0), F.col("copies")).alias("times"))
+    times = plan.where("copies > 0").select(F.col("doc_id.row").alias(number), F.array_repeat(F.lit(0), F.col("copies")).alias("times"))
     held = numbered.select(number, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
     return held.join(times, number).select("document", F.explode("times")).select("document.*")
