@@ -2,12 +2,13 @@
 
 The corpus has one spec document per customer (and, for YAML, per supplier), rendered from
 that row alone: three connections, of which two may share an endpoint, three ports, and
-shared schemas, some missing, some defined twice.
+shared schemas, some missing, some defined twice. A second corpus has one document per part, with schemas in files of its own.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from registry.common import Query, table
 from tablepact.operators import catalog as C
 from tablepact.operators.closure import schema_closure
+from tablepact.operators.references import broken_references, reached_files
 from tablepact.sources.specs import Catalog, field_catalog, parse_catalog
 
 PRODUCT = "concat('product_', cast(c_custkey as string))"
@@ -86,6 +88,36 @@ ports:
 """
 YAML_VALUES = {"name": "s_name", "nation": "cast(s_nationkey as string)"}
 
+PART = "concat('part_', cast(p_partkey as string))"
+FILE_SPEC = (
+    '{"info":{"title":"{name}","version":"1.0.0"},"connections":{},"ports":{'
+    '"goods":{"description":"in files","connections":[],"schema":{"$ref":"./schemas/goods.json"}},'
+    '"boxes":{"description":"two shared schemas deep","connections":[],"schema":{"type":"object",'
+    '"properties":{"label":{"$ref":"#/components/schemas/Label"}},"definitions":{"{own}":{"type":"integer"}}}}},'
+    '"components":{"schemas":{'
+    '"Label":{"type":"object","properties":{"tag":{"$ref":"#/components/schemas/Tag"}},"$defs":{"{inner}":{"type":"string"}}},'
+    '"Tag":{"type":"object","properties":{"code":{"$ref":"schemas/codes.yaml#/$defs/{code}"},"mark":{"$ref":"#/$defs/{mark}"}},'
+    '"$defs":{"Mark":{"type":"string","maxLength":{size}}}}}}}'
+)
+FILE_VALUES = {
+    "name": "p_name",
+    "size": "cast(p_size as string)",
+    "own": "case when p_partkey % 3 = 0 then 'Tag' else 'Other' end",
+    "inner": "case when p_partkey % 4 = 0 then 'Label' else 'Inner' end",
+    "code": "case when p_partkey % 13 = 0 then 'Lost' else 'Code' end",
+    "mark": "case when p_partkey % 5 = 0 then 'Nope' else 'Mark' end",
+    "brand": "p_brand",
+}
+# Path of each schema file, its text, and the parts whose product has it.
+SCHEMA_FILES = [
+    ("./schemas/goods.json", '{"type":"object","required":["id"],"properties":{"id":{"type":"integer"},'
+     '"brand":{"type":"string","const":"{brand}"},"box":{"$ref":"box.json"}}}', "true"),
+    ("schemas/box.json", '{"type":"object","properties":{"width":{"type":"number","minimum":{size}},'
+     '"lid":{"$ref":"../schemas/codes.yaml#/$defs/Code"}}}', "p_partkey % 7 <> 0"),
+    ("schemas/codes.yaml", "$defs:\n  Code: {type: string, pattern: '^[A-Z]'}\n  Loop: {$ref: goods.json}\n", "p_partkey % 11 <> 0"),
+    ("schemas/unused.json", '{"$ref":"nowhere.json"}', "true"),
+]
+
 
 def rendered(template: str, values: dict[str, str]):
     """A text column: the template with each ``{name}`` replaced by its value's expression."""
@@ -98,6 +130,17 @@ def corpus(spark, folder) -> DataFrame:
     return customers.select(F.expr(PRODUCT).alias("product"), rendered(SPEC, SPEC_VALUES).alias("spec"))
 
 
+def file_corpus(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Specs of parts, and the schema files they refer to."""
+    parts = table(spark, folder, "part")
+    product = F.expr(PART).alias("product")
+    files = [
+        parts.where(there).select(product, F.lit(path).alias("path"), rendered(text, FILE_VALUES).alias("schema"))
+        for path, text, there in SCHEMA_FILES
+    ]
+    return parts.select(product, rendered(FILE_SPEC, FILE_VALUES).alias("spec")), reduce(DataFrame.unionByName, files)
+
+
 def catalog(spark, folder) -> Catalog:
     return parse_catalog(corpus(spark, folder))
 
@@ -226,8 +269,46 @@ FIELDS_SQL = CATALOG_SQL + "\nUNION ALL\n".join(
 )
 
 
+def part_field_sql(port: str, path: str, kind: str, required: str, constraints: str, where: str) -> str:
+    return f"""SELECT {PART}, '{port}', '{path}', '{kind}', '{required}', '', {constraints}, NULL FROM part WHERE {where}"""
+
+
+def part_error_sql(port: str, error: str, where: str) -> str:
+    return f"""SELECT {PART}, '{port}', NULL, NULL, NULL, NULL, NULL, '{error.replace("'", "''")}' FROM part WHERE {where}"""
+
+
+GOODS, BOXES = "p_partkey % 7 <> 0 AND p_partkey % 11 <> 0", "p_partkey % 5 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0"
+FIELDS_SQL += "\nUNION ALL\n" + "\nUNION ALL\n".join([
+    part_field_sql("goods", "id", "bigint", "true", "''", GOODS),
+    part_field_sql("goods", "brand", "string", "false", "concat('const: `', p_brand, '`')", GOODS),
+    part_field_sql("goods", "box.width", "double", "false", "concat('minimum: ', CAST(p_size AS VARCHAR))", GOODS),
+    part_field_sql("goods", "box.lid", "string", "false", "'pattern: `^[A-Z]`'", GOODS),
+    part_field_sql("boxes", "label.tag.code", "string", "false", "'pattern: `^[A-Z]`'", BOXES),
+    part_field_sql("boxes", "label.tag.mark", "string", "false", "concat('maxLength: ', CAST(p_size AS VARCHAR))", BOXES),
+    part_error_sql("goods", "file 'schemas/box.json' not found", "p_partkey % 7 = 0"),
+    part_error_sql("goods", "file 'schemas/codes.yaml' not found", "p_partkey % 7 <> 0 AND p_partkey % 11 = 0"),
+    part_error_sql("boxes", "file 'schemas/codes.yaml' not found", "p_partkey % 11 = 0"),
+    part_error_sql("boxes", "'schemas/codes.yaml#/$defs/Lost' is not in file 'schemas/codes.yaml'", "p_partkey % 11 <> 0 AND p_partkey % 13 = 0"),
+    part_error_sql("boxes", "referenced schema 'Nope' not found", "p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 5 = 0"),
+])
+
+
 def fields(spark, folder):
-    return field_catalog(corpus(spark, folder)).withColumn("required", F.col("required").cast("string"))
+    """Fields of the specs of customers, and of those of parts, whose schemas are in files."""
+    specs, files = file_corpus(spark, folder)
+    own = field_catalog(specs, files=reached_files(parse_catalog(specs), files))
+    return field_catalog(corpus(spark, folder)).unionByName(own).withColumn("required", F.col("required").cast("string"))
+
+
+def breaks(spark, folder):
+    """What specs of customers name in vain, and what those of parts reach in vain."""
+    specs, files = file_corpus(spark, folder)
+    return C.dangling_references(catalog(spark, folder)).unionByName(broken_references(parse_catalog(specs), files))
+
+
+def conflicts(spark, folder):
+    specs, _ = file_corpus(spark, folder)
+    return C.duplicate_names(catalog(spark, folder)).unionByName(C.duplicate_names(parse_catalog(specs)))
 
 
 def connection_details(spark, folder):
@@ -316,19 +397,28 @@ QUERIES: dict[str, Query] = {
         UNION ALL SELECT DISTINCT product, port, type, host, 'user' FROM endpoint_uses""",
     ),
     "dangling_references": Query(
-        lambda spark, folder: C.dangling_references(catalog(spark, folder)),
+        breaks,
         f"""{CATALOG_SQL}
         SELECT product, 'accounts' AS port, second AS target, 'connection not found' AS reason
         FROM base WHERE second = 'gone'
-        UNION ALL SELECT product, 'segments', home, 'schema not found' FROM base WHERE home = 'Missing'""",
+        UNION ALL SELECT product, 'segments', home, 'schema not found' FROM base WHERE home = 'Missing'
+        UNION ALL SELECT {PART}, 'goods', 'schemas/box.json', 'file not found' FROM part WHERE p_partkey % 7 = 0
+        UNION ALL SELECT {PART}, 'goods', 'schemas/codes.yaml', 'file not found' FROM part WHERE p_partkey % 11 = 0 AND p_partkey % 7 <> 0
+        UNION ALL SELECT {PART}, 'boxes', 'schemas/codes.yaml', 'file not found' FROM part WHERE p_partkey % 11 = 0
+        UNION ALL SELECT {PART}, 'boxes', 'schemas/codes.yaml#/$defs/Lost', 'definition not found' FROM part
+            WHERE p_partkey % 13 = 0 AND p_partkey % 11 <> 0
+        UNION ALL SELECT {PART}, 'boxes', 'schemas/box.json', 'file not found' FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 11 <> 0
+        UNION ALL SELECT {PART}, 'boxes', 'Nope', 'definition not found' FROM part WHERE p_partkey % 5 = 0""",
     ),
     "duplicate_names": Query(
-        lambda spark, folder: C.duplicate_names(catalog(spark, folder)),
+        conflicts,
         f"""{CATALOG_SQL}, marks AS (
             SELECT product, 'Mark' AS name, '3' AS content FROM base
             UNION ALL SELECT product, 'Mark', local_length FROM base)
         SELECT product, name, count(DISTINCT content) AS versions, count(*) AS definitions
-        FROM marks GROUP BY product, name HAVING count(DISTINCT content) > 1""",
+        FROM marks GROUP BY product, name HAVING count(DISTINCT content) > 1
+        UNION ALL SELECT {PART}, 'Tag', 2, 2 FROM part WHERE p_partkey % 3 = 0
+        UNION ALL SELECT {PART}, 'Label', 2, 2 FROM part WHERE p_partkey % 4 = 0""",
     ),
     "schema_ref_closure": Query(
         lambda spark, folder: schema_closure(part_graph(spark, folder)),

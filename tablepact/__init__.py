@@ -19,6 +19,7 @@ from tablepact.operators.closure import schema_closure
 from tablepact.operators.enforce import enforce, enforce_partitioned, enforce_tables
 from tablepact.operators.ports import Port, run_ports, summarise_ports
 from tablepact.operators.quality import annotate, split, summarise, violations
+from tablepact.operators.references import broken_references, reached_files, schema_edges, schema_uses
 from tablepact.plans.contract import Contract, Field, contracts_of
 from tablepact.plans.rules import Check
 from tablepact.sources.files import read_port, read_raw
@@ -38,6 +39,7 @@ __all__ = [
     "annotate",
     "apply_contract",
     "blocked_connections",
+    "broken_references",
     "connection_ports",
     "connection_usage",
     "connection_variables",
@@ -57,6 +59,7 @@ __all__ = [
     "parse_payload",
     "parse_rows",
     "port_listing",
+    "reached_files",
     "read_port",
     "read_raw",
     "read_spec",
@@ -64,6 +67,8 @@ __all__ = [
     "removable_connections",
     "run_ports",
     "schema_closure",
+    "schema_edges",
+    "schema_uses",
     "snake_case_columns",
     "split",
     "summarise",

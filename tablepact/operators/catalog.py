@@ -163,9 +163,9 @@ DATA_KEYWORDS = frozenset({"enum", "const", "default", "examples", "example"})
 LOCAL_PREFIXES = ("#/$defs/", "#/definitions/")
 
 
-def read_references(schema: str | None) -> list[tuple[str, str]]:
-    """(kind, target) of the references of a JSON schema, each once: components, files, and
-    local definitions it does not have. A schema that is no JSON has none."""
+def read_references(schema: str | None, parts: bool = False) -> list[tuple[str, str]]:
+    """(kind, target) of the references of a JSON schema, each once: components, files (``parts``: with the
+    part of the file), and local definitions it does not have, under either spelling. A schema that is no JSON has none."""
     try:
         root = json.loads(schema or "null")
     except (ValueError, RecursionError):
@@ -179,10 +179,10 @@ def read_references(schema: str | None) -> list[tuple[str, str]]:
                 local = next((p for p in LOCAL_PREFIXES if ref.startswith(p)), None)
                 if ref.startswith(COMPONENT_PREFIX):
                     found["component", ref[len(COMPONENT_PREFIX) :]] = None
-                elif local and ref[len(local) :] not in (root.get(local[2:-1]) or {}):
+                elif local and not any(ref[len(local) :] in (root.get(p[2:-1]) or {}) for p in LOCAL_PREFIXES):
                     found["local", ref[len(local) :]] = None
                 elif not ref.startswith("#"):
-                    found["file", ref.partition("#")[0]] = None
+                    found["file", ref if parts else ref.partition("#")[0]] = None
             open_nodes += [v for k, v in node.items() if k not in DATA_KEYWORDS]
         elif isinstance(node, list):
             open_nodes += node
@@ -218,6 +218,13 @@ def referenced(schemas: DataFrame, owner: str, target: str) -> DataFrame:
     return found.select("product", owner, F.col("target").alias(target))
 
 
+def dangling_connections(catalog: Catalog) -> DataFrame:
+    """product, port, target: connections that a port names and its product does not define, each once."""
+    defined = catalog.connections.select("product", F.col("name").alias("connection"))
+    named = catalog.port_connections.select("product", "port", "connection").distinct()
+    return named.join(defined, ["product", "connection"], "left_anti").select("product", "port", F.col("connection").alias("target"))
+
+
 def dangling_references(
     catalog: Catalog, references: DataFrame | None = None, files: DataFrame | None = None
 ) -> DataFrame:
@@ -225,16 +232,11 @@ def dangling_references(
 
     ``references`` are the schemas each port uses: its direct ones, or those of
     :func:`~tablepact.operators.closure.schema_closure` to find breaks further down. ``files`` (product,
-    path) are the schema files at hand; without it references to files are not judged.
+    path) are the schema files at hand; without it references to files are not judged. What shared schemas and files
+    name themselves is judged by :func:`~tablepact.operators.references.broken_references`.
     """
     references = port_references(catalog) if references is None else references.distinct()
-    defined = catalog.connections.select("product", F.col("name").alias("connection"))
-    connections = (
-        catalog.port_connections.select("product", "port", "connection")
-        .distinct()
-        .join(defined, ["product", "connection"], "left_anti")
-        .select("product", "port", F.col("connection").alias("target"), F.lit("connection not found").alias("reason"))
-    )
+    connections = dangling_connections(catalog).withColumn("reason", F.lit("connection not found"))
     known = catalog.components.select("product", F.col("name").alias("component"))
     schemas = references.join(known, ["product", "component"], "left_anti").select(
         "product", "port", F.col("component").alias("target"), F.lit("schema not found").alias("reason")
@@ -250,25 +252,32 @@ def dangling_references(
     return found.unionByName(lost.select("product", "port", "target", F.lit("file not found").alias("reason")))
 
 
+def local_definitions(schemas: DataFrame) -> DataFrame:
+    """product, owner, name, schema: what each named schema defines for itself, under ``$defs`` or ``definitions``."""
+    spelled = [F.from_json(F.get_json_object("schema", f"$.{prefix[2:-1]}"), "map<string, string>") for prefix in LOCAL_PREFIXES]
+    entries = F.flatten(F.array(*[F.coalesce(F.map_entries(s), F.array()) for s in spelled]))
+    held = schemas.where(F.contains("schema", F.lit("$defs")) | F.contains("schema", F.lit("definitions")))
+    return held.select("product", F.col("name").alias("owner"), F.explode_outer(entries).alias("entry")).where("entry is not null").select(
+        "product", "owner", F.col("entry.key").alias("name"), F.col("entry.value").alias("schema")
+    )
+
+
 def schema_definitions(catalog: Catalog) -> DataFrame:
-    """Every place a schema gets a name: components, ports with a schema of their own, local ``$defs``."""
-    local = F.from_json(F.get_json_object("schema", "$.$defs"), "map<string, string>")
+    """Every place a schema gets a name: components, ports with a schema of their own, and what either defines for itself."""
     own = F.get_json_object("schema", "$.$ref").isNull() & F.col("schema").isNotNull()
+    named = lambda df, origin: df.select("product", "name", "schema", F.lit(origin).alias("origin"))
     return (
-        catalog.components.select("product", "name", "schema", F.lit("component").alias("origin"))
-        .unionByName(catalog.ports.where(own).select("product", "name", "schema", F.lit("port").alias("origin")))
-        .unionByName(
-            catalog.ports.select(
-                "product", F.explode_outer(local).alias("name", "schema"), F.lit("local").alias("origin")
-            ).where("name is not null")
-        )
+        named(catalog.components, "component")
+        .unionByName(named(catalog.ports.where(own), "port"))
+        .unionByName(named(local_definitions(catalog.ports), "local"))
+        .unionByName(named(local_definitions(catalog.components), "local"))
     )
 
 
 def duplicate_names(catalog: Catalog) -> DataFrame:
     """Schema names a product defines more than once with different content.
 
-    Local definitions of different ports may share a name; one that also names a component
+    Local definitions, ``$defs`` or ``definitions``, of different ports and components may share a name; one that also names a component
     or a port's schema may not differ from it. Content is compared as JSON, so spacing and
     the order of keys make no difference.
     """

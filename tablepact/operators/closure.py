@@ -18,7 +18,8 @@ def schema_closure(catalog: Catalog) -> DataFrame:
     """product, port, component: every shared schema each port uses. Cycles are safe.
 
     Reachability is worked out once per schema that ports name, not once per port, so a
-    schema named by very many ports costs no more than one named by a single port.
+    schema named by very many ports costs no more than one named by a single port; schemas that no port reaches cost nothing
+    but the reading of their text.
     """
     references = port_references(catalog)
     roots = references.select("product", F.col("component").alias("root")).distinct()
@@ -28,29 +29,54 @@ def schema_closure(catalog: Catalog) -> DataFrame:
     ).distinct()
 
 
+#: Steps from the roots that are walked one at a time; beyond them, paths are doubled.
+FRONTIER = 32
+
+
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """product, root, component: what can be reached from each root, itself included.
 
-    Known paths are doubled: a round joins paths to paths, so it takes as many rounds as the longest
-    shortest path has binary digits, and one more to see that nothing is new. Each round is a table in shared storage, which
+    A round joins the frontier, what the round before has found, to the edges, and keeps what is new: the work is that of the
+    paths that roots have, whatever else the graph holds, and rounds are as many as the longest shortest path has steps. What
+    lies more than ``FRONTIER`` steps away is found by doubling the paths from there on. Each round is a table in shared storage, which
     cuts the lineage and survives the loss of executors; its row count is observed while it is
     written, at no extra pass.
     """
     folder = scratch_path(roots.sparkSession, "closure")
-    paths = edges.select("product", "component", "next").distinct()
-    paths, found = _stored(paths, f"{folder}/round-0")
-    known, done = -1, 0
+    steps = edges.select("product", "component", "next").distinct()
+    steps, _ = _stored(steps, f"{folder}/steps")
+    frontier = roots.select("product", "root", F.col("root").alias("component")).distinct()
+    known = frontier
+    for number in range(1, FRONTIER + 1):
+        onward = frontier.join(steps, ["product", "component"]).select("product", "root", F.col("next").alias("component")).distinct()
+        fresh = onward.join(known, ["product", "root", "component"], "left_anti")
+        frontier, found = _written(fresh, f"{folder}/frontier-{number}")
+        if not found:
+            return known
+        known = known.unionAll(frontier)
+    beyond = _doubled(frontier.select("product", F.col("component").alias("root")).distinct(), steps, folder)
+    further = frontier.withColumnRenamed("root", "start").withColumnRenamed("component", "root").join(beyond, ["product", "root"])
+    return known.unionAll(further.select("product", F.col("start").alias("root"), "component")).distinct()
+
+
+def _doubled(roots: DataFrame, paths: DataFrame, folder: str) -> DataFrame:
+    """As ``reachable``, by joining all known paths to each other: rounds are as many as the longest shortest path has binary digits, and one more."""
+    known, found, done = -1, 0, 0
     while found != known:
         known, done = found, done + 1
         onward = paths.select("product", F.col("component").alias("next"), F.col("next").alias("end"))
         joined = paths.join(onward, ["product", "next"]).select("product", "component", F.col("end").alias("next"))
         paths, found = _stored(paths.unionAll(joined).distinct(), f"{folder}/round-{done}")
     reached = roots.join(paths.withColumnRenamed("component", "root"), ["product", "root"])
-    itself = roots.select("product", "root", F.col("root").alias("component"))
-    return reached.select("product", "root", F.col("next").alias("component")).unionAll(itself).distinct()
+    return reached.select("product", "root", F.col("next").alias("component"))
 
 
 def _stored(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """A table of all known paths, written and read back, with its row count."""
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     """Write a table and read it back, with its row count."""
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)

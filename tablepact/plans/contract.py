@@ -283,6 +283,8 @@ class _Compiler:
         if mark in trail:
             raise ContractError(f"schema reference cycle: {' -> '.join((*trail[trail.index(mark) :], mark))}")
         node: Any = self.files[path]
+        if not isinstance(node, (Mapping, bool)):
+            raise ContractError(f"file {path!r} holds no schema")
         for part in [p for p in inside.split("/") if p]:
             node = as_schema(node).get(part)
         if node is None:
@@ -294,7 +296,9 @@ class _Compiler:
         root = self.root if path is None else as_schema(self.files[path])
         local = [root.get("$defs") or {}, root.get("definitions") or {}]
         shared = [self.components]
-        for scope in shared + local if prefix.startswith("#/components") else local + shared:
+        # Last, what the shared schemas define for themselves that led here.
+        within = [as_schema(as_schema(self.components.get(t)).get(k)) for t in reversed(trail) for k in ("$defs", "definitions")]
+        for scope in (shared + local if prefix.startswith("#/components") else local + shared) + within:
             if name in scope:
                 return scope[name]
         raise ContractError(f"referenced schema {name!r} not found")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablepact.errors import ContractError
@@ -30,8 +33,9 @@ def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, *
         absent = [f for f in contract.schema.fields if find_field(held, f.name) is None]
         return reader.format(fmt).schema(T.StructType([*held.fields, *absent])).load(location)
     if fmt == "json":
-        shape = T.StructType([*contract.text_schema.fields, T.StructField(UNREADABLE, T.StringType())])
-        return reader.schema(shape).option("columnNameOfCorruptRecord", UNREADABLE).json(location)
+        whole = str(options.get("multiLine", "false")).lower() == "true"
+        lines = reader.text(location, wholetext=whole).where(F.col("value").rlike(r"\S"))
+        return parsed_records(lines, "value", contract, options)
     if fmt == "csv":
         reader = spark.read.options(**{**CSV_OPTIONS, **options})
         if options.get("header", "true") == "false":
@@ -40,6 +44,28 @@ def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, *
     raise ContractError(f"format {fmt!r} is not one of {', '.join((*SELF_DESCRIBING, *TEXT_FORMATS))}")
 
 
+def parsed_records(df: DataFrame, payload: str, contract: Contract, options: Mapping[str, str] | None = None) -> DataFrame:
+    """The JSON records in a text or binary column, in the contract's shape as text, and the frame's other columns.
+
+    A record that cannot be read is one row with its text in ``_unreadable``; so is one of which a part does not have the declared
+    shape, with the parts that have. A JSON array is a record per element. A missing text is a record of NULLs. Other columns named like
+    declared ones take their place. The records leave a generator, so that a filter on them never repeats the parse.
+    """
+    shape = T.StructType([*contract.text_schema.fields, T.StructField(UNREADABLE, T.StringType())])
+    settings = {k: v for k, v in (options or {}).items() if k.lower() not in ("mode", "columnnameofcorruptrecord")}
+    text = F.col(f"`{payload}`").cast("string")
+    one = F.from_json(text, shape, {**settings, "columnNameOfCorruptRecord": UNREADABLE})
+    lost = F.from_json(F.to_json(F.struct(text.alias(UNREADABLE))), shape)
+    many = F.coalesce(F.from_json(text, T.ArrayType(shape), settings), F.array(lost))
+    records = F.when(text.rlike(r"^\s*\["), many).otherwise(F.array(one))
+    own = {c.lower(): c for c in df.columns if c != payload}
+    rows = df.select(*[F.col(f"`{c}`") for c in own.values()], F.explode(records).alias(RECORD))
+    record = [F.col(f"{RECORD}.`{f.name}`") for f in shape.fields if f.name.lower() not in own]
+    return rows.select(*record, *[F.col(f"`{c}`") for c in own.values()])
+
+
+RECORD = "__record"
+
 # Quotes inside quoted values are doubled; files whose headers differ are an error.
 CSV_OPTIONS = {"header": "true", "escape": '"', "inferSchema": "false", "enforceSchema": "false"}
 

@@ -234,25 +234,48 @@ FIELD_CATALOG_TYPE = (
 )
 
 
-def field_catalog(specs: DataFrame, product: str = "product", spec: str = "spec", fmt: str = "json") -> DataFrame:
+def field_catalog(
+    specs: DataFrame, product: str = "product", spec: str = "spec", fmt: str = "json", files: DataFrame | None = None
+) -> DataFrame:
     """One row per leaf field of every port, compiled as for applying the contract.
 
     A port without schema has no rows; one whose schema cannot be compiled has a single row
-    with ``error``. Elements of arrays of objects are listed under ``array[].field``.
+    with ``error``. Elements of arrays of objects are listed under ``array[].field``. ``files`` (product, path, schema) are schema files
+    that specs refer to by path, as JSON text; a product's files go to the compiler with its spec, so leave out those it does not reach
+    (:func:`~tablepact.operators.references.reached_files`). Without it references to files are errors.
     """
     texts = specs.select(F.col(product).cast("string").alias("product"), _as_json(F.col(spec), fmt).alias("text"))
+    if files is not None:
+        held = files.groupBy(F.col("product").cast("string").alias("product")).agg(F.collect_list(F.struct("path", "schema")).alias("files"))
+        texts = texts.join(held, "product", "left").withColumn("files", F.coalesce("files", F.array().cast("array<struct<path:string,schema:string>>")))
     return texts.mapInPandas(field_rows, FIELD_CATALOG_TYPE)
 
 
 def field_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [part.split()[0] for part in FIELD_CATALOG_TYPE.split(", ")]
     for batch in batches:
-        rows = (row for product, text in zip(batch["product"], batch["text"]) for row in _spec_rows(product, text))
+        files = batch["files"] if "files" in batch else [None] * len(batch)
+        texts = zip(batch["product"], batch["text"], files)
+        rows = (row for product, text, held in texts for row in _spec_rows(product, text, held))
         while chunk := list(islice(rows, FIELD_ROWS)):
             yield pd.DataFrame(chunk, columns=columns)
 
 
-def _spec_rows(product: str, text: str) -> Iterator[tuple]:
+def _file_schemas(files) -> dict[str, Any] | None:
+    """Schemas by path; a file that cannot be read is no schema, which is an error where it is used."""
+    if files is None:
+        return None
+    found = {}
+    for held in files:
+        try:
+            found[held["path"]] = json.loads(held["schema"])
+        except (TypeError, ValueError, RecursionError):
+            found[held["path"]] = "unreadable"
+    return found
+
+
+def _spec_rows(product: str, text: str, files=None) -> Iterator[tuple]:
+    schemas = _file_schemas(files)
     try:
         doc = json.loads(text)
         ports = dict(doc.get("ports") or {})
@@ -263,7 +286,7 @@ def _spec_rows(product: str, text: str) -> Iterator[tuple]:
     for name, port in ports.items():
         try:
             schema = (port or {}).get("schema")
-            leaves = [] if schema is None else Contract.from_schema(schema, name, components).leaves()
+            leaves = [] if schema is None else Contract.from_schema(schema, name, components, schemas).leaves()
             rows = [
                 (product, name, leaf.dotted, leaf.data_type.simpleString(), leaf.required, leaf.description,
                  constraint_text(leaf.constraints), None)

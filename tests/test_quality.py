@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tablepact.sources.files import read_raw
-from tablepact import Contract, annotate, enforce, enforce_partitioned, enforce_tables, split, summarise, violations
+from tablepact.sources.files import read_port, read_raw
+from tablepact import Contract, Port, annotate, enforce, enforce_partitioned, enforce_tables, split, summarise, summarise_ports, violations
 
 CONTRACT = Contract.from_schema(
     {
@@ -207,3 +207,67 @@ def test_unreadable_rows_are_quarantined_with_their_text(spark, tmp_path):
     assert sorted(r.a for r in good.collect()) == ["1", "3"]
     assert sorted((r._unreadable, r._errors[0].check) for r in bad.collect()) == [(t, "is_readable") for t in sorted(lines[1:3])]
     assert [(r.check, r.violations) for r in summarise(raw, contract).collect()] == [("is_readable", 2)]
+
+
+RECORDS = ['{"a": 1, "b": "x"}', '{"a":2,,}', "not json", "", '[{"a": 3}, {"a": "y", "b": 4}]', "[1, 2", "5", '{"a": null}', "   "]
+ANSWERS = [("1", "x", None), ("3", None, None), ("y", "4", None), (None, None, None), *((None, None, t) for t in ('{"a":2,,}', "not json", "[1, 2", "5"))]
+
+
+@pytest.fixture
+def json_port(tmp_path):
+    (tmp_path / "in.json").write_text("\n".join(RECORDS))
+    return str(tmp_path / "in.json")
+
+
+def test_every_record_of_a_json_port_is_a_row(spark, json_port):
+    contract = Contract.from_schema({"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}})
+    raw = read_raw(spark, contract, json_port, "json")
+    assert sorted(((r.a, r.b, r._unreadable) for r in raw.collect()), key=str) == sorted(ANSWERS, key=str)
+    typed = read_port(spark, contract, json_port, "json")
+    assert sorted((tuple(r) for r in typed.collect()), key=str) == sorted(
+        [(1, "x"), (3, None), (None, "4"), *[(None, None)] * 5], key=str
+    )
+
+
+@pytest.mark.parametrize("checks", [False, True])
+def test_check_sets_on_json_ports_with_and_without_checks(spark, json_port, tmp_path, checks):
+    contract = Contract.from_schema({"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "required": ["a"] * checks})
+    raw = read_raw(spark, contract, json_port, "json")
+    lost = 4 + 2 * checks
+    assert annotate(raw, contract).where("size(_errors) > 0").count() == lost
+    good, bad = split(raw, contract)
+    assert (good.count(), bad.count()) == (8 - lost, lost)
+    assert [tuple(r) for r in summarise(raw, contract).select("check", "rows", "violations").collect()][-1] == ("is_readable", 8, 4)
+    assert violations(raw, contract, "b").where("check = 'is_readable'").count() == 4
+    enforce(raw, contract, str(tmp_path / "good"), str(tmp_path / "bad"))
+    assert spark.read.parquet(str(tmp_path / "bad")).where("_unreadable is not null").count() == 4
+    enforce_partitioned(raw, contract, str(tmp_path / "both"))
+    assert spark.read.parquet(str(tmp_path / "both")).where("_side = 'bad'").count() == lost
+    stacked = summarise_ports({"one": Port(raw, contract), "two": Port(raw.limit(0), contract)})
+    assert {(r.port, r.violations) for r in stacked.where("check = 'is_readable'").collect()} == {("one", 4), ("two", 0)}
+
+
+@pytest.mark.parametrize("checks", [False, True])
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+def test_summaries_of_every_format(spark, tmp_path, fmt, checks):
+    contract = Contract.from_schema({"properties": {"a": {"type": "integer", **({"maximum": 5} if checks else {})}}})
+    spark.range(10).selectExpr("id as a").write.options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(str(tmp_path / "in"))
+    found = [tuple(r) for r in summarise(read_raw(spark, contract, str(tmp_path / "in"), fmt), contract).select("check", "rows", "violations").collect()]
+    assert found == [("is_not_greater_than", 10, 4)] * checks + [("is_readable", 10, 0)] * (fmt == "json")
+
+
+def test_json_ports_keep_options_and_partitions(spark, tmp_path):
+    for day, text in (("1", '{"a":\n 1}'), ("2", '[{"a": 2,\n"b": {"c": 3}}, {"a": 3}]'), ("3", '{"a": 4')):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "x.json").write_text(text)
+    contract = Contract.from_schema({"properties": {"a": {"type": "integer"}, "b": {"properties": {"c": {"type": "integer"}}}}})
+    raw = read_raw(spark, contract, str(tmp_path), "json", multiLine="true")
+    assert sorted(((r.day, r.a, r.b and r.b.c, r._unreadable) for r in raw.collect()), key=str) == [
+        (1, "1", None, None), (2, "2", "3", None), (2, "3", None, None), (3, None, None, '{"a": 4'),
+    ]
+    declared = Contract.from_schema({"properties": {"day": {"type": "string"}, "a": {"type": "integer"}}})
+    assert {r.day for r in read_port(spark, declared, str(tmp_path), "json", multiLine="true").collect()} == {"1", "2", "3"}
+    odd = Contract.from_schema({"properties": {"a": {"properties": {"b": {"type": "string"}}}, "c": {"type": "string"}}})
+    (tmp_path / "odd.json").write_text('{"a": 5, "c": "kept"}')
+    row = read_raw(spark, odd, str(tmp_path / "odd.json"), "json").collect()[0]
+    assert (row.c, row._unreadable) == ("kept", '{"a": 5, "c": "kept"}')
