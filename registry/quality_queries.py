@@ -6,7 +6,21 @@ from pyspark.sql import functions as F
 
 from registry.check_queries import ORDER_DATE, contract
 from registry.common import Query, source, summary_sql, table
-from tablepact import Port, annotate, enforce, enforce_stream, split, summarise, summarise_ports, violations
+from tablepact import (
+    Port,
+    annotate,
+    enforce,
+    enforce_stream,
+    enforce_stream_tables,
+    enforce_tables,
+    parsed_records,
+    read_summary,
+    split,
+    summarise,
+    summarise_port_streams,
+    summarise_ports,
+    violations,
+)
 from tablepact.sources.scratch import scratch_path
 
 LINEITEM = contract(
@@ -87,6 +101,13 @@ EVENTS = contract(
     },
     required=("event_id", "event_type"),
 )
+EVENTS_CHECKS = [
+    ("is_not_null", "event_id", "event_id IS NULL"),
+    ("is_valid_timestamp", "ts", "false"),
+    ("is_not_null", "event_type", "event_type IS NULL"),
+    ("is_in_list", "event_type", "event_type NOT IN ('click', 'view', 'purchase', 'signup')"),
+    ("is_not_greater_than", "value", "value > 100"),
+]
 EVENTS_BROKEN = "event_type NOT IN ('click', 'view', 'purchase', 'signup') OR value > 100"
 
 PORTS = {
@@ -128,29 +149,77 @@ def stored_sides(spark, folder):
         F.lit(None).cast("string").alias("raw"),
         F.col("order_date").cast("string").alias("order_date"),
     )
-    return kept.unionByName(
-        spark.read.parquet(bad).select(
-            F.lit("bad").alias("side"),
-            "o_orderkey",
-            F.lit(None).cast("bigint").alias("custkey"),
-            F.col("custkey").alias("raw"),
-            F.lit(None).cast("string").alias("order_date"),
-        )
+    lost = spark.read.parquet(bad).select(
+        F.lit("bad").alias("side"),
+        "o_orderkey",
+        F.lit(None).cast("bigint").alias("custkey"),
+        F.col("custkey").alias("raw"),
+        F.lit(None).cast("string").alias("order_date"),
+    )
+    return kept.unionByName(lost).unionByName(repeated_run(spark, folder))
+
+
+def repeated_run(spark, folder):
+    """Both tables after a run that was done twice."""
+    path = scratch_path(spark, "orders-runs")
+    good, bad = (f"orders_{side}_{path.rsplit('-', 1)[1]}" for side in ("good", "bad"))
+    for _ in range(2):
+        enforce_tables(RAW_ORDERS.frame(spark, folder), ORDERS, good, bad, run="first", location=path)
+    none = F.lit(None).cast("string")
+    kept = spark.table(good).select(F.lit("good table").alias("side"), "o_orderkey", "custkey", none.alias("raw"), none.alias("order_date"))
+    lost = spark.table(bad).select(
+        F.lit("bad table").alias("side"), "o_orderkey", F.lit(None).cast("bigint").alias("custkey"), F.col("custkey").alias("raw"), none.alias("order_date")
     )
+    return kept.unionByName(lost)
 
 
 def streamed_sides(spark, folder):
     good, bad = scratch_path(spark, "events-good"), scratch_path(spark, "events-bad")
-    schema = table(spark, folder, "events").schema
-    # As a pattern the path may name one file or a folder of files; as a name, only a folder.
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/events[.]parquet")
-    enforce_stream(stream, EVENTS, good, bad, scratch_path(spark, "events-progress")).awaitTermination()
+    enforce_stream(event_stream(spark, folder), EVENTS, good, bad, scratch_path(spark, "events-progress")).awaitTermination()
     columns = ["event_id", "event_type", "value"]
     return (
         spark.read.parquet(good)
         .select(F.lit("good").alias("side"), *columns)
         .unionByName(spark.read.parquet(bad).select(F.lit("bad").alias("side"), *columns))
+        .unionByName(payload_sides(spark, folder))
+    )
+
+
+def event_stream(spark, folder):
+    # As a pattern the path may name one file or a folder of files; as a name, only a folder.
+    return spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events[.]parquet")
+
+
+# Events as records on a message bus: a key, and a payload in bytes, some of them cut off.
+PROPS = contract("props", {"k": {"type": "integer", "maximum": 50}}, required=("k",))
+CUT = "CASE WHEN event_id % 50 = 0 THEN substring(props, 1, 3) ELSE props END"
+PROPS_SQL = f"""SELECT event_id, CASE WHEN json_valid(cut) THEN CAST(json_extract_string(cut, '$.k') AS BIGINT) END AS k
+    FROM (SELECT event_id, {CUT} AS cut FROM events)"""
+
+
+def payload_sides(spark, folder):
+    """The payload port's rows by side, in tables: k as text where it can be read."""
+    path = scratch_path(spark, "props")
+    good, bad = (f"props_{side}_{path.rsplit('-', 1)[1]}" for side in ("good", "bad"))
+    bus = event_stream(spark, folder).selectExpr("event_id", f"cast({CUT} as binary) as value")
+    enforce_stream_tables(parsed_records(bus, "value", PROPS), PROPS, good, bad, f"{path}/progress", location=path).awaitTermination()
+    none = F.lit(None)
+    kept = spark.table(good).select(
+        F.lit("payload good").alias("side"), none.cast("bigint").alias("event_id"), F.col("k").cast("string").alias("event_type"), none.cast("double").alias("value")
     )
+    reasons = F.array_join(F.transform("_errors", lambda e: e["check"]), ",")
+    lost = spark.table(bad).select(F.lit("payload bad").alias("side"), "event_id", reasons.alias("event_type"), none.cast("double").alias("value"))
+    return kept.unionByName(lost)
+
+
+def port_summaries(spark, folder):
+    """The summary of every port, and the running totals of the events as a streaming port."""
+    batch = summarise_ports({name: Port(table(spark, folder, origin), rules) for name, (origin, rules, _) in PORTS.items()})
+    path = scratch_path(spark, "port-totals")
+    streams = {"events": Port(event_stream(spark, folder), EVENTS), "plain": Port(event_stream(spark, folder), None)}
+    for query in summarise_port_streams(streams, f"{path}/totals", f"{path}/progress").values():
+        query.awaitTermination()
+    return batch.unionByName(read_summary(spark, f"{path}/totals", ports=True).drop("stream"))
 
 
 QUERIES: dict[str, Query] = {
@@ -188,20 +257,23 @@ QUERIES: dict[str, Query] = {
             CASE WHEN NOT ({ANY_BROKEN}) THEN try_cast(custkey AS BIGINT) END AS custkey,
             CASE WHEN {ANY_BROKEN} THEN custkey END AS raw,
             CASE WHEN NOT ({ANY_BROKEN}) THEN CAST(try_cast(order_date AS DATE) AS VARCHAR) END AS order_date
-        FROM ({RAW_ORDERS.sql})""",
+        FROM ({RAW_ORDERS.sql})
+        UNION ALL SELECT 'good table', o_orderkey, try_cast(custkey AS BIGINT), NULL, NULL FROM ({RAW_ORDERS.sql}) WHERE NOT ({ANY_BROKEN})
+        UNION ALL SELECT 'bad table', o_orderkey, NULL, custkey, NULL FROM ({RAW_ORDERS.sql}) WHERE {ANY_BROKEN}""",
     ),
     "stream_enforce": Query(
         streamed_sides,
         f"""SELECT CASE WHEN {EVENTS_BROKEN} THEN 'bad' ELSE 'good' END AS side, event_id, event_type, value
-        FROM events""",
+        FROM events
+        UNION ALL SELECT 'payload good', NULL, CAST(k AS VARCHAR), NULL FROM ({PROPS_SQL}) WHERE k <= 50
+        UNION ALL SELECT 'payload bad', event_id, CASE WHEN k IS NULL THEN 'is_not_null,is_readable' ELSE 'is_not_greater_than' END, NULL
+        FROM ({PROPS_SQL}) WHERE k IS NULL OR k > 50""",
     ),
     "multi_port_quality": Query(
-        lambda spark, folder: summarise_ports(
-            {name: Port(table(spark, folder, origin), rules) for name, (origin, rules, _) in PORTS.items()}
-        ),
+        port_summaries,
         "\nUNION ALL\n".join(
             summary_sql(f"SELECT * FROM {origin}", broken, first=f"'{name}' AS port, ")
-            for name, (origin, _, broken) in PORTS.items()
+            for name, (origin, _, broken) in (*PORTS.items(), ("events", ("events", EVENTS, EVENTS_CHECKS)))
         ),
     ),
 }

@@ -22,10 +22,11 @@ from tablepact.operators.quality import annotate, split, summarise, violations
 from tablepact.operators.references import broken_references, reached_files, schema_edges, schema_uses
 from tablepact.plans.contract import Contract, Field, contracts_of
 from tablepact.plans.rules import Check
-from tablepact.sources.files import read_port, read_raw
+from tablepact.sources.files import parsed_records, read_port, read_raw
 from tablepact.sources.specs import Catalog, field_catalog, load_specs, parse_catalog, read_spec
 from tablepact.sources.tables import create_port_table, write_port
-from tablepact.streaming.enforce import enforce_stream
+from tablepact.streaming.enforce import enforce_stream, enforce_stream_tables
+from tablepact.streaming.summary import read_summary, summarise_port_streams, summarise_stream
 
 __all__ = [
     "CHECKS",
@@ -52,17 +53,20 @@ __all__ = [
     "enforce",
     "enforce_partitioned",
     "enforce_stream",
+    "enforce_stream_tables",
     "enforce_tables",
     "field_catalog",
     "load_specs",
     "parse_catalog",
     "parse_payload",
     "parse_rows",
+    "parsed_records",
     "port_listing",
     "reached_files",
     "read_port",
     "read_raw",
     "read_spec",
+    "read_summary",
     "register_check",
     "removable_connections",
     "run_ports",
@@ -72,7 +76,9 @@ __all__ = [
     "snake_case_columns",
     "split",
     "summarise",
+    "summarise_port_streams",
     "summarise_ports",
+    "summarise_stream",
     "violations",
     "write_port",
 ]

@@ -35,7 +35,7 @@ def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, *
     if fmt == "json":
         whole = str(options.get("multiLine", "false")).lower() == "true"
         lines = reader.text(location, wholetext=whole).where(F.col("value").rlike(r"\S"))
-        return parsed_records(lines, "value", contract, options)
+        return parsed_records(lines, "value", contract, options, outer=True)
     if fmt == "csv":
         reader = spark.read.options(**{**CSV_OPTIONS, **options})
         if options.get("header", "true") == "false":
@@ -44,12 +44,16 @@ def read_raw(spark: SparkSession, contract: Contract, location: str, fmt: str, *
     raise ContractError(f"format {fmt!r} is not one of {', '.join((*SELF_DESCRIBING, *TEXT_FORMATS))}")
 
 
-def parsed_records(df: DataFrame, payload: str, contract: Contract, options: Mapping[str, str] | None = None) -> DataFrame:
+def parsed_records(
+    df: DataFrame, payload: str, contract: Contract, options: Mapping[str, str] | None = None, outer: bool = False
+) -> DataFrame:
     """The JSON records in a text or binary column, in the contract's shape as text, and the frame's other columns.
 
+    Works on streams as on tables: a port on a message bus is read so, and the check set is that of any other port.
+
     A record that cannot be read is one row with its text in ``_unreadable``; so is one of which a part does not have the declared
-    shape, with the parts that have. A JSON array is a record per element. A missing text is a record of NULLs. Other columns named like
-    declared ones take their place. The records leave a generator, so that a filter on them never repeats the parse.
+    shape, with the parts that have. A JSON array is a record per element. A missing text is a record of NULLs. Where the frame's other
+    columns are named like declared ones, the record's values count, and with ``outer`` the frame's, as for directories of files. The records leave a generator, so that a filter on them never repeats the parse.
     """
     shape = T.StructType([*contract.text_schema.fields, T.StructField(UNREADABLE, T.StringType())])
     settings = {k: v for k, v in (options or {}).items() if k.lower() not in ("mode", "columnnameofcorruptrecord")}
@@ -58,7 +62,8 @@ def parsed_records(df: DataFrame, payload: str, contract: Contract, options: Map
     lost = F.from_json(F.to_json(F.struct(text.alias(UNREADABLE))), shape)
     many = F.coalesce(F.from_json(text, T.ArrayType(shape), settings), F.array(lost))
     records = F.when(text.rlike(r"^\s*\["), many).otherwise(F.array(one))
-    own = {c.lower(): c for c in df.columns if c != payload}
+    declared = {f.name.lower() for f in shape.fields}
+    own = {c.lower(): c for c in df.columns if c != payload and (outer or c.lower() not in declared)}
     rows = df.select(*[F.col(f"`{c}`") for c in own.values()], F.explode(records).alias(RECORD))
     record = [F.col(f"{RECORD}.`{f.name}`") for f in shape.fields if f.name.lower() not in own]
     return rows.select(*record, *[F.col(f"`{c}`") for c in own.values()])

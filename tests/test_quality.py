@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablepact.sources.files import read_port, read_raw
-from tablepact import Contract, Port, annotate, enforce, enforce_partitioned, enforce_tables, split, summarise, summarise_ports, violations
+from tablepact import Contract, ContractError, Port, annotate, enforce, enforce_partitioned, enforce_tables, split, summarise, summarise_ports, violations
 
 CONTRACT = Contract.from_schema(
     {
@@ -139,6 +139,71 @@ def test_enforce_into_tables(spark):
         spark.sql("DROP TABLE IF EXISTS rejected_rows")
 
 
+@pytest.fixture
+def run_tables(spark, tmp_path):
+    yield "run_kept", "run_lost", str(tmp_path)
+    for name in ("run_kept", "run_lost"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def held(spark, *names):
+    return [sorted(map(str, spark.table(n).collect())) for n in names]
+
+
+def test_a_repeated_run_changes_nothing(spark, run_tables, monkeypatch):
+    """Not after it was done, and not after it broke off between the two writes."""
+    from tablepact.operators import enforce as module
+
+    good, bad, folder = run_tables
+    described = Contract("rows", CONTRACT.fields, CONTRACT.checks, "it's what is kept")
+    enforce_tables(frame(spark), described, good, bad, run="r1", location=folder)
+    once = held(spark, good, bad)
+    assert [len(side) for side in once] == [2, 3] and spark.catalog.getTable(good).description == "it's what is kept"
+    assert spark.table(good).columns == [*CONTRACT.column_names, "_run"]
+    enforce_tables(frame(spark), described, good, bad, run="r1")
+    assert held(spark, good, bad) == once
+
+    insert = module.insert_run
+    monkeypatch.setattr(module, "insert_run", lambda rows, table, run: 1 / 0 if table == bad else insert(rows, table, run))
+    with pytest.raises(ZeroDivisionError):
+        enforce_tables(frame(spark), described, good, bad, run="r2")
+    monkeypatch.undo()
+    enforce_tables(frame(spark), described, good, bad, run="r2")
+    enforce_tables(frame(spark), described, good, bad, run="r2")
+    assert [spark.table(t).groupBy("_run").count().orderBy("_run").collect() for t in (good, bad)] == [[("r1", 2), ("r2", 2)], [("r1", 3), ("r2", 3)]]
+
+
+def test_a_run_with_other_rows_replaces_what_it_had(spark, run_tables):
+    good, bad, folder = run_tables
+    for rows in (frame(spark), frame(spark).limit(1), frame(spark).limit(0)):
+        enforce_tables(rows, CONTRACT, good, bad, run="r", location=folder)
+        valid, quarantine = split(rows, CONTRACT)
+        assert (spark.table(good).count(), spark.table(bad).count()) == (valid.count(), quarantine.count())
+    assert spark.table(good).count() == 0
+
+
+def test_runs_need_a_name_and_a_table_that_tells_them_apart(spark, run_tables):
+    good, bad, _ = run_tables
+    with pytest.raises(ContractError, match="other characters"):
+        enforce_tables(frame(spark), CONTRACT, good, bad, run="a' or '1")
+    with pytest.raises(ContractError, match="names the run"):
+        enforce_tables(frame(spark).withColumn("_RUN", F.lit(1)), CONTRACT, good, bad, run="a")
+    enforce_tables(frame(spark), CONTRACT, good, bad)
+    with pytest.raises(ContractError, match="not partitioned"):
+        enforce_tables(frame(spark), CONTRACT, good, bad, run="a")
+
+
+def test_sides_agree_on_input_that_never_gives_the_same_rows_twice(spark, run_tables, tmp_path):
+    chance = spark.range(400).select(F.col("id"), (F.rand() * 10).alias("n"))
+    contract = Contract.from_schema({"properties": {"id": {"type": "integer"}, "n": {"type": "number", "maximum": 5}}})
+    good, bad, folder = run_tables
+    enforce_tables(chance, contract, good, bad, run="r", location=folder)
+    enforce(chance, contract, str(tmp_path / "g"), str(tmp_path / "b"), keep=True)
+    for kept, lost in ((spark.table(good), spark.table(bad)), (spark.read.parquet(str(tmp_path / "g")), spark.read.parquet(str(tmp_path / "b")))):
+        assert sorted(r.id for r in kept.select("id").union(lost.select("id")).collect()) == list(range(400))
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def executed(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
