@@ -9,10 +9,10 @@ No task sees the whole corpus, so strings that could be equal are first brought
 2. Halves whose key is found once repeat nothing. Halves found with equal key and content more than once are
    repeated as a whole; one of each stands for them from here on. Both are plain aggregates, so copies in
    any number meet as counts.
-3. Where a key has halves of different content, their texts are sorted: suffixes in order of their first ``length`` bytes,
-   equal ones in text order. There the previous smaller position of a suffix, if any shares ``length``
-   bytes with it, is the entry before it; the longest previous factor is long enough exactly if it does, and the
-   longest next factor if the entry after it does.
+3. Where a key has halves of different content, the suffixes of their texts are put in order of their first ``length`` bytes,
+   equal ones in text order, with the lengths of common prefixes. The nearest suffix of smaller place before and after
+   each one gives its longest previous factor, those of larger place its longest following factor. A window is repeated
+   if either is as long as the window.
 
 A key with more than ``GROUP`` different halves is not brought together: its windows are counted by their hash.
 """
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import arrow_pass, rows, stored, utf8
+from tablepact.llm.shared import arrow_pass, count_of, marker, rows, stored, utf8
 
 #: Bytes of the grams among which a window has its anchor.
 GRAM = 32
@@ -38,6 +38,9 @@ SHARD = 1 << 20
 #: Different halves of a key that one task sorts.
 GROUP = 4096
 
+#: Halves copied more than so often, and in more than one of so many rows, do not meet in one task: there are at most so many.
+HOT = 1024
+
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -111,24 +114,79 @@ def repeated_windows(contents: list[bytes], length: int) -> tuple[list[np.ndarra
     """For each content, which of its windows occur before in the list (or in it), and which occur after."""
     sizes = np.array([len(c) for c in contents])
     begins = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"".join(contents) + bytes(8), np.uint8)
-    n = int(sizes.sum())
-    words = np.lib.stride_tricks.as_strided(text, (n, 8), (1, 1))
-    rank = np.unique(np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64), return_inverse=True)[1]
-    width = 8
+    windows = np.concatenate([np.arange(b, b + s - length + 1) for b, s in zip(begins, sizes)])
+    order, lcp = suffix_order(b"".join(contents), windows, length)
+    cuts = np.cumsum(sizes - length + 1)[:-1]
+    found = []
+    for factors in (longest_factors(order, lcp), longest_factors(-order, lcp)):
+        marked = np.zeros(len(windows), bool)
+        marked[np.searchsorted(windows, order)] = factors >= length
+        found.append(np.split(marked, cuts))
+    return found[0], found[1]
+
+
+def suffix_order(text: bytes, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``places`` in the order of the suffixes that begin there, by their first ``length`` bytes and then by place, and the number of
+    bytes each shares with the one before, at most ``length``. Every place has so many bytes."""
+    bytes_ = np.frombuffer(text + bytes(8), np.uint8)
+    n, width = len(text), 8
+    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(bytes_, (n, 8), (1, 1))).view(">u8").ravel().astype(np.uint64)
     # Ranks by the first ``width`` bytes, doubled; those past the end of a content are never asked for.
+    ranks = [(8, np.unique(words, return_inverse=True)[1].astype(np.int32))] if length >= 8 else []
     while 2 * width <= length:
-        rank = _joined_rank(rank[: n - width], rank[width:], n)
+        rank = ranks[-1][1]
+        ranks.append((2 * width, _joined_rank(rank[: n - width], rank[width:], n).astype(np.int32)))
         n, width = n - width, 2 * width
-    windows = np.concatenate([np.arange(b, b + s - length + 1) for b, s in zip(begins, sizes)])
-    first, second = rank[windows], rank[windows + length - width]
-    order = np.lexsort((windows, second, first))
-    same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
-    previous, following = np.zeros(len(windows), bool), np.zeros(len(windows), bool)
-    previous[order[1:]] = same
-    following[order[:-1]] = same
-    cuts = np.cumsum(sizes - length + 1)[:-1]
-    return np.split(previous, cuts), np.split(following, cuts)
+    if ranks:
+        keys = [ranks[-1][1][places + length - width], ranks[-1][1][places]]
+    else:
+        keys = [bytes_[places + i] for i in reversed(range(length))]
+    order = places[np.lexsort((places, *keys))]
+    lcp = np.zeros(len(order), np.int32)
+    if len(order) < 2:
+        return order, lcp
+    one, two, common = order[:-1], order[1:], np.zeros(len(order) - 1, np.int32)
+    for width, rank in reversed(ranks):
+        fits = np.flatnonzero(common + width <= length)
+        common[fits] += width * (rank[(one + common)[fits]] == rank[(two + common)[fits]])
+    open_ = np.arange(len(common))
+    for _ in range(min(8, length)):
+        open_ = open_[common[open_] < length]
+        open_ = open_[bytes_[one[open_] + common[open_]] == bytes_[two[open_] + common[open_]]]
+        common[open_] += 1
+    lcp[1:] = common
+    return order, lcp
+
+
+def longest_factors(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in ``order``: what it shares with the suffix of smaller place that shares most.
+
+    That is the nearest of smaller place before it in suffix order, or after it. Given places in reverse, the longest following factors.
+    """
+    back = np.r_[lcp[:0], 0, lcp[:0:-1]] if len(lcp) else lcp
+    return np.maximum(_to_smaller(order, lcp), _to_smaller(order[::-1], back)[::-1])
+
+
+def _to_smaller(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each entry the least ``lcp`` on the way to the nearest smaller one before it; 0 if there is none.
+
+    By halving steps over tables of minima of 1, 2, 4 ... entries, without a loop over entries.
+    """
+    n = len(order)
+    least, common = [order.astype(np.int64)], [lcp]
+    while 2 ** len(least) <= n:
+        step = 2 ** (len(least) - 1)
+        # Entry i stands for the run of 2 * step entries that ends with it.
+        least.append(np.r_[least[-1][:step], np.minimum(least[-1][step:], least[-1][:-step])])
+        common.append(np.r_[common[-1][:step], np.minimum(common[-1][step:], common[-1][:-step])])
+    end, shared = np.arange(n), np.full(n, np.iinfo(np.int32).max)
+    for level in reversed(range(len(least))):
+        # Before entry ``end`` all are larger, up to the entry itself; a whole run of larger ones is stepped over.
+        able = np.flatnonzero(end >= 2**level)
+        able = able[least[level][end[able] - 1] > least[0][able]]
+        shared[able] = np.minimum(shared[able], common[level][end[able]])
+        end[able] -= 2**level
+    return np.where(end > 0, np.minimum(shared, lcp[end]), 0)
 
 
 def _joined_rank(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
@@ -245,8 +303,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     contents = stored(
         near.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*PLACE)).alias("place")), "contents"
     )
-    copies = contents.where("times > 1").select("key", "content", "place")
-    copied = near.join(copies, ["key", "content"])
+    # Halves with a thousandth of all copies or more are at most HOT: they are sent to the rows, whose tasks stay as they are.
+    often_copied = F.col("times") > max(HOT, count_of(near) // HOT)
+    copies = contents.where("times > 1")
+    hot = copies.where(often_copied).select("key", "content", "place")
+    rest = near.join(F.broadcast(hot.select("key", "content")), ["key", "content"], "left_anti")
+    copied = near.join(F.broadcast(hot), ["key", "content"]).unionByName(
+        rest.join(copies.where(~often_copied).select("key", "content", "place"), ["key", "content"])
+    )
     if keep_first:
         copied = copied.where(F.struct(*PLACE) != F.col("place"))
     end = F.col("x") + F.col("more").cast("int") + length
@@ -277,7 +341,7 @@ def remove_repeats(
     made = ("kept", "n_bytes", "n_removed", "n_spans")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in made]
     numbered = stored(
-        docs.select(F.monotonically_increasing_id().alias("doc"), F.struct(F.lit(True).alias("_"), *rest).alias("rest"), F.col(text).alias("text")),
+        docs.select(F.monotonically_increasing_id().alias("doc"), F.struct(F.lit(True).alias(marker(docs)), *rest).alias("rest"), F.col(text).alias("text")),
         "texts",
         "zstd",
     )

@@ -22,6 +22,22 @@ def stored(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marker(docs: DataFrame, wish: str = "_") -> str:
+    """A column name that ``docs`` does not have, in any case of letters."""
+    held = {c.lower() for c in docs.columns}
+    while wish.lower() in held:
+        wish += "_"
+    return wish
+
+
+def whole_numbers(docs: DataFrame, column: str) -> str:
+    """The type of a column of ids; ValueError if they are no whole numbers."""
+    kind = docs.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{column} must hold whole numbers, not {kind}")
+    return kind
+
+
 def arrow_pass(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply ``function`` to every Arrow batch of ``df``."""
 

@@ -7,7 +7,7 @@ import pytest
 
 from tablepact.llm import repeats
 from tablepact.llm.queries import QUERIES
-from tablepact.llm.repeats import least_places, remove_repeats, repeated_windows
+from tablepact.llm.repeats import least_places, longest_factors, remove_repeats, repeated_windows, suffix_order
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -82,3 +82,39 @@ def test_windows_in_text_order():
 def test_least_places():
     values = np.array([5, 3, 3, 9, 1, 1, 7], np.uint64)
     assert least_places(values, 3).tolist() == [1, 1, 4, 4, 4]
+
+
+def common(a, b, most):
+    n = 0
+    while n < most and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("length", [3, 8, 13, 20, 47])
+def test_longest_factors_against_all_pairs(length):
+    """Orders, common prefixes and longest previous and following factors of periodic and random bytes."""
+    rng = np.random.default_rng(length)
+    text = bytes(rng.integers(97, 99, 150).tolist()) + b"ab" * 60 + b"c" * 70 + bytes(rng.integers(97, 100, 60).tolist())
+    places = np.flatnonzero(rng.random(len(text) - length + 1) < 0.8)
+    order, lcp = suffix_order(text, places, length)
+    cut = lambda p: text[p : p + length]
+    assert order.tolist() == sorted(places.tolist(), key=lambda p: (cut(p), p))
+    assert lcp.tolist() == [0] + [common(cut(a), cut(b), length) for a, b in zip(order.tolist(), order[1:].tolist())]
+    before, after = longest_factors(order, lcp), longest_factors(-order, lcp)
+    for k, p in enumerate(order.tolist()):
+        assert before[k] == max([common(cut(p), cut(q), length) for q in places.tolist() if q < p], default=0)
+        assert after[k] == max([common(cut(p), cut(q), length) for q in places.tolist() if q > p], default=0)
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_hot_copies(spark, monkeypatch, keep_first):
+    """Halves copied very often are found without bringing their rows together, with those copied rarely beside them."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    hot, rare = word(300), word(250)
+    texts = [hot] * 40 + [rare + "x"] * 3 + [word(10) + hot + word(10) for _ in range(10)] + [word(200) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, length=100, keep_first=keep_first).collect()}
+    assert got == dict(enumerate(brute(texts, 100, keep_first)))
