@@ -7,7 +7,7 @@ means personal data. With these likelihoods as soft labels a naive Bayes classif
 surroundings of a span is trained; it decides which candidates are added to the base spans, which
 always stay.
 
-The driver gets counts of (kind, votes, feature, value) only: at most 8 kinds x 3^6 votes x 5
+The driver gets counts of (kind, votes, feature, value) only: at most 9 kinds x 3^6 votes x 6
 features x 5 values, whatever the number of texts.
 """
 
@@ -19,7 +19,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import stored
+from tablepact.llm.shared import marker, stored
 from tablepact.llm.spans import located
 
 #: Base kinds in the order that breaks ties of spans: fixed values.
@@ -33,8 +33,8 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Kinds that the method adds.
-SECRET = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{2,24}[=:][\x20]?[A-Za-z0-9+/_.-]{8,}+"
-LOCAL_PHONE = r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}+(?![0-9A-Za-z])"
+SECRET = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{2,63}+\x20?+[=:]\x20?+[\"']?+(?!//)[A-Za-z0-9+/_.-]{8,}+"
+LOCAL_PHONE = r"(?<![0-9A-Za-z.+-])(?![0-9]{4}-[0-9]{2}-[0-9]{2})\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}+(?![0-9A-Za-z])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
@@ -52,7 +52,7 @@ PATTERNS = {
 #: A text can hold a kind only if it matches this.
 GATES = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]",
-    "secret": r"[A-Za-z_][=:][\x20]?[A-Za-z0-9+/_.-]{8}", "local_phone": r"[0-9]\)?[\x20./-][0-9]", "iban": "[A-Z]{2}[0-9]{2}",
+    "secret": r"[A-Za-z0-9_]\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.-]{8}", "local_phone": r"[0-9]\)?[\x20./-][0-9]", "iban": "[A-Z]{2}[0-9]{2}",
     "social": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "name": rf"(?:{'|'.join(n.capitalize() for n in GIVEN_NAMES)})\x20[A-Z]",
 }
 
@@ -61,7 +61,7 @@ GAZETTEERS = {
     "ip": r"^(?!0\.|127\.|255\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^\+(?:1|7|2[07]|3[0-46-9]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"(?i)^(?:[a-z]+_)*(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|apikey|auth|credential|private_?key)[=:]",
+    "secret": r"(?i)^(?:[a-z0-9]+_)*(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|apikey|auth|credential|private_?key)[0-9]*\x20?[=:]",
     "local_phone": r"^\(?0",
     "iban": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
     "social": r"^(?!000|666|9)",
@@ -117,6 +117,14 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def iban_checks(found: Column) -> Column:
+    """Whether the check digits of an account number are right: moved to the end, letters as 10 to 35, it leaves 1 modulo 97."""
+    bare = F.regexp_replace(found, "\\x20", "")
+    signs = F.split(F.concat(F.substring(bare, 5, 40), F.left(bare, F.lit(4))), "(?<=.)(?=.)")
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(signs, F.lit(0), lambda s, c: (s * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97) == 1
+
+
 def _vote(favour: Column, against: Column) -> Column:
     return F.when(favour, "+").when(against, "-").otherwise("0")
 
@@ -126,7 +134,9 @@ def votes(kind: str, m: Column) -> Column:
     found, before, after = m["found"], F.right(m["before"], F.lit(CONTEXT)), F.left(m["after"], F.lit(CONTEXT))
     pattern = valid(kind, found) if kind in BASE_KINDS else F.lit(True)
     if kind == "secret":
-        pattern = found.rlike("[0-9]") & found.rlike("[A-Za-z].*[=:]")
+        pattern = F.regexp_extract(found, "[=:](.*)", 1).rlike("[0-9]")
+    if kind == "iban":
+        pattern = iban_checks(found)
     varied = F.size(F.array_distinct(F.split(found, "(?<=.)(?=.)"))) >= 5
     listed = found.rlike(GAZETTEERS[kind])
     cue = before.rlike(f"(?i)(?:{CUES[kind]})[^a-zA-Z]{{0,12}}$|(?:{CUES[kind]})\\W+\\w+\\W*$")
@@ -139,8 +149,8 @@ def votes(kind: str, m: Column) -> Column:
     )
 
 
-def features(m: Column) -> Column:
-    """Values from 0 to 4: length, share of digits, the character on either side, kinds of characters."""
+def features(kind: str, m: Column) -> Column:
+    """Values from 0 to 4: length, share of digits, the character on either side, kinds of characters, and whether the gazetteer has it."""
     found = m["found"]
     size = F.length(found)
     share = F.length(digits(found)) / size
@@ -155,6 +165,7 @@ def features(m: Column) -> Column:
         side(F.right(m["before"], F.lit(1))),
         side(F.left(m["after"], F.lit(1))),
         kinds,
+        F.when(found.rlike(GAZETTEERS[kind]), 1).otherwise(0),
     )
 
 
@@ -163,23 +174,24 @@ def spot(docs: DataFrame, text: str) -> DataFrame:
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "base", "candidates")]
     body = F.coalesce(F.col(text), F.lit(""))
     nothing = located(F.lit(""), F.lit("$^x"))
+    column = {kind: marker(docs, f"_{kind}") for kind in PATTERNS}
     matches = docs.select(
         *rest,
         *[
-            F.when(body.rlike(GATES[kind]), located(body, F.lit(pattern))).otherwise(nothing).alias(f"_{kind}")
+            F.when(body.rlike(GATES[kind]), located(body, F.lit(pattern))).otherwise(nothing).alias(column[kind])
             for kind, pattern in PATTERNS.items()
         ],
     )
     span = lambda kind: lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
     passed = lambda kind: lambda m: valid(kind, m["found"])
-    base = [F.transform(F.filter(F.col(f"_{kind}"), passed(kind)), span(kind)) for kind in BASE_KINDS]
+    base = [F.transform(F.filter(F.col(column[kind]), passed(kind)), span(kind)) for kind in BASE_KINDS]
 
     def judged(kind):
         return F.transform(
-            F.col(f"_{kind}"),
+            F.col(column[kind]),
             lambda m: F.struct(
                 F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-                votes(kind, m).alias("votes"), features(m).alias("values"),
+                votes(kind, m).alias("votes"), features(kind, m).alias("values"),
             ),
         )
 

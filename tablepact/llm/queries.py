@@ -32,7 +32,14 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = find_pii(table(spark, folder, "documents").select("doc_id", "text"))
     of_kind = lambda kind: lambda span: span["kind"] == kind
     numbers = [F.size(F.filter("base", of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
-    return found.select("doc_id", *numbers, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *numbers,
+        F.sha2(written(F.col("base")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:

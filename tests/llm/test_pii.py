@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from tablepact.llm.pii import BASE_KINDS, GATES, PATTERNS, estimate, find_pii, spot, valid
+from tablepact.llm.pii import BASE_KINDS, GATES, PATTERNS, estimate, find_pii, iban_checks, spot, valid
 from tablepact.llm.queries import QUERIES
 from tablepact.llm.spans import located
 from pyspark.sql import functions as F
@@ -136,3 +136,38 @@ def test_long_secrets_are_whole(spark):
     value = "b7Db-7a_A.4f" * 1000
     found = spot(spark.createDataFrame([(1, f"see api_token={value} then")], "doc_id long, text string"), "text").first()
     assert [(c.start, c.end) for c in found.candidates if c.kind == "secret"] == [(4, 14 + len(value))]
+
+
+SECRETS = [
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "token='a1b2c3d4e5f6'", "api_key: abcd1234efgh",
+    "API_KEY=abcd1234efgh", "db2_password : hunter2hunter2", "secret=" + "q1" * 4_000,
+]
+
+
+def test_secrets_in_quotes_and_blanks(spark):
+    """Each is one span over the whole value; prose, links and dates beside them have none."""
+    clean = ["see https://example.org/a/page1234 for more", "on 2024-01-15 we met: everybody12 was there", "ratio: 12345678 to 1", "the note: nothing_here"]
+    texts = [f"login with {s}\nand go on" for s in SECRETS * 6] + clean * 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "secret"] for r in find_pii(docs).collect()}
+    for i, text in enumerate(texts):
+        if text in clean:
+            assert found[i] == [], text
+        else:
+            (kind, start, end), secret = found[i][0], SECRETS[i % len(SECRETS)]
+            assert len(found[i]) == 1 and start == len("login with ") and end in (start + len(secret), start + len(secret) - 1)
+
+
+def test_every_secret_of_the_documents_is_found(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    told = {d for d, t in texts.items() if re.search(r'token = "[0-9a-f]{20,}"', t, re.I)}
+    found = {r.doc_id for r in QUERIES["op1_pii"](spark, folder).collect() if "secret:" in r.spans}
+    assert told and found == told
+
+
+def test_check_digits_of_accounts(spark):
+    good = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
+    rows = [(g, True) for g in good] + [(g[:-1] + ("1" if g[-1] != "1" else "2"), False) for g in good]
+    df = spark.createDataFrame(rows, "found string, good boolean")
+    assert all(r.ok == r.good for r in df.select("good", iban_checks(F.col("found")).alias("ok")).collect())
