@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablepact.llm.fm_index import FMIndex
-from tablepact.llm.shared import rows, utf8
+from tablepact.llm.shared import marker, rows, utf8
 
 #: Words of lower-cased UTF-8: digits, a-z and everything outside ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -156,7 +156,7 @@ def find_contamination(
     * Without documents the result is empty; without items nothing is found.
     """
     rest = [c for c in docs.columns if c not in (text, "n_words", "spans", "items")]
-    body = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in rest])
+    body = F.struct(F.lit(True).alias(marker(docs)), *[F.col(f"`{c}`") for c in rest])
     current = docs.select(
         body.alias("rest"),
         F.col(text).alias("text"),

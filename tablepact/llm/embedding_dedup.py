@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import components, count_of, rows, stored
+from tablepact.llm.shared import components, count_of, rows, stored, whole_numbers
 from tablepact.llm.simhash import spanning
 
 #: Entries of a block.
@@ -164,9 +164,10 @@ def near_embeddings(
     * Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, not even their equals.
     * Shorter vectors count as filled up with zeros.
     * Rows of equal vectors are linked with each other, whatever their ids or other columns.
+    * Ids are whole numbers; another type raises ValueError.
     * Only the two named columns are read. An empty table gives an empty table.
     """
-    kind = vectors.schema[vec_id].dataType.simpleString()
+    kind = whole_numbers(vectors, vec_id)
     named = vectors.select(
         F.col(vec_id).alias("vec_id"), F.when(comparable(F.col(vector)), F.col(vector)).alias("vector")
     )

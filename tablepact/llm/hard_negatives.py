@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import rows, stored
+from tablepact.llm.shared import rows, stored, whole_numbers
 
 #: Anchors that a task holds.
 BLOCK = 4096
@@ -250,8 +250,7 @@ def mine_hard_negatives(
     * Scores are longs: vectors so long that a score might not be one raise ValueError.
     * Only the named columns are read, and those of ``anchors``. An empty table, or no anchor, gives an empty table.
     """
-    if vectors.schema[vec_id].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
-        raise ValueError(f"{vec_id} must hold whole numbers")
+    whole_numbers(vectors, vec_id)
     spark = vectors.sparkSession
     finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     taken = vectors.where(F.col(label).isNotNull() & F.coalesce(finite, F.lit(False))).select(

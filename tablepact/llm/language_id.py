@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import rows
+from tablepact.llm.shared import marker, rows
 
 UNDETERMINED = "und"
 
@@ -107,7 +107,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
     * Whole texts count, however long. Columns named lang_pred or score are replaced; others stay.
     """
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    body = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in rest])
+    body = F.struct(F.lit(True).alias(marker(docs)), *[F.col(f"`{c}`") for c in rest])
     framed = docs.select(body.alias("rest"), F.col(text).alias("text"))
     shape = framed.schema["rest"].dataType.simpleString()
     found = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablepact.llm.shared import marker
 from tablepact.llm.spans import let, located
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -207,9 +208,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", ruleset: list[Rule] | Non
     * Columns of those names are replaced; others stay as they are.
     """
     ruleset = rules() if ruleset is None else ruleset
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "found", "kept", "labels", "score", "_words")]
-    whole = docs.select(*rest, normal_words(F.col(text)).alias("_words"))
-    words = F.col("_words")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "found", "kept", "labels", "score")]
+    own = marker(docs, "words")
+    whole = docs.select(*rest, normal_words(F.col(text)).alias(own))
+    words = F.col(own)
     gated = F.lit(False)
     for stem in STEMS:
         gated = gated | F.contains(words, F.lit(stem))
@@ -237,7 +239,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", ruleset: list[Rule] | Non
     by_stretch = F.transform(stretches, lambda b: F.filter(found, lambda f: F.floor(f["first"] / STRETCH) == b))
     kept = F.when(F.size(found) < 2, found).otherwise(let(by_stretch, standing_ones))
     labelled = F.filter(found, lambda f: f["base"])
-    judged = detected.drop("_words").withColumn("kept", kept)
+    judged = detected.drop(own).withColumn("kept", kept)
     standing = F.concat(F.col("kept"), labelled)
     return judged.withColumn("labels", F.array_sort(F.array_distinct(F.transform(standing, lambda f: f["label"])))).withColumn(
         "score", F.coalesce(F.array_max(F.transform(standing, lambda f: f["weight"])), F.lit(0.0))

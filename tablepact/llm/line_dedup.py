@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import arrow_pass, rows, utf8
+from tablepact.llm.shared import arrow_pass, marker, rows, utf8, whole_numbers
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -187,13 +187,14 @@ def dedup_lines(
     * A null or empty text is one empty line: n_lines 1, n_dropped 0, kept text empty.
     * A document whose id is null keeps all its lines and is no holder of any.
     * Rows that repeat a document id are one document: its lines stay in each of the rows, or go from each.
+    * Ids are whole numbers; another type raises ValueError. Texts of any length are split whole.
     * Columns named n_lines or n_dropped are replaced; other columns stay as they are.
     * An empty table gives an empty table.
     """
+    kind = whole_numbers(docs, doc_id)
     rest = [c for c in docs.columns if c not in (doc_id, text, "n_lines", "n_dropped")]
     columns = [F.col(f"`{c}`") for c in rest]
     lost = lost_lines(docs, doc_id, text, min_length, filter_bytes)
-    kind = docs.schema[doc_id].dataType.simpleString()
     schema = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
     def rebuild(batch: pa.RecordBatch):
@@ -213,7 +214,7 @@ def dedup_lines(
         )
 
     whole = docs.select(
-        F.col(doc_id).alias("doc"), F.struct(F.lit(True).alias("_"), *columns).alias("rest"), F.col(text).alias("text")
+        F.col(doc_id).alias("doc"), F.struct(F.lit(True).alias(marker(docs)), *columns).alias("rest"), F.col(text).alias("text")
     ).join(lost.select(F.col("doc").cast(kind), "lost"), "doc", "left")
     shape = whole.schema["rest"].dataType.simpleString()
     out = arrow_pass(whole, rebuild, f"doc {kind}, rest {shape}, text string, n_lines long, n_dropped long")

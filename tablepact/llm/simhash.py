@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import arrow_pass, components, rows, stored, utf8
+from tablepact.llm.shared import arrow_pass, components, marker, rows, stored, utf8, whole_numbers
 
 SEED = 42
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -31,6 +31,9 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Shingles of a text whose bits are added at a time.
 CHUNK = 1 << 16
 
+#: Words of a shingle.
+SIZE = 3
+
 #: Links join fingerprints that differ in at most so many bits.
 DISTANCE = 2
 
@@ -43,7 +46,7 @@ BLOCKS = 4
 FANOUT = 8
 
 
-def fingerprint(text: bytes, size: int = 3) -> int:
+def fingerprint(text: bytes, size: int = SIZE) -> int:
     """The SimHash of the text's word shingles, repeats included; 0 without words."""
     words = WORD.findall(text.lower())
     if not words:
@@ -184,23 +187,24 @@ def near_links(classes: DataFrame, group: int = GROUP) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, group: int = GROUP) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: component_id is the smallest id reachable by links.
 
-    A fingerprint is the 64-bit SimHash of the 3-word shingles of the text, A-Z lower-cased; words are
-    parted by white space of ASCII. It is given as a signed long. Fingerprints that differ in at most two
+    A fingerprint is the 64-bit SimHash of the ``size``-word shingles of the text, A-Z lower-cased; words are
+    parted by white space of ASCII. It is given as a signed long. Fingerprints that differ in at most ``DISTANCE``
     bits are linked, equal ones too.
 
     * Null and empty texts, and those without words, have fingerprint zero, and are linked like any other.
-    * Texts of fewer than three words have one shingle.
+    * Texts of fewer than ``size`` words have one shingle. Very long texts are hashed whole, some shingles at a time.
+    * Ids are whole numbers; another type raises ValueError.
     * Rows that repeat an id are entries of their own. Rows without an id get the component of their fingerprint,
       null if no row of it has an id.
     * Only the two named columns are read. An empty table gives an empty table.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
+    kind = whole_numbers(docs, doc_id)
 
     def mark(batch: pa.RecordBatch):
-        prints = pa.array([fingerprint(raw) for raw in utf8(batch.column(1))], pa.int64())
+        prints = pa.array([fingerprint(raw, size) for raw in utf8(batch.column(1))], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["doc_id", "fingerprint"])
 
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -213,6 +217,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(placed, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: the one of the smallest id, and any one of those that share it.
+
+    * Rows are told apart by their number, not by their id: repeated rows and shared ids are rows like any others. Rows
+      without an id come last: one stays only if no row of its group has an id. Ids may be of any type with an order.
+    * Null and empty texts, and those without words, are one group.
+    * The columns are those of ``docs``. An empty table gives an empty table.
+    """
+    number = marker(docs, "row")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(number).alias("row"), F.col(text).alias("text")), "row", "text", size)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    ids = numbered.select(F.col(number).alias("row"), F.col(doc_id).alias("id"))
+    grouped = found.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    kept = grouped.groupBy("component_id").agg(F.min(order)["row"].alias(number)).select(number)
+    return numbered.join(kept, number, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+
+
 def fingerprint_text(fingerprint: Column) -> Column:
     """Sixteen lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
