@@ -15,7 +15,7 @@ from tablepact.llm.line_dedup import dedup_lines
 from tablepact.llm.packing import pack
 from tablepact.llm.queries import TOKENIZER
 from tablepact.llm.shared import stored, table
-from tablepact.llm.similar import without_near_copies
+from tablepact.llm.simhash import without_near_duplicates
 
 #: A document whose likeliest language has a smaller share is rejected.
 SURE_OF_LANGUAGE = 0.5
@@ -34,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of five-word Jaccard similarity 0.8 or more, of the smallest id."""
-    return without_near_copies(docs)
+    """One row of each SimHash group, of the smallest id: three-word shingles, links at two differing bits or fewer."""
+    return without_near_duplicates(docs, size=3)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
