@@ -159,7 +159,8 @@ def near_embeddings(
 
     n_links counts the other vectors found at a cosine of at least ``threshold``, component_id is the smallest id
     reachable by such links, itself included, and kept marks the row that has that id. Centres are
-    fitted on at most ``sample_size`` distinct vectors, chosen by hash; all vectors are compared.
+    fitted on at most ``sample_size`` distinct vectors, chosen by hash; all vectors are compared. With a ``cell_size`` above
+    the number of vectors there is one cell, and all pairs are compared in blocks: exact, at a cost that grows with the square.
 
     * Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, not even their equals.
     * Shorter vectors count as filled up with zeros.

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from tablepact.llm.embedding_dedup import near_embeddings
 from tablepact.llm.queries import QUERIES
@@ -66,6 +67,28 @@ def test_many_cells_and_blocks(spark, monkeypatch):
     assert found[0] == wanted[0] and found[449] == wanted[449]
 
 
+def crowd(seed=2, groups=700, size=16):
+    """Groups of four vectors whose cosines lie on both sides of the threshold: thousands of links, many between cells."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(groups, size))
+    noise = rng.uniform(0.1, 0.5, (4, groups, 1)) * rng.normal(size=(4, groups, size))
+    return {i: v.tolist() for i, v in enumerate((base + noise).reshape(-1, size).astype(np.float32))}
+
+
+@pytest.mark.parametrize(("cell_size", "recall"), [(44, 0.95), (5, 0.9), (1 << 40, 1.0)])
+def test_recall_where_there_is_something_to_find(spark, cell_size, recall):
+    """64 cells, 512 cells, and one cell, which compares all pairs in blocks and is exact."""
+    vectors = crowd()
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    found, wanted = answers(near_embeddings(df, cell_size=cell_size, max_cells=512)), brute(vectors)
+    links = sum(n for n, _ in wanted.values())
+    assert links > 2000 and len({c for _, c in wanted.values()}) < len(vectors) - 500
+    assert all(found[i][0] <= wanted[i][0] for i in wanted)
+    assert sum(n for n, _ in found.values()) >= recall * links
+    if recall == 1:
+        assert found == wanted
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = dict(enumerate([
