@@ -46,6 +46,21 @@ def code_points(text: Column) -> Column:
     return F.length(text).cast("long")
 
 
+def placed(matches: Column, measure: Callable[[Column], Column] = code_points) -> Column:
+    """Places of a struct of the matches ``found`` and the texts ``between`` them, as ``located`` gives them."""
+    gaps = F.slice(matches["between"], F.lit(1), F.size(matches["found"]))
+    ends = running_sums(F.zip_with(gaps, matches["found"], lambda g, m: measure(g) + measure(m)))
+    after = F.slice(matches["between"], F.lit(2), F.size(matches["found"]))
+    joined = F.arrays_zip(ends.alias("end"), matches["found"].alias("found"), gaps.alias("before"), after.alias("after"))
+    return F.transform(
+        joined,
+        lambda j: F.struct(
+            (j["end"] - measure(j["found"])).alias("start"), j["end"].alias("end"), j["found"].alias("found"),
+            j["before"].alias("before"), j["after"].alias("after"),
+        ),
+    )
+
+
 def located(text: Column, pattern: Column, measure: Callable[[Column], Column] = code_points) -> Column:
     """All leftmost matches that do not overlap: array of struct<start, end, found, before, after>.
 
@@ -54,21 +69,7 @@ def located(text: Column, pattern: Column, measure: Callable[[Column], Column] =
     """
     nothing = F.expr("cast(array() as array<struct<start:bigint,end:bigint,found:string,before:string,after:string>>)")
 
-    def placed(t: Column) -> Column:
-        n = F.size(t["found"])
-        gaps = F.slice(t["between"], F.lit(1), n)
-        ends = running_sums(F.zip_with(gaps, t["found"], lambda g, m: measure(g) + measure(m)))
-        after = F.slice(t["between"], F.lit(2), n)
-        joined = F.arrays_zip(ends.alias("end"), t["found"].alias("found"), gaps.alias("before"), after.alias("after"))
-        return F.transform(
-            joined,
-            lambda j: F.struct(
-                (j["end"] - measure(j["found"])).alias("start"), j["end"].alias("end"), j["found"].alias("found"),
-                j["before"].alias("before"), j["after"].alias("after"),
-            ),
-        )
-
     matches = F.struct(
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")
     )
-    return let(matches, lambda t: F.when(F.size(t["found"]) > 0, placed(t)).otherwise(nothing))
+    return let(matches, lambda t: F.when(F.size(t["found"]) > 0, placed(t, measure)).otherwise(nothing))

@@ -2,7 +2,11 @@
 
 import re
 
-from tablepact.llm.licenses import BASE_PHRASES, rules, scan_licenses
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from tablepact.llm.licenses import BASE_PHRASES, STRETCH, all_keys, first_keys, gate, key_pattern, rules, scan_licenses
 from tablepact.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -15,7 +19,7 @@ def words_of(text):
 
 def places(words):
     out = []
-    for phrase, label in BASE_PHRASES.items():
+    for phrase, (label, *_) in BASE_PHRASES.items():
         p = phrase.split()
         out += [(i, label) for i in range(len(words)) if words[i : i + len(p)] == p]
     return out
@@ -95,3 +99,42 @@ def test_suppression_against_all_pairs(spark):
 
     wanted = [f for f in row.found if not any(stronger(f, g) for g in row.found)]
     assert sorted(map(tuple, row.kept)) == sorted(map(tuple, wanted)) and 10 < len(wanted) < len(row.found)
+
+
+@pytest.mark.parametrize("start", range(0, len(rules()), 40))
+def test_whatever_a_rule_matches_passes_its_gate(start):
+    every = rules()
+    first, keys = re.compile(key_pattern(first_keys(every))), re.compile(key_pattern(all_keys(every)))
+    for rule in every[start : start + 40]:
+        pattern = rule.pattern.replace("[^ ]+", "[a-z0-9]{1,9}")
+
+        @settings(max_examples=12, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(pattern, fullmatch=True))
+        def holds(found):
+            text = f" {found} "
+            assert first.search(text), (rule, found)
+            held = set(keys.findall(text))
+            assert all(held & set(group) for group in gate(rule, every)), (rule, found, held)
+            assert len(found.split()) < STRETCH
+
+        holds()
+
+
+def test_all_detections_of_all_rules(spark):
+    """Without any gate: every rule is searched for in every text."""
+    texts = [
+        "licensed under the lesser general public license version 2 1 license and the gplv3 license or gpl 2 license license",
+        "spdx license identifier mpl 2 0 spdx license identifier ecl 2 0 published under the eclipse public license 2 0",
+        "under cc0 license licenses cc by sa 4 0 creative commons attribution noncommercial sharealike 4 0 cc by nc",
+        "mit license mit license mit license under the mit license agreement openrail license open rail m license",
+        "you just do what the fuck you want to copyright c 2024 all rights reserved the software shall be used for good not evil",
+    ]
+    texts.append(" ".join(texts) * 20)
+    for row in scan_licenses(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        line = f" {' '.join(words_of(row.text))} "
+        wanted = []
+        for rule in rules():
+            for m in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", line):
+                first = line[: m.start()].count(" ") - 1
+                wanted.append((rule.label, rule.priority, rule.weight, rule.base, first, first + m.group().count(" ") + 1))
+        assert sorted(map(tuple, row.found)) == sorted(wanted) and len(wanted) > 3
