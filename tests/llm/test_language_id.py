@@ -1,6 +1,8 @@
 """Language ID by held-out accuracy, and defined results for odd texts."""
 
+import math
 import zlib
+from collections import Counter
 
 from tablepact.llm import language_id
 from tablepact.llm.language_id import UNDETERMINED, gram_counts, held_out, identify_languages, learn_from_documents, learn_languages
@@ -46,3 +48,39 @@ def test_long_texts_are_counted_in_pieces(monkeypatch):
     whole = gram_counts(text, 512)
     monkeypatch.setattr(language_id, "CHUNK", 97)
     assert (gram_counts(text, 512) == whole).all() and whole.sum() == 3 * 5000 - 3
+
+
+def grams_one_by_one(text, buckets):
+    counts = Counter()
+    text = text.lower()
+    for start in range(len(text)):
+        mixed = 0
+        for size, char in enumerate(text[start : start + 3], 1):
+            mixed = (mixed * 0x100000001B3 + ord(char) + size) % 2**64
+            counts[(mixed * 0x9E3779B97F4A7C15 % 2**64 >> 40) % buckets] += 1
+    return counts
+
+
+def test_query_against_naive_bayes_gram_by_gram(spark):
+    folder, buckets = "/root/testdata/sf0.001", 1 << 14
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    grams = {r.doc_id: grams_one_by_one(r.text or "", buckets) for r in docs}
+    learned = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            learned.setdefault(r.lang, Counter()).update(grams[r.doc_id])
+    totals = {lang: sum(c.values()) + 0.5 * buckets for lang, c in learned.items()}
+    for row in QUERIES["op4_language_id"](spark, folder).collect():
+        own = grams[row.doc_id]
+        if not own:
+            assert (row.lang_pred, row.score) == (UNDETERMINED, 0.0)
+            continue
+        root = math.sqrt(sum(own.values()))
+        likely = {
+            lang: sum(n * math.log((c[g] + 0.5) / totals[lang]) for g, n in own.items()) / root for lang, c in learned.items()
+        }
+        best = max(sorted(likely), key=likely.get)
+        share = 1 / sum(math.exp(x - likely[best]) for x in likely.values())
+        # Probabilities are kept in single precision.
+        near = {lang for lang, x in likely.items() if x > likely[best] - 1e-3}
+        assert row.lang_pred in near and abs(row.score - share) < 1e-3, (row, likely)
