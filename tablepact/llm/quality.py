@@ -27,6 +27,9 @@ from tablepact.llm.shared import arrow_pass, rows, stored, utf8
 #: Features of a view.
 BUCKETS = 1 << 12
 
+#: Digits of log-odds that count.
+DIGITS = 9
+
 #: Letters as a and A, digits as 0, all beyond ASCII as a letter; the rest as it is.
 KINDS = bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256)
@@ -91,7 +94,10 @@ class View:
         ends = np.cumsum(np.r_[0, self.weights[features.flatten().to_numpy()]])
         offsets = features.offsets.to_numpy() - features.offsets[0].as_py()
         sizes = np.diff(offsets)
-        return self.prior + (ends[offsets[1:]] - ends[offsets[:-1]]) / np.sqrt(np.maximum(1, sizes))
+        odds = self.prior + (ends[offsets[1:]] - ends[offsets[:-1]]) / np.sqrt(np.maximum(1, sizes))
+        # Sums run over a whole batch, so their last digits depend on a document's neighbours; a score just at a
+        # threshold must not.
+        return np.round(odds, DIGITS)
 
 
 def extract(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, declared: str) -> DataFrame:
@@ -113,7 +119,7 @@ def extract(docs: DataFrame, doc_id: str, text: str, source: str, lang: str, dec
 
 def _counts(featured: DataFrame, models: dict[str, View] | None, sure: float) -> dict[str, View]:
     """Both views trained on the labelled documents, and on those of which the other view of ``models`` is sure."""
-    limit = math.log(sure / (1 - sure))
+    limit = round(math.log(sure / (1 - sure)), DIGITS)
 
     def run(batches):
         sums = {v: np.zeros((2, BUCKETS + 1), np.int64) for v in VIEWS}

@@ -1,6 +1,9 @@
 """Co-trained quality scores: accuracy on labels that training never saw, and defined results for odd tables."""
 
-from tablepact.llm.quality import score_quality
+import math
+import random
+
+from tablepact.llm.quality import VIEWS, _counts, score_quality
 from tablepact.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.1"
@@ -31,3 +34,58 @@ def test_odd_rows(spark):
     assert len(unlabelled) == 100 and all(r.kept and r.quality_score == 0.5 for r in unlabelled)
     assert score_quality(docs.where("false"), marks).count() == 0
     assert score_quality(docs, marks.where("false")).count() == 100
+
+
+def counted_one_by_one(rows, models, sure):
+    """Log-odds by view and feature, labels given or lent by the other view, document by document."""
+    out, lent = {}, 0
+    for view, other in (("content", "metadata"), ("metadata", "content")):
+        sums, sizes = [{}, {}], [0, 0]
+        for row in rows:
+            label = row["label"]
+            if row["fold"] == 0:
+                continue
+            if label is None and models:
+                weights, prior = models[other]
+                score = prior + sum(weights(f) for f in row[other]) / math.sqrt(max(1, len(row[other])))
+                score, limit = round(score, 9), round(math.log(sure / (1 - sure)), 9)
+                label = 1 if score >= limit else 0 if score <= -limit else None
+                lent += label is not None
+            if label is not None:
+                sizes[label] += 1
+                for f in row[view]:
+                    sums[label][f] = sums[label].get(f, 0) + 1
+
+        def weights(f, sums=sums, sizes=sizes):
+            good, bad = ((sums[c].get(f, 0) + 0.5) / (sizes[c] + 1) for c in (1, 0))
+            return math.log(good / bad)
+
+        out[view] = (weights, math.log((sizes[1] + 1) / (sizes[0] + 1)))
+    return out, lent
+
+
+def test_rounds_exchange_labels_and_equal_plain_counting(spark):
+    draw = random.Random(7)
+    rows = []
+    for i in range(600):
+        good = draw.random() < 0.6
+        features = {v: sorted({draw.randrange(0, 40) + (0 if good else 25) for _ in range(draw.randrange(0, 9))}) for v in VIEWS}
+        label = int(good) if draw.random() < 0.15 else None
+        rows.append({"doc_id": i, "label": label, "fold": draw.randrange(5), **features})
+    shape = "doc_id long, label int, fold int, content array<int>, metadata array<int>"
+    featured = spark.createDataFrame([tuple(r[c] for c in ("doc_id", "label", "fold", *VIEWS)) for r in rows], shape).repartition(3)
+    models = plain = None
+    seen, sure = [], 0.9
+    for _ in range(3):
+        models = _counts(featured, models, sure)
+        plain, lent = counted_one_by_one(rows, plain, sure)
+        for view in VIEWS:
+            assert abs(models[view].prior - plain[view][1]) < 1e-9
+            assert all(abs(models[view].weights[f] - plain[view][0](f)) < 1e-9 for f in range(70))
+        seen.append((lent, [models[v].weights.copy() for v in VIEWS]))
+    # Some scores of this table lie just at the limit; the layout must not decide on them.
+    first = _counts(featured, None, sure)
+    other = [_counts(featured.repartition(n), first, sure) for n in (1, 7)]
+    assert all((o[v].weights == seen[1][1][i]).all() for o in other for i, v in enumerate(VIEWS))
+    assert seen[0][0] == 0 and seen[1][0] > 50 and seen[2][0] > 50
+    assert all(abs(a - b).max() > 0.1 for a, b in zip(seen[0][1], seen[1][1]))
