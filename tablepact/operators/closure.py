@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablepact.operators.catalog import port_references, referenced
@@ -30,21 +30,19 @@ def schema_closure(catalog: Catalog) -> DataFrame:
 
 
 #: Steps from the roots that are walked one at a time; beyond them, paths are doubled.
-FRONTIER = 32
+FRONTIER = 4
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """product, root, component: what can be reached from each root, itself included.
 
     A round joins the frontier, what the round before has found, to the edges, and keeps what is new: the work is that of the
-    paths that roots have, whatever else the graph holds, and rounds are as many as the longest shortest path has steps. What
-    lies more than ``FRONTIER`` steps away is found by doubling the paths from there on. Each round is a table in shared storage, which
-    cuts the lineage and survives the loss of executors; its row count is observed while it is
-    written, at no extra pass.
+    paths that roots have, whatever else the graph holds. What lies more than ``FRONTIER`` steps away is found by doubling
+    steps from there on, so rounds stay few in deep graphs. Each round is a table in shared storage, which cuts the
+    lineage and survives the loss of executors; its row count is observed while it is written, at no extra pass.
     """
     folder = scratch_path(roots.sparkSession, "closure")
-    steps = edges.select("product", "component", "next").distinct()
-    steps, _ = _stored(steps, f"{folder}/steps")
+    steps, _ = _written(edges.select("product", "component", "next").distinct(), f"{folder}/steps")
     frontier = roots.select("product", "root", F.col("root").alias("component")).distinct()
     known = frontier
     for number in range(1, FRONTIER + 1):
@@ -59,25 +57,30 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return known.unionAll(further.select("product", F.col("start").alias("root"), "component")).distinct()
 
 
-def _doubled(roots: DataFrame, paths: DataFrame, folder: str) -> DataFrame:
-    """As ``reachable``, by joining all known paths to each other: rounds are as many as the longest shortest path has binary digits, and one more."""
-    known, found, done = -1, 0, 0
+def _doubled(roots: DataFrame, steps: DataFrame, folder: str) -> DataFrame:
+    """As ``reachable``, in as many rounds as the longest shortest path has binary digits, and one or two more.
+
+    A round knows what roots reach in fewer than n steps, and all walks of exactly n steps. Both joined to the walks give
+    the same for 2n. A path is put together from one walk per binary digit of its length, not from every way to cut it.
+    """
+    started = roots.select(F.lit(True).alias("rooted"), "product", F.col("root").alias("start"), F.col("root").alias("component"))
+    walks = steps.select(F.lit(False).alias("rooted"), "product", F.col("component").alias("start"), F.col("next").alias("component"))
+    paths, known, found, done = started.unionAll(walks), -1, 0, 0
     while found != known:
         known, done = found, done + 1
-        onward = paths.select("product", F.col("component").alias("next"), F.col("next").alias("end"))
-        joined = paths.join(onward, ["product", "next"]).select("product", "component", F.col("end").alias("next"))
-        paths, found = _stored(paths.unionAll(joined).distinct(), f"{folder}/round-{done}")
-    reached = roots.join(paths.withColumnRenamed("component", "root"), ["product", "root"])
-    return reached.select("product", "root", F.col("next").alias("component"))
+        onward = paths.where(~F.col("rooted")).select("product", F.col("start").alias("component"), F.col("component").alias("end"))
+        longer = paths.join(onward, ["product", "component"]).select("rooted", "product", "start", F.col("end").alias("component"))
+        paths, found = _stored(longer.unionAll(paths.where("rooted")).distinct(), f"{folder}/round-{done}")
+    return paths.where("rooted").select("product", F.col("start").alias("root"), "component")
 
 
-def _stored(df: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """A table of all known paths, written and read back, with its row count."""
-    return _written(df, path)
+def _stored(paths: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The table of a round, written and read back, with the number of paths from roots."""
+    return _written(paths, path, F.col("rooted"))
 
 
-def _written(df: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """Write a table and read it back, with its row count."""
+def _written(df: DataFrame, path: str, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """Write a table and read it back, with the number of its rows that are ``counted``."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    df.observe(seen, F.count_if(F.lit(True) if counted is None else counted).alias("rows")).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
