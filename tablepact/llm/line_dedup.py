@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablepact.llm.shared import arrow_pass, marker, rows, utf8, whole_numbers
+from tablepact.llm.shared import arrow_pass, marker, rows, stored, utf8, whole_numbers
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -165,6 +165,8 @@ def lost_lines(docs: DataFrame, doc_id: str, text: str, min_length: int, filter_
     found = arrow_pass(
         docs.select(F.col(doc_id).cast("long"), text), probe, "key binary, least long, most long, docs array<long>"
     )
+    # Stored, since it is read twice: for the keepers, and for the documents that lose.
+    found = stored(found, "line_holders", "zstd")
     # One row per key and batch: a line that a third of the documents holds is no hot key here.
     keeper = found.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
     lost = (
