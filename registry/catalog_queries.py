@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registry.common import Query, table
+from registry.common import Query, dealt, table
 from tablepact.operators import catalog as C
 from tablepact.operators.closure import schema_closure
 from tablepact.operators.references import broken_references, reached_files
@@ -126,13 +126,13 @@ def rendered(template: str, values: dict[str, str]):
 
 
 def corpus(spark, folder) -> DataFrame:
-    customers = table(spark, folder, "customer")
+    customers = dealt(table(spark, folder, "customer"))
     return customers.select(F.expr(PRODUCT).alias("product"), rendered(SPEC, SPEC_VALUES).alias("spec"))
 
 
 def file_corpus(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Specs of parts, and the schema files they refer to."""
-    parts = table(spark, folder, "part")
+    parts = dealt(table(spark, folder, "part"))
     product = F.expr(PART).alias("product")
     files = [
         parts.where(there).select(product, F.lit(path).alias("path"), rendered(text, FILE_VALUES).alias("schema"))
@@ -146,7 +146,7 @@ def catalog(spark, folder) -> Catalog:
 
 
 def yaml_catalog(spark, folder) -> Catalog:
-    suppliers = table(spark, folder, "supplier")
+    suppliers = dealt(table(spark, folder, "supplier"))
     name = F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string"))
     specs = suppliers.select(name.alias("product"), rendered(YAML_SPEC, YAML_VALUES).alias("spec"))
     return parse_catalog(specs, fmt="yaml")

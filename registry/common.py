@@ -20,6 +20,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the tasks of a shuffle.
+
+    For tables whose rows become far more text and work than their bytes in a file: few bytes, or one row group, are read by few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @dataclass(frozen=True)
 class Source:
     """Columns derived from one whole table, by expressions both Spark and the SQL side read alike."""

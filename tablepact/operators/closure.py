@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablepact.operators.catalog import port_references, referenced
-from tablepact.sources.scratch import scratch_path
+from tablepact.sources.scratch import scratch_path, stored
 from tablepact.sources.specs import Catalog
 
 def component_edges(catalog: Catalog) -> DataFrame:
@@ -30,7 +30,7 @@ def schema_closure(catalog: Catalog) -> DataFrame:
 
 
 #: Steps from the roots that are walked one at a time; beyond them, paths are doubled.
-FRONTIER = 4
+FRONTIER = 6
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """
     folder = scratch_path(roots.sparkSession, "closure")
     steps, _ = _written(edges.select("product", "component", "next").distinct(), f"{folder}/steps")
-    frontier = roots.select("product", "root", F.col("root").alias("component")).distinct()
+    frontier = stored(roots.select("product", "root", F.col("root").alias("component")).distinct(), "roots")
     known = frontier
     for number in range(1, FRONTIER + 1):
         onward = frontier.join(steps, ["product", "component"]).select("product", "root", F.col("next").alias("component")).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablepact.operators.catalog import dangling_connections, local_definitions, read_references
 from tablepact.operators.closure import reachable
-from tablepact.sources.scratch import scratch_path
+from tablepact.sources.scratch import stored
 from tablepact.sources.specs import Catalog, yaml_as_json
 
 PORT, COMPONENT, FILE, LOCAL, INSIDE = "port", "component", "file", "local", "inside"
@@ -30,8 +30,9 @@ def edges_of(schema: str | None, base: str) -> list[tuple[str, str]]:
 
     Files go by their path from the root; a reference to a part of a file is one to the file, and one of kind ``inside``.
     """
-    found = dict.fromkeys(e for e in read_references(schema) if e[0] != FILE)
-    for kind, target in read_references(schema, parts=True):
+    references = read_references(schema, parts=True)
+    found = dict.fromkeys(e for e in references if e[0] != FILE)
+    for kind, target in references:
         if kind == FILE:
             path, mark, inside = target.partition("#")
             path = posixpath.normpath(posixpath.join(posixpath.dirname(base), path))
@@ -46,10 +47,15 @@ def schema_edges(catalog: Catalog, files: DataFrame | None = None) -> DataFrame:
 
     Texts without the word are not parsed; the others are, once, and the rows are a table in shared storage.
     """
+    return _edges(catalog, readable_files(files) if files is not None and "schema" in files.columns else None)
+
+
+def _edges(catalog: Catalog, texts: DataFrame | None) -> DataFrame:
+    """As ``schema_edges``, from the texts of the files as JSON."""
     named = lambda df, kind, name: df.select("product", F.lit(kind).alias("owner_kind"), F.col(name).alias("owner"), F.col("schema"))
     parts = [named(catalog.ports, PORT, "name"), named(catalog.components, COMPONENT, "name")]
-    if files is not None and "schema" in files.columns:
-        parts.append(named(readable_files(files), FILE, "path"))
+    if texts is not None:
+        parts.append(named(texts, FILE, "path"))
     schemas = reduce(DataFrame.unionByName, parts).where(F.contains("schema", F.lit("$ref")))
 
     def read(texts: pd.Series, bases: pd.Series) -> pd.Series:
@@ -57,9 +63,7 @@ def schema_edges(catalog: Catalog, files: DataFrame | None = None) -> DataFrame:
 
     base = F.when(F.col("owner_kind") == FILE, F.col("owner")).otherwise("")
     edges = schemas.select("product", "owner_kind", "owner", F.inline(F.pandas_udf(read, EDGE_TYPE)(F.col("schema"), base)))
-    path = scratch_path(edges.sparkSession, "references")
-    edges.write.parquet(path)
-    return edges.sparkSession.read.schema(edges.schema).parquet(path)
+    return stored(edges, "references")
 
 
 def readable_files(files: DataFrame) -> DataFrame:
@@ -91,8 +95,9 @@ def schema_uses(edges: DataFrame) -> DataFrame:
 
 def reached_files(catalog: Catalog, files: DataFrame) -> DataFrame:
     """The rows of ``files`` that some port of their product reaches, by normal paths and as JSON text."""
-    used = schema_uses(schema_edges(catalog, files)).where(F.col("kind") == FILE).select("product", F.col("target").alias("path")).distinct()
-    return readable_files(files).join(used, ["product", "path"], "left_semi")
+    texts = stored(readable_files(files), "files")
+    used = schema_uses(_edges(catalog, texts)).where(F.col("kind") == FILE).select("product", F.col("target").alias("path")).distinct()
+    return texts.join(used, ["product", "path"], "left_semi")
 
 
 def broken_references(catalog: Catalog, files: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER_SETTING = "spark.checkpoint.dir"
 
@@ -20,6 +20,13 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table under the shared folder: what is read from it more than once is worked out once."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def use_local_folder(spark: SparkSession, folder: str) -> None:
     """Name a folder of this machine for intermediate tables, where a local session names none."""
     named = spark.conf.get(SHARED_FOLDER_SETTING, None) or spark.conf.get(LOCAL_FOLDER_SETTING, None)
