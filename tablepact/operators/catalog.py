@@ -235,21 +235,23 @@ def dangling_references(
     path) are the schema files at hand; without it references to files are not judged. What shared schemas and files
     name themselves is judged by :func:`~tablepact.operators.references.broken_references`.
     """
-    references = port_references(catalog) if references is None else references.distinct()
     connections = dangling_connections(catalog).withColumn("reason", F.lit("connection not found"))
-    known = catalog.components.select("product", F.col("name").alias("component"))
-    schemas = references.join(known, ["product", "component"], "left_anti").select(
-        "product", "port", F.col("component").alias("target"), F.lit("schema not found").alias("reason")
-    )
     own = schema_references(catalog.ports, "port")
-    local = own.where("kind = 'local'").select("product", "port", "target", F.lit("definition not found").alias("reason"))
-    found = connections.unionByName(schemas).unionByName(local)
+    if references is None:
+        wanted = own.where("kind in ('component', 'local')")
+    else:
+        further = references.distinct().select("product", "port", F.lit("component").alias("kind"), F.col("component").alias("target"))
+        wanted = further.unionByName(own.where("kind = 'local'"))
+    known = catalog.components.select("product", F.lit("component").alias("kind"), F.col("name").alias("target"))
+    reason = F.when(F.col("kind") == "component", "schema not found").otherwise("definition not found")
+    lost = wanted.join(known, ["product", "kind", "target"], "left_anti")
+    found = connections.unionByName(lost.select("product", "port", "target", reason.alias("reason")))
     if files is None:
         return found
     held = files.select("product", F.col("path").alias("target"))
     named = own.where("kind = 'file'").withColumn("target", F.regexp_replace("target", r"^(?:\./)+", ""))
-    lost = named.join(held, ["product", "target"], "left_anti")
-    return found.unionByName(lost.select("product", "port", "target", F.lit("file not found").alias("reason")))
+    gone = named.join(held, ["product", "target"], "left_anti")
+    return found.unionByName(gone.select("product", "port", "target", F.lit("file not found").alias("reason")))
 
 
 def local_definitions(schemas: DataFrame) -> DataFrame:

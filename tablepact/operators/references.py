@@ -107,8 +107,9 @@ def broken_references(catalog: Catalog, files: DataFrame | None = None) -> DataF
     parts of files. Without the texts of the files (a column ``schema``) what they refer to is not judged. A local
     definition counts as there if the schema that names it has it, under either spelling, or the port has, or a shared schema is called so.
     """
-    edges = schema_edges(catalog, files)
-    uses = schema_uses(edges)
+    texts = stored(readable_files(files), "files") if files is not None and "schema" in files.columns else None
+    edges = _edges(catalog, texts)
+    uses = stored(schema_uses(edges), "uses")
     row = lambda df, reason: df.select("product", "port", "target", F.lit(reason).alias("reason"))
     names = catalog.components.select("product", F.col("name").alias("target"))
     lost = uses.where(F.col("kind") == COMPONENT).join(names, ["product", "target"], "left_anti")
@@ -129,11 +130,10 @@ def broken_references(catalog: Catalog, files: DataFrame | None = None) -> DataF
         return found
     paths = files.select("product", _normal(F.col("path")).alias("target"))
     found = found.unionByName(row(uses.where(F.col("kind") == FILE).join(paths, ["product", "target"], "left_anti"), "file not found"))
-    if "schema" not in files.columns:
+    if texts is None:
         return found
     parts = judged.where(F.col("kind") == INSIDE)
-    texts = readable_files(files).withColumnRenamed("path", "file")
-    asked = parts.withColumn("file", F.substring_index("target", "#", 1)).join(texts, ["product", "file"])
+    asked = parts.withColumn("file", F.substring_index("target", "#", 1)).join(texts.withColumnRenamed("path", "file"), ["product", "file"])
     has = F.pandas_udf(lambda text, ref: pd.Series([holds(*pair) for pair in zip(text, ref)], dtype=bool), "boolean")
     return found.unionByName(row(asked.where(~has(F.col("schema"), F.col("target"))), "definition not found"))
 

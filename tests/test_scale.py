@@ -51,3 +51,14 @@ def test_schema_files_are_read_once(spark, folder):
     boxes, codes = sum(n % 7 > 0 for n in range(400)), sum(n % 11 > 0 for n in range(400))
     # A box is reached by goods whatever else is there; codes by the boxes' tag.
     assert paths == {"schemas/goods.json": 400, "schemas/box.json": boxes, "schemas/codes.yaml": codes}
+
+
+def test_breaks_read_each_schema_once(spark, folder):
+    """What parses schemas is left in no plan but for the references of ports, once; ``holds`` judges parts of files."""
+    found = Q.breaks(spark, folder)
+    assert plan(found).count("ArrowEvalPython [") == 2
+    assert found.count() == sum(
+        (n % 5 == 0) + (n % 7 == 0)  # customers
+        + (n % 7 == 0) + (n % 11 == 0 and n % 7 > 0) + (n % 11 == 0) + (n % 13 == 0 and n % 11 > 0) + (n % 7 == 0 and n % 11 > 0) + (n % 5 == 0)
+        for n in range(400)
+    )
