@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tablepact.operators.catalog import port_references, referenced
@@ -21,16 +21,18 @@ def schema_closure(catalog: Catalog) -> DataFrame:
     schema named by very many ports costs no more than one named by a single port; schemas that no port reaches cost nothing
     but the reading of their text.
     """
-    references = port_references(catalog)
-    roots = references.select("product", F.col("component").alias("root")).distinct()
-    reached = reachable(roots, component_edges(catalog))
-    return references.withColumnRenamed("component", "root").join(reached, ["product", "root"]).select(
-        "product", "port", "component"
-    ).distinct()
+    named = F.count(F.lit(1)).over(Window.partitionBy("product", "port"))
+    references = port_references(catalog).distinct().select("product", "port", F.col("component").alias("root"), (named == 1).alias("alone"))
+    references = stored(references, "references")
+    reached = reachable(references.select("product", "root").distinct(), component_edges(catalog))
+    used = references.join(reached, ["product", "root"])
+    # What a root reaches is distinct; only ports that name several can reach a schema twice.
+    rows = lambda which: used.where(which).select("product", "port", "component")
+    return rows("alone").unionAll(rows("not alone").distinct())
 
 
-#: Steps from the roots that are walked one at a time; beyond them, paths are doubled.
-FRONTIER = 6
+#: Steps from the roots that are walked one at a time, and as many again while little is left to walk; beyond them, paths are doubled.
+FRONTIER = 4
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,25 +40,42 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
     A round joins the frontier, what the round before has found, to the edges, and keeps what is new: the work is that of the
     paths that roots have, whatever else the graph holds. What lies more than ``FRONTIER`` steps away is found by doubling
-    steps from there on, so rounds stay few in deep graphs. Each round is a table in shared storage, which cuts the
+    steps from there on, so rounds stay few in deep graphs; but doubling takes every edge of the graph, so a frontier that has
+    fallen to half of its most is walked on for as many steps. Each round is a table in shared storage, which cuts the
     lineage and survives the loss of executors; its row count is observed while it is written, at no extra pass.
     """
     folder = scratch_path(roots.sparkSession, "closure")
     steps, _ = _written(edges.select("product", "component", "next").distinct(), f"{folder}/steps")
     frontier = stored(roots.select("product", "root", F.col("root").alias("component")).distinct(), "roots")
     known = frontier
-    for number in range(1, FRONTIER + 1):
+    number, most = 0, 0
+    while number < FRONTIER or (number < 2 * FRONTIER and 2 * found <= most):
+        number += 1
         onward = frontier.join(steps, ["product", "component"]).select("product", "root", F.col("next").alias("component")).distinct()
         fresh = onward.join(known, ["product", "root", "component"], "left_anti")
         frontier, found = _written(fresh, f"{folder}/frontier-{number}")
         if not found:
             return known
+        most = max(most, found)
         known = known.unionAll(frontier)
-    beyond = _doubled(frontier.select("product", F.col("component").alias("root")).distinct(), steps, folder)
+    starts = stored(frontier.select("product", F.col("component").alias("root")).distinct(), "starts")
+    beyond = _doubled(starts, stored(_live(starts, steps), "live"), folder)
     further = frontier.withColumnRenamed("root", "start").withColumnRenamed("component", "root").join(beyond, ["product", "root"])
     return known.unionAll(further.select("product", F.col("start").alias("root"), "component")).distinct()
 
 
+def _live(roots: DataFrame, steps: DataFrame) -> DataFrame:
+    """The steps without most of those that no walk from the roots can take.
+
+    A pass keeps the steps that begin at a root or where a step kept so far ends; what roots reach always stays.
+    """
+    live, begun = steps, roots.select("product", F.col("root").alias("component"))
+    for _ in range(FRONTIER):
+        ends = live.select("product", F.col("next").alias("component"))
+        live = steps.join(begun.unionAll(ends).distinct(), ["product", "component"], "left_semi")
+    return live
+
+
 def _doubled(roots: DataFrame, steps: DataFrame, folder: str) -> DataFrame:
     """As ``reachable``, in as many rounds as the longest shortest path has binary digits, and one or two more.
 
