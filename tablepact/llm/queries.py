@@ -74,9 +74,15 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: Words of the passages that op5 tells of beside what it removes: over 50.
+OP5_PASSAGE = 51
+
+
 def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    done = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    done = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), passage=OP5_PASSAGE)
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words"
+    )
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tablepact.llm import repeats
+from tablepact.llm import passages, repeats
 from tablepact.llm.queries import QUERIES
 from tablepact.llm.repeats import least_places, longest_factors, remove_repeats, repeated_windows, suffix_order
 
@@ -118,3 +118,87 @@ def test_hot_copies(spark, monkeypatch, keep_first):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, length=100, keep_first=keep_first).collect()}
     assert got == dict(enumerate(brute(texts, 100, keep_first)))
+
+
+def brute_passages(texts, size):
+    """Per text the passages of ``size`` words that another text holds, overlapping ones as one, and their words."""
+    words = [(t or "").encode().split() for t in texts]
+    holders = {}
+    for d, own in enumerate(words):
+        for i in range(len(own) - size + 1):
+            holders.setdefault(tuple(own[i : i + size]), set()).add(d)
+    out = []
+    for own in words:
+        places = [i for i in range(len(own) - size + 1) if len(holders[tuple(own[i : i + size])]) > 1]
+        runs = sum(1 for n, i in enumerate(places) if not n or places[n - 1] + size <= i)
+        out.append((runs, len({j for i in places for j in range(i, i + size)})))
+    return out
+
+
+def worded(seed):
+    """Texts with passages of others, edited, in other white space, more than once in one text, and many times."""
+    rng = np.random.default_rng(seed)
+    prose = lambda n: ["".join(map(chr, rng.integers(97, 123, int(k)))) for k in rng.integers(1, 9, n)]
+    spaced = lambda ws: "".join(w + " \n\t\r\x0b\x0c"[int(k)] for w, k in zip(ws, rng.integers(0, 6, len(ws))))
+    out = [None, "", " \n", "é" * 30, "a " * 400, "a " * 300, "a b " * 100, " ".join(prose(11)), "x" * 9000 + " " + " ".join(prose(30))]
+    for k in (10, 11, 12, 13, 25, 60):
+        passage = prose(k)
+        out += [spaced(prose(20) + passage + prose(20)), spaced(passage + prose(3) + passage), "  " + spaced(prose(7) + passage)]
+    alone = prose(30)
+    out.append(" ".join(alone + prose(5) + alone))
+    base, often = prose(200), prose(15)
+    for _ in range(25):
+        i = int(rng.integers(200))
+        out += [spaced(base[:i] + prose(1) + base[i + 1 :]), spaced(prose(int(rng.integers(20))) + often + prose(9))]
+    # A run with both neighbours in one text twice, and in another without them.
+    one, left, right = prose(20), prose(30), prose(30)
+    out += [" ".join(left + one + right + prose(4) + left + one + right), " ".join(prose(9) + one + prose(9))]
+    return out + [out[-4]] * 8
+
+
+@pytest.mark.parametrize("size, hot, group", [(5, repeats.HOT, repeats.GROUP), (12, repeats.HOT, 2), (5, 3, 0), (12, 3, repeats.GROUP)])
+def test_passages(spark, monkeypatch, size, hot, group):
+    """Told by words, whatever their bytes, with nothing removed for them."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SAMPLE", 32 if hot == repeats.HOT else 2)
+    texts = worded(size)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = remove_repeats(docs, group=group, passage=size)
+    assert found.columns == ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_words"]
+    got = {r.doc_id: ((r.n_passages, r.n_passage_words), (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in found.collect()}
+    wanted = dict(enumerate(zip(brute_passages(texts, size), brute(texts, 400))))
+    assert {i: (g, wanted[i]) for i, g in got.items() if g != wanted[i]} == {}
+    assert len(got) == len(texts)
+
+
+def test_passages_under_400_bytes(spark):
+    """51 words of 300 bytes in two texts: nothing to remove, but told; 50 words are not."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    told, short = prose(51), prose(50)
+    texts = [f"{prose(40)} {told} {prose(40)}", f"{prose(9)}\n{told}", f"{short} {prose(30)}", f"{prose(30)} {short}", prose(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, r.n_passages, r.n_passage_words) for r in remove_repeats(docs, passage=51).collect())
+    assert got == [(0, 0, 1, 51), (1, 0, 1, 51), (2, 0, 0, 0), (3, 0, 0, 0), (4, 0, 0, 0)]
+
+
+def test_passages_of_query(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    found = {r.doc_id: (r.n_passages, r.n_passage_words) for r in QUERIES["op5_repeats"](spark, FOLDER).collect()}
+    assert found == {d.doc_id: w for d, w in zip(docs, brute_passages([d.text for d in docs], 51))}
+    assert any(w for _, w in found.values())
+
+
+def test_pieces_hold_every_window_once():
+    """A text in pieces, a word longer than a piece in it, gives the windows it gives as a whole."""
+    text = worded(2)[-1].encode() + b" " + b"y" * 700 + b" " + b"z z" * 90
+
+
+    def windows(texts, shard):
+        for part in passages.pieces(texts, 6, shard):
+            for _, at, piece in part:
+                _, start, end, one, two = (a.tolist() for a in passages.windows_of([piece], 6))
+                yield from zip([at + s for s in start], [at + e for e in end], one, two)
+
+    assert list(windows([b"", text], 200)) == list(windows([text], 1 << 20))
+    assert len(list(passages.pieces([text], 6, 200))) > 3
